@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import exact_dedup, packing, pii, quality_rules
+from ratewell.llm import exact_dedup, near_dedup, packing, pii, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir), shingle=4)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_documents(spark, sf_dir))
 
@@ -27,7 +31,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_quality_rules, op7_pii, op8_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_minhash_near_dedup, op6_quality_rules, op7_pii, op8_packing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
