@@ -107,21 +107,31 @@ class Words:
         return at, mix(h[at])
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost smallest of values[i : i + width], for every i."""
+#: Low bits that hold a position while minima slide; the other bits of a hash decide, so texts may have 128 MB.
+_PLACE = 27
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of values[i : i + width] for every i, by the upper bits of each value; the leftmost of equals."""
     n = len(values)
-    m = n - width + 1
-    if m <= 0:
+    if n < width:
+        return np.zeros(0, np.int64)
+    low = np.uint64((1 << _PLACE) - 1)
+    keyed = np.full(-(-n // width) * width, ~np.uint64(0))
+    keyed[:n] = (values & ~low) | np.arange(n, dtype=np.uint64)
+    blocks = keyed.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[: n - width + 1], ahead[width - 1 : n]) & low).astype(np.int64)
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    if not len(keys[0]):
         return np.zeros(0, np.int64)
-    best = np.arange(n)
-    have = 1
-    while have < width:  # best[i] covers values[i : i + have]
-        step = min(have, width - have)
-        size = len(best) - step
-        left, right = best[:size], best[step : step + size]
-        best = np.where(values[right] < values[left], right, left)
-        have += step
-    return best[:m]
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
 def concat_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
