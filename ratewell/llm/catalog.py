@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import exact_dedup, near_dedup, packing, pii, quality_rules
+from ratewell.llm import exact_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(_documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -31,7 +35,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_minhash_near_dedup, op6_quality_rules, op7_pii, op8_packing)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_minhash_near_dedup, op6_quality_rules, op7_pii, op8_packing, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
