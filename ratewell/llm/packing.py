@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -12,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratewell.llm.text import slices
+
 CAPACITY = 4096
 #: Documents in a group, on average; groups are drawn by a hash of the document, so each is a random sample.
 GROUP_DOCS = 2048
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker process remembers.
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_to long"
@@ -25,31 +28,57 @@ PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded
 class WordEncoder:
     """ids of whole texts, as little-endian uint32 bytes, word by word through a bounded cache.
 
-    The tokenizer splits at white space before anything else, so a text's ids are its words' ids in order.
+    The tokenizer folds case and splits at white space before anything else, so a text's ids are its words' ids in
+    order, and A-Z may be folded beforehand. Words of letters alone are one unit each to the tokenizer, so many are
+    encoded in one call; a full stop or comma after a letter is a unit of its own.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {"": b""}, cache_words
+        self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
+        self.known = {"": b""}
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            self.known, new = {"": b""}, list(words)
+        ended = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha()]
+        plain = {w for w in new if not (w[-1] in ".," and w[-2:-1].isalpha())} | {w[:-1] for w in ended} | {".", ","}
+        plain = [w for w in plain if w not in self.known]
+        letters = [w for w in plain if w.isalpha()]
+        for at in range(0, len(letters), 1024):
+            part = letters[at : at + 1024]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, ends = np.array(e.ids, "<u4").tobytes(), np.searchsorted(e.word_ids, np.arange(len(part) + 1)).tolist()
+            for w, a, b in zip(part, ends, ends[1:], strict=False):
+                self.known[w] = ids[4 * a : 4 * b]
+        rest = [w for w in plain if not w.isalpha()]
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes | None] = []
+        for words in split:
+            try:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                out.append(None)
+        waiting = [k for k, x in enumerate(out) if x is None]
+        if waiting:
+            self.learn(set().union(*(split[k] for k in waiting)))
+            for k in waiting:
+                out[k] = b"".join(map(self.known.__getitem__, split[k]))
+        return out
+
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that what a task has learnt serves the next."""
+    return WordEncoder(path)
 
 
 def default_tokenizer() -> str:
@@ -69,13 +98,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, size = WordEncoder(tokenizer or default_tokenizer()), 4 * capacity
+        encode, size = word_encoder(tokenizer or default_tokenizer()), 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(iter([batch])):
                 rows: list[tuple] = []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    ids += end
                     for a in range(0, len(ids), size):
                         b = ids[a : a + size]
                         rows.append((i, a // 4, len(b) // 4, zlib.crc32(b), len(ids) // 4, *([np.frombuffer(b, "<u4").astype(np.int32)] if with_ids else [])))
