@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.text import changes, merge_spans, mix, slices, sliding_argmin, string_buffer
-from ratewell.llm.texts import KEY, distinct_texts, keyed
+from ratewell.llm.texts import NO_ID, OWNER, ensure_checkpoints, keyed, stored
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -93,11 +93,11 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
             take = pa.array(row)
             numbers = [(start - offsets[row]).astype(np.int32), n.astype(np.int32), (place - start).astype(np.int32)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[place].view(np.int64)), pa.array(whole.view(np.int64)), batch.column("k1").take(take), batch.column("k2").take(take), *map(pa.array, numbers)],
-                names=["core", "run", "k1", "k2", "start", "n", "off"],
+                [pa.array(hashes[place].view(np.int64)), pa.array(whole.view(np.int64)), batch.column("id").take(take), batch.column("k1").take(take), *map(pa.array, numbers)],
+                names=["core", "run", "id", "k1", "start", "n", "off"],
             )
 
-    return texts.select(*KEY, "text").mapInArrow(run, "core long, run long, k1 long, k2 long, start int, n int, off int")
+    return texts.select(*OWNER, "text").mapInArrow(run, "core long, run long, id long, k1 long, start int, n int, off int")
 
 
 def insert_columns(matrix: np.ndarray, bucket: np.ndarray, ready: int, length: int) -> np.ndarray:
@@ -132,9 +132,9 @@ def insert_columns(matrix: np.ndarray, bucket: np.ndarray, ready: int, length: i
 
 
 def sort_buckets(strings: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, s, e) of repeated windows in strings (core, copies, k1, k2, start, off, bytes), for those with one copy."""
+    """(id, k1, s, e) of repeated windows in strings (core, copies, id, k1, start, off, bytes), for those with one copy."""
     core = length // 2
-    schema = "k1 long, k2 long, s int, e int"
+    schema = "id long, k1 long, s int, e int"
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         texts = rows.column("bytes").to_pylist()
@@ -154,7 +154,7 @@ def sort_buckets(strings: DataFrame, length: int) -> DataFrame:
         last = np.append(first[1:], len(begin))[: len(first)] - 1
         take = pa.array(which[first])
         return pa.RecordBatch.from_arrays(
-            [rows.column(c).combine_chunks().take(take) for c in ("k1", "k2")] + [pa.array(begin[first].astype(np.int32)), pa.array((begin[last] + length).astype(np.int32))], names=["k1", "k2", "s", "e"]
+            [rows.column(c).combine_chunks().take(take) for c in OWNER] + [pa.array(begin[first].astype(np.int32)), pa.array((begin[last] + length).astype(np.int32))], names=[*OWNER, "s", "e"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,25 +184,25 @@ def sort_buckets(strings: DataFrame, length: int) -> DataFrame:
 
 def fetched(asked: DataFrame, length: int, hashes: bool) -> DataFrame:
     """The bytes of asked runs (column ``asked`` beside each text), or the hash of each of their windows."""
-    schema = "core long, off int, copies int, k1 long, k2 long, s int, window long" if hashes else "core long, copies int, k1 long, k2 long, start int, off int, bytes binary"
+    schema = "core long, off int, copies int, id long, k1 long, s int, window long" if hashes else "core long, copies int, id long, k1 long, start int, off int, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
-            for text, k1, k2, asked in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2", "asked")), strict=True):
+            for text, id_, k1, asked in zip(*(batch.column(c).to_pylist() for c in ("text", *OWNER, "asked")), strict=True):
                 raw = text.encode()
                 for x in asked:
                     part = raw[x["start"] : x["start"] + x["n"] - 1 + length]
                     if hashes:
                         own = Rolling(np.frombuffer(part, np.uint8)).windows(length).view(np.int64)
-                        rows += [(x["core"], x["off"] - i, x["copies"], k1, k2, x["start"] + i, int(h)) for i, h in enumerate(own)]
+                        rows += [(x["core"], x["off"] - i, x["copies"], id_, k1, x["start"] + i, int(h)) for i, h in enumerate(own)]
                     else:
-                        rows.append((x["core"], x["copies"], k1, k2, x["start"], x["off"], part))
+                        rows.append((x["core"], x["copies"], id_, k1, x["start"], x["off"], part))
             if rows:
                 kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-    return asked.select(*KEY, "text", "asked").mapInArrow(run, schema)
+    return asked.select(*OWNER, "text", "asked").mapInArrow(run, schema)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_strings: int = MOST_STRINGS, with_text: bool = False) -> DataFrame:
@@ -219,50 +219,49 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        equal windows of the same column: one block of the transform per column suffices, and is written over by the next.
     4. A bucket of more than ``most_strings`` strings would be a task of its own: its windows are hashed one by one and
        counted by aggregation instead, which gives the same answer and splits freely.
-    Equal texts are worked on once: a text with two copies or more is removed whole (from ``length`` bytes on).
+    Copies of a whole document take the second step: all of their runs are equal.
 
-    Cores, runs and equal texts are compared by hashes (64 bits each, a run by two of them, a text by 128).
+    Cores and runs are compared by 64-bit hashes, a run by two of them. Runs are taken from the scan; afterwards the
+    texts are shuffled once, by their document, to meet what is asked of them and what is cut from them.
     Null text: no bytes. Null ids pass through; rows that repeat an id are documents of their own, so a repeated row is a
-    copy. Empty table: empty result. Bytes that remain need not be valid UTF-8, so kept_bytes is binary.
+    copy. Empty table: empty result. Needs spark.checkpoint.dir. Bytes that remain need not be valid UTF-8, so kept_bytes is binary.
     """
-    rows = keyed(docs, id_col, text_col)
-    texts = distinct_texts(rows)
-    runs = runs_of(texts, length).repartition("core")
-    kinds = runs.groupBy("core", "run").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    buckets = kinds.groupBy("core").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("strings"), F.min("copies").alias("fewest")).filter("`all` > 1")
-    hits = runs.join(kinds.join(buckets, "core"), ["core", "run"])
-    whole = hits.filter("copies > 1").select(*KEY, F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
-
-    mixed = hits.filter("strings > 1 and fewest = 1").groupBy("core", "run").agg(
-        F.min(F.struct(*KEY, "start", "n", "off")).alias("r"), F.first("copies").alias("copies"), F.first("strings").alias("strings")
-    )
-    mixed = mixed.select("r.*", "core", "copies", "strings")
+    ensure_checkpoints(docs.sparkSession)
+    texts = keyed(docs, id_col, text_col).select(*OWNER, "text")
+    runs = stored(runs_of(texts, length))
+    repeated = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    hits = runs.join(repeated, "core").checkpoint()
+    kinds = hits.groupBy("core", "run").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min(F.struct(*OWNER, "start", "n", "off")).alias("r")).checkpoint()
+    copied = kinds.filter("copies > 1").select("core", "run")
+    whole = hits.join(copied, ["core", "run"]).select(*OWNER, F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
+
+    buckets = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.min("copies").alias("fewest")).filter("strings > 1 and fewest = 1")
+    mixed = kinds.join(buckets, "core").select("r.*", "core", "copies", "strings")
 
     def ask(part: DataFrame) -> DataFrame:
-        return texts.join(part.groupBy(*KEY).agg(F.collect_list(F.struct("core", "copies", "start", "n", "off")).alias("asked")), KEY)
+        asked = part.groupBy(*OWNER).agg(F.collect_list(F.struct("core", "copies", "start", "n", "off")).alias("asked"))
+        return texts.join(asked, OWNER)
 
-    sorted_ = sort_buckets(fetched(ask(mixed.filter(F.col("strings") <= most_strings)), length, False), length)
-    hashed = fetched(ask(mixed.filter(F.col("strings") > most_strings)), length, True)
-    again = hashed.groupBy("core", "off", "window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    hashed = hashed.filter("copies = 1").join(again, ["core", "off", "window"]).select(*KEY, "s", (F.col("s") + length).alias("e"))
+    spans = whole.union(sort_buckets(fetched(ask(mixed.filter(F.col("strings") <= most_strings)), length, False), length))
+    large = mixed.filter(F.col("strings") > most_strings)
+    if not large.isEmpty():
+        hashed = fetched(ask(large), length, True)
+        again = hashed.groupBy("core", "off", "window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        spans = spans.union(hashed.filter("copies = 1").join(again, ["core", "off", "window"]).select(*OWNER, "s", (F.col("s") + length).alias("e")))
+    spans = spans.groupBy(*OWNER).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    done = cut_bytes(texts.join(spans, OWNER, "left"), with_text)
+    return done.withColumn("doc_id", F.when(F.col("doc_id") < NO_ID, F.col("doc_id")))
 
-    spans = whole.union(sorted_).union(hashed).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    done = cut_bytes(texts.join(spans, KEY, "left"), length, with_text)
-    return rows.select("doc_id", *KEY).join(done, KEY).drop(*KEY)
 
-
-def cut_bytes(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
+def cut_bytes(texts: DataFrame, with_text: bool) -> DataFrame:
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copies", "spans")), strict=True):
+            for text, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "spans")), strict=True):
                 raw = text.encode()
-                found = [(x["s"], x["e"]) for x in spans or ()]
-                if copies > 1 and len(raw) >= length:
-                    found = [(0, len(raw))]
-                parts, done, found = [], 0, merge_spans(found)
+                parts, done, found = [], 0, merge_spans([(x["s"], x["e"]) for x in spans or ()])
                 for a, b in found:
                     parts.append(raw[done:a])
                     done = b
@@ -270,6 +269,6 @@ def cut_bytes(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
                 rows.append((len(raw), len(raw) - len(left), len(found), hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (4 + with_text)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("id")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return texts.select(*KEY, "copies", "text", "spans").mapInArrow(run, schema)
+    return texts.select("id", "text", "spans").mapInArrow(run, schema)

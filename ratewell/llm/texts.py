@@ -1,13 +1,18 @@
-"""Distinct texts with the documents that hold them: operators that compare contents work on each text once."""
+"""Rows with a key of their text, checkpoints and written tables: what operators that compare contents share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands in for a null id in comparisons: larger than any other.
 NO_ID = 2**63 - 1
+#: 128 bits of a text.
 KEY = ["k1", "k2"]
+#: A document in tables that lead back to it: its id, and half of the key for rows that share an id.
+OWNER = ["id", "k1"]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,9 +22,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(0x5851F42D), "text").alias("k2"))
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """k1, k2, low (least id), copies, text: one row per text, partitioned by its key.
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """checkpoint() writes to spark.checkpoint.dir; where a session names none (tests, notebooks), a folder of the warehouse."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
 
-    Partial aggregation leaves one row per text and task, so a text that fills a third of the rows stays small.
-    """
-    return rows.groupBy(*KEY).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as a compressed table beside the session's checkpoints and read back: cuts the lineage
+    like checkpoint(), at a third of the size for tables of numbers."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
