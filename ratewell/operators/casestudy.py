@@ -59,7 +59,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 10) -> DataFram
     """Likewise between the smallest and the largest value. With one value all are in the first bin."""
     ends = df.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b"))
     spread = F.nullif(F.col("b") - F.col("a"), F.lit(0.0))
-    place = F.coalesce(F.least(F.lit(bins - 1), F.floor(bins * (F.col(value) - F.col("a")) / spread)), F.lit(0)).cast("int")
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor(bins * (F.col(value) - F.col("a")) / spread), F.lit(0))).cast("int")
     got = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # ends: one row
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(ends))
     edge = lambda k: F.col("a") + (F.col("b") - F.col("a")) * k / bins
