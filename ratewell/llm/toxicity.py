@@ -14,7 +14,7 @@ from ratewell.llm.linear import Rows, best_threshold, fit, logit, sigmoid
 from ratewell.llm.text import LOWER, Words, changes, slices, string_buffer
 
 #: Labelled rows that the chain is fitted on, at most; drawn by a hash of the id, so alike at every size.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 12_000
 FOLDS = 5
 #: A word is a feature if this share of the training rows has it (and at least 3 rows), and half at most.
 LEAST_SHARE = 0.002
