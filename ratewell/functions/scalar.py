@@ -58,6 +58,18 @@ def rater_kind(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("primary")), "primary").when(F.contains(c, F.lit("secondary")), "secondary").otherwise(F.raise_error(F.concat(F.lit("neither primary nor secondary: "), c)))
 
 
+def strip_vertical(c: Column, names: tuple[str, ...] = ("Sleep ", "Fitness ")) -> Column:
+    """A rater's label without the vertical in front."""
+    for name in names:
+        c = F.replace(c, F.lit(name), F.lit(""))
+    return c
+
+
+def place_in(c: Column, order: tuple[str, ...]) -> Column:
+    """Place of a value in a display order, from 1; 0 if it isn't shown."""
+    return F.array_position(F.array(*map(F.lit, order)), c).cast("int")
+
+
 def composite_key(*columns: str) -> Column:
     return F.concat_ws("::", *(or_none(F.col(c).cast("string")) for c in columns))
 

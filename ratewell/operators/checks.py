@@ -142,3 +142,9 @@ def exam_items(exam: DataFrame, id_col: str) -> DataFrame:
     letters = F.slice(F.array(*map(F.lit, fixed.EXAM_OPTIONS)), 1, F.size("choices"))
     fine = (F.length("question") > 0) & (F.size("choices") > 0) & F.col("domain").isin(*fixed.EXAM_DOMAINS) & (F.array_sort(F.map_keys("choices")) == letters)
     return found(exam.filter(~F.coalesce(fine, F.lit(False))), "malformed question", F.col(id_col))
+
+
+def pair_count(pairs: DataFrame, expected: int) -> DataFrame:
+    """The number of pairs of raters, if it isn't the expected one."""
+    got = pairs.select("rater_a", "rater_b").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return found(got.filter(F.col("n") != expected), f"expected {expected} pairs of raters", F.col("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
+from ratewell.functions.scalar import place_in
 
 
 def named(df: DataFrame, targets: Mapping[str, str] = fixed.OUTCOMES, models: Mapping[str, str] = fixed.OUTCOME_MODELS) -> DataFrame:
@@ -27,8 +28,7 @@ def named(df: DataFrame, targets: Mapping[str, str] = fixed.OUTCOMES, models: Ma
 
 def ordered(df: DataFrame, models: Sequence[str] = tuple(fixed.OUTCOME_MODELS.values()), targets: Sequence[str] = tuple(fixed.OUTCOMES.values())) -> DataFrame:
     """The named models only, with their place in reports: by model, then target."""
-    place = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c)).cast("int")
-    return df.filter(F.col("Model").isin(*models)).withColumns({"model_place": place("Model", models), "target_place": place("Target", targets)})
+    return df.filter(F.col("Model").isin(*models)).withColumns({"model_place": place_in(F.col("Model"), models), "target_place": place_in(F.col("Target"), targets)})
 
 
 def with_prevalence(df: DataFrame, prevalence: DataFrame) -> DataFrame:
@@ -47,8 +47,6 @@ def error_bars(df: DataFrame) -> DataFrame:
 
 def auroc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
     """(by, auroc) by mid-ranks over counts per score; null without both classes. (Our addition.)"""
-    from pyspark.sql import Window
-
     counts = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(label).alias("n"))
     below = F.sum(F.col("n") - F.col("p")).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
     wins = counts.withColumn("w", F.col("p") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("p")) / 2))

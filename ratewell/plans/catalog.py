@@ -471,7 +471,7 @@ def q_holdout_selfjoin(spark, d):
 
 @query(f"""{C} select 'unexpected count' "check", x item from (select unnest(['rows=' || count(*), 'ids=' || count(distinct case_study_id), 'users=' || count(distinct user_id)]) x from c)""")
 def q_case_counts(spark, d):
-    return checks.case_data(views.cases(spark, d).filter("split <> 'none'"), "sleep", {"rows": 1, "ids": 1, "users": 1}).filter("check = 'unexpected count'")
+    return checks.case_data(views.cases(spark, d), "sleep", {"rows": 1, "ids": 1, "users": 1}).filter("check = 'unexpected count'")
 
 
 # ---- outcome predictions
@@ -546,3 +546,14 @@ def q_composite_keys(spark, d):
 def q_interval_labels(spark, d):
     ac2 = agreement.ac2(agreement.rater_pairs(views.ratings(spark, d), "max"))
     return ac2.select("rater_a", "rater_b", F.regexp_replace(scalar.interval_label(F.col("ac2"), F.col("pe"), F.col("pa"), F.col("n")), r"\[.*\]\n", "").alias("label"))
+
+
+@query(f"{R} select tag, conversation_source, list_position(['base_model', 'tuned_model', 'human_expert'], conversation_source)::int place, round(avg(rating), 6) mean_rating from r group by all")
+def q_display_order(spark, d):
+    means = ratings_stats.means(views.ratings(spark, d)).drop("n")
+    return rounded(means.withColumn("place", scalar.place_in(F.col("conversation_source"), fixed.SOURCE_ORDER["main"])), "mean_rating")
+
+
+@query(f"{_ONE} select 'expected 5 pairs of raters' \"check\", count(*)::varchar item from (select distinct rater_a, rater_b from pairs)")
+def q_pair_count(spark, d):
+    return checks.pair_count(agreement.rater_pairs(views.ratings(spark, d)), 5)

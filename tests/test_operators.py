@@ -299,9 +299,9 @@ def test_texts(spark):
     row = spark.range(1).select(
         scalar.rater_label(F.lit("sleep_primary_c")), scalar.rater_kind(F.lit("sleep_primary_c")), scalar.base_name(F.lit("/a/b/model.v1.tsv")), scalar.percent_text(F.lit(0.12345)),
         scalar.interval_label(F.lit(0.5), F.lit(0.25), F.lit(0.75), F.lit(12)), scalar.enum_name(F.lit("TRAIN"), fixed.SPLITS), scalar.date_token(F.lit("2024-03-05").cast("date")),
-        scalar.composite_key("id"), scalar.fill("{A} and {B}", {"A": F.lit("{B}"), "B": F.lit(None).cast("string")}),
+        scalar.composite_key("id"), scalar.fill("{A} and {B}", {"A": F.lit("{B}"), "B": F.lit(None).cast("string")}), scalar.strip_vertical(F.lit("Sleep Primary C")),
     ).first()
-    assert tuple(row) == ("Sleep Primary C", "primary", "model.v1", "12.35%", ".500\n[.25–.75]\nn=12", "train", "20240305", "0", "{B} and None")
+    assert tuple(row) == ("Sleep Primary C", "primary", "model.v1", "12.35%", ".500\n[.25–.75]\nn=12", "train", "20240305", "0", "{B} and None", "Primary C")
     with pytest.raises(Exception, match="unknown name"):
         spark.range(1).select(scalar.enum_name(F.lit("later"), fixed.SPLITS)).collect()
     assert len(fixed.PRINCIPLES) == 15 and set(fixed.PRINCIPLES) == set(fixed.PRINCIPLE_ORDER)
