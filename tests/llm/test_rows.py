@@ -135,6 +135,15 @@ def test_disguises():
     assert hidden("4111 1111 1111 1111") == [] and pii.redact("mail a@b.co now") == "mail <EMAIL> now"
 
 
+def test_random_texts_and_long_runs():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("0123456789..@+- ()ab%_\n"), rng.integers(1, 60)))
+        assert [(a, k, b) for a, b, k in pii.find(text)] == brute_pii(text)
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "(at) " * 50_000, "one " * 50_000):
+        assert len(pii.scan(text)[0]) <= len(text)
+
+
 def test_offsets_survive_rewriting():
     rng = np.random.default_rng(3)
     parts = ["x@y.zz", "jane (at) a [dot] b", "о", "​", "word", "one two three four five six", " ", "１", "+1 555 010 9999", "é"]
