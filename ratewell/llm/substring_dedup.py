@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewell.llm.text import Words, changes, merge_spans, mix, slices, sliding_argmin, string_buffer
-from ratewell.llm.texts import KEY, distinct_texts, keyed
+from ratewell.llm.text import Words, changes, concat_runs, merge_spans, mix, slices, sliding_argmin, string_buffer
+from ratewell.llm.texts import KEY, NO_ID, OWNER, ensure_checkpoints, keyed, stored
 
 #: Words in an edge of the graph, i.e. the shortest span that counts as repeated.
 EDGE = 13
@@ -36,7 +36,7 @@ def paths(batch: pa.RecordBatch, edge: int, core: int):
 
 
 def cores_of(texts: DataFrame, edge: int, core: int) -> DataFrame:
-    """(core, k1, k2), once per text and core."""
+    """(core, id), once per text and core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -44,15 +44,13 @@ def cores_of(texts: DataFrame, edge: int, core: int) -> DataFrame:
             if len(row):
                 order = np.lexsort((own, row))
                 order = order[changes(row[order], own[order])]
-                row = pa.array(row[order])
-                yield pa.RecordBatch.from_arrays([pa.array(own[order].view(np.int64)), batch.column("k1").take(row), batch.column("k2").take(row)], names=["core", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[order].view(np.int64)), batch.column("id").take(pa.array(row[order]))], names=["core", "id"])
 
-    return texts.select(*KEY, "text").mapInArrow(run, "core long, k1 long, k2 long")
+    return texts.select("id", "text").mapInArrow(run, "core long, id long")
 
 
-def repeated_paths(texts: DataFrame, edge: int, core: int, with_edges: bool) -> DataFrame:
-    """Paths of the cores in column ``cores``: either (path, core, low, edges) or (path, k1, k2, low, pos, n)."""
-    schema = "path long, core long, low long, edges binary" if with_edges else "path long, k1 long, k2 long, low long, pos int, n int"
+def repeated_paths(texts: DataFrame, edge: int, core: int) -> DataFrame:
+    """(path, core, k1, id, pos, n) of the paths whose core is in column ``cores``: n edges from word ``pos`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -63,32 +61,37 @@ def repeated_paths(texts: DataFrame, edge: int, core: int, with_edges: bool) ->
             if not len(hit):
                 continue
             first, count, row, own = first[hit], count[hit], row[hit], own[hit]
-            path = mix(h[first] ^ mix(h[first + count - 1] + count.astype(np.uint64))).view(np.int64)
-            take = pa.array(row)
-            if with_edges:
-                columns = [pa.array(own.view(np.int64)), batch.column("low").take(take), pa.array([h[a : a + n].tobytes() for a, n in zip(first, count, strict=True)], pa.binary())]
-            else:
-                place = at[first] - words.first[row]
-                columns = [*(batch.column(c).take(take) for c in ("k1", "k2", "low")), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(path), *columns], names=[x.split()[0] for x in schema.split(", ")])
+            path = mix(h[first] ^ mix(h[first + count - 1] + count.astype(np.uint64)))
+            place, take = at[first] - words.first[row], pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(path.view(np.int64)), pa.array(own.view(np.int64)), batch.column("k1").take(take), batch.column("id").take(take), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))],
+                names=["path", "core", "k1", "id", "pos", "n"],
+            )
 
-    return texts.select(*KEY, "low", "text", "cores").mapInArrow(run, schema)
+    return texts.select("id", *KEY, "text", "cores").mapInArrow(run, "path long, core long, k1 long, id long, pos int, n int")
 
 
-def edge_rows(forked: DataFrame) -> DataFrame:
-    """(path, low, i, edge) for each edge of each path."""
+def edges_of(texts: DataFrame, edge: int) -> DataFrame:
+    """(path, source, i, edge) for each edge of the paths asked for beside each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.array([len(x) // 8 for x in batch.column("edges").to_pylist()], np.int64)
-            if not n.sum():
-                continue
-            take = pa.array(np.repeat(np.arange(batch.num_rows), n))
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            edges = np.frombuffer(b"".join(batch.column("edges").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("path").take(take), batch.column("low").take(take), pa.array(place.astype(np.int32)), pa.array(edges)], names=["path", "low", "i", "edge"])
-
-    return forked.select("path", "low", "edges").mapInArrow(run, "path long, low long, i int, edge long")
+        for batch in slices(batches):
+            words = Words(*string_buffer(batch.column("text")))
+            at, h = words.windows(edge)
+            every = np.zeros(len(words.start), np.uint64)
+            every[at] = h
+            asked = batch.column("asked")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(asked.value_lengths()))
+            fields = {f: asked.flatten().field(f).to_numpy() for f in ("path", "pos", "n")}
+            n = fields["n"].astype(np.int64)
+            begin = words.first[row] + fields["pos"]
+            spot = concat_runs(begin, n)
+            i = spot - np.repeat(begin, n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(fields["path"], n)), batch.column("id").take(pa.array(np.repeat(row, n))), pa.array(i.astype(np.int32)), pa.array(every[spot].view(np.int64))], names=["path", "source", "i", "edge"]
+            )
+
+    return texts.select("id", *KEY, "text", "asked").mapInArrow(run, "path long, source long, i int, edge long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edge: int = EDGE, core: int = CORE, with_text: bool = False) -> DataFrame:
@@ -101,52 +104,60 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Cores that occur in one text only are dropped, and with them most of the corpus: no repeated edge lies there.
     2. Equal paths become one, with the least document that holds it as source. A core with one path only doesn't
        branch: the whole path is repeated wherever it occurs.
-    3. The paths of a branching core are taken apart, and the least document is found for each edge.
+    3. The paths of a branching core are taken apart at their source's coordinates, and the least document is found for
+       each edge.
     4. A join on the path leads from each place where a path occurs to its sources; what is covered comes back as
        word coordinates of the document and is cut out of the text itself.
-    Texts that are equal are worked on once; a later copy loses every word if it has ``edge`` words or more.
+    Of equal texts the least document alone is worked on; a later one loses every word if it has ``edge`` words or more.
 
-    Edges are compared by 64-bit hashes, paths by the hash of both of their ends. No list grows with a group: lists
-    hold the cores or spans of one text. Null text: no words. A null id counts as larger than any other, and no null
-    id as smaller than another. Rows that share an id never remove each other's words. Empty table: empty result.
+    Cores are taken from the scan; afterwards hashes and coordinates move to the texts, which are shuffled by their
+    document and shared by the steps of a query. Edges are compared by 64-bit hashes, paths by the hash of both of their
+    ends. No list grows with a group: lists hold the cores, paths or spans of one text. Null text: no words. A null id
+    counts as larger than any other, and no null id as smaller than another. Rows that share an id never remove each
+    other's words. Empty table: empty result. Needs spark.checkpoint.dir.
     """
+    ensure_checkpoints(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    texts = distinct_texts(rows)
-    cores = cores_of(texts, edge, core).repartition("core")
-    repeated = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    asked = cores.join(repeated, "core").groupBy(*KEY).agg(F.collect_list("core").alias("cores"))
-    source = texts.join(asked, KEY)
-
-    unique = repeated_paths(source, edge, core, True).groupBy("path").agg(F.min("low").alias("low"), F.first("core").alias("core"), F.first("edges").alias("edges"))
-    unique = unique.repartition("core")
-    branches = unique.groupBy("core").agg(F.count(F.lit(1)).alias("branches"))
-    known = unique.join(branches, "core")
-    plain = known.filter("branches = 1").select("path", F.col("low").alias("source"), F.lit(None).cast("array<long>").alias("sources"))
-    edges = edge_rows(known.filter("branches > 1"))
-    least = edges.groupBy("edge").agg(F.min("low").alias("source"))
-    forked = edges.join(least, "edge").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "source"))).alias("s"))
-    forked = forked.select("path", F.lit(None).cast("long").alias("source"), F.col("s.source").alias("sources"))
-
-    found = repeated_paths(source, edge, core, False).join(plain.union(forked), "path")
-    whole = F.when(F.col("source") < F.col("low"), F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("n") + (edge - 1)).alias("e")))).otherwise(F.array())
+    texts = rows.select(*OWNER, "k2", "text")
+    least = rows.groupBy(*KEY).agg(F.min("id").alias("low")).checkpoint()
+    # One shuffle and one pass over the texts for both the count and the rows. A text holds a core once, so the most
+    # frequent core is one row in a hundred of the documents that hold it.
+    cores = cores_of(texts, edge, core).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("core")))
+    asked = cores.filter("n > 1").groupBy("id").agg(F.collect_list("core").alias("cores"))
+    # All joins with ``texts`` in one query read the same columns, so that they share one shuffle.
+    asked = asked.join(least.select(F.col("low").alias("id"), "k1"), "id")
+    asked = stored(asked)
+    found = repeated_paths(texts.join(asked, OWNER), edge, core)
+
+    unique = found.groupBy("path").agg(F.min(F.struct("id", "k1", "pos", "n", "core")).alias("s")).select("path", "s.*")
+    unique = stored(unique)
+    known = unique.join(unique.groupBy("core").agg(F.count(F.lit(1)).alias("branches")), "core")
+    plain = known.filter("branches = 1").select("path", F.col("id").alias("source"), F.lit(None).cast("array<long>").alias("sources"))
+    taken = known.filter("branches > 1").groupBy(*OWNER).agg(F.collect_list(F.struct("path", "pos", "n")).alias("asked"))
+    edges = edges_of(texts.join(taken, OWNER), edge)
+    first = edges.groupBy("edge").agg(F.min("source").alias("first"))
+    forked = edges.join(first, "edge").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("s"))
+    forked = forked.select("path", F.lit(None).cast("long").alias("source"), F.col("s.first").alias("sources"))
+
+    placed = found.join(plain.union(forked), "path")
+    whole = F.when(F.col("source") < F.col("id"), F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("n") + (edge - 1)).alias("e")))).otherwise(F.array())
     each = F.filter(
-        F.transform("sources", lambda x, i: F.when(x < F.col("low"), F.struct((F.col("pos") + i).alias("s"), (F.col("pos") + i + edge).alias("e")))), lambda x: x.isNotNull()
+        F.transform("sources", lambda x, i: F.when(x < F.col("id"), F.struct((F.col("pos") + i).alias("s"), (F.col("pos") + i + edge).alias("e")))), lambda x: x.isNotNull()
     )
-    spans = found.select(*KEY, F.when(F.col("sources").isNull(), whole).otherwise(each).alias("spans")).filter(F.size("spans") > 0)
-    spans = spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    done = cut_words(texts.join(spans, KEY, "left"), with_text)
+    spans = placed.select(*OWNER, F.when(F.col("sources").isNull(), whole).otherwise(each).alias("spans")).filter(F.size("spans") > 0)
+    spans = spans.groupBy(*OWNER).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    done = cut_words(texts.join(spans, OWNER, "left"), with_text).join(least, KEY)
 
-    out = rows.select("doc_id", "id", *KEY).join(done, KEY)
     later = (F.col("id") > F.col("low")) & (F.col("n_words") >= edge)
     columns = [
-        "doc_id", "n_words", F.when(later, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "n_words", F.when(later, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(later, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     ]
-    return out.select(*columns, *([F.when(later, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
+    return done.select(*columns, *([F.when(later, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
 
 
 def cut_words(texts: DataFrame, with_text: bool) -> DataFrame:
-    schema = "k1 long, k2 long, low long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "id long, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +173,6 @@ def cut_words(texts: DataFrame, with_text: bool) -> DataFrame:
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), *([left.decode()] if with_text else [])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (3 + with_text)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("k1", "k2", "low")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "k1", "k2")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return texts.select(*KEY, "low", "text", "spans").mapInArrow(run, schema)
+    return texts.select("id", *KEY, "text", "spans").mapInArrow(run, schema)
