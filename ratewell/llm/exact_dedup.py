@@ -47,7 +47,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows with a null id stay."""
-    gone = exact_groups(docs, id_col, text_col, **how).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True, keep: str = "max") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A row goes if its id and its text were reported as not kept; so a row with another text under the same id stays, and
+    a row with a null id goes if its text stays under an id.
+    """
+    gone = exact_groups(docs, id_col, text_col, fold_case, keep).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_text"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(fold_ascii(text) if fold_case else text, 256) == gone["_text"]), "left_anti")

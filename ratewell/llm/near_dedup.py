@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.components import components
 from ratewell.llm.text import Words, mix, slices, string_buffer
+from ratewell.llm.texts import ensure_checkpoints, stored
 
 #: At a similarity of 0.8, all 32 bands of 4 miss a pair once in 20 million.
 BANDS, ROWS = 32, 4
@@ -222,15 +223,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = mates.join(fullness, "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("fullness", "rep")).getField("rep").alias("hub"))
     pairs = ranked.join(hubs, "key").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = verified(pairs, profile, percent).checkpoint()
+    links = stored(verified(pairs, profile, percent))
 
-    roots = components(links).checkpoint()
+    roots = stored(components(links))
     placed = mates.join(roots, mates["rep"] == roots["node"], "left").select("key", "size", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rows = placed.join(mixed, "key").join(profile.select("rep", "n", "sketch"), "rep").join(single, "rep")
-    more = verified(unlinked_pairs(rows, percent), profile, percent).checkpoint()
+    more = stored(verified(unlinked_pairs(rows, percent), profile, percent))
     if not more.isEmpty():
-        roots = components(links.union(more)).checkpoint()
+        roots = stored(components(links.union(more)))
 
     low = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(low, "root").select(F.col("node").alias("rep"), "component_id")
@@ -244,9 +245,3 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows that stay, one document of each group, with all their columns."""
     gone = near_groups(docs, id_col, text_col, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; where a session names none (tests, notebooks), a folder of the warehouse."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")

@@ -65,6 +65,8 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
     """Runs of consecutive windows of ``length`` bytes that share their least core of half that size.
 
     core and run: hashes of the core and of all bytes of the run; start: first window; n: windows; off: core after start.
+    Equal runs of one slice of texts come as one row, with their number in ``copies``; if there are several, rows without
+    a core say where each of them is. So a stretch that repeats itself, or a text with many copies, is a few rows.
     The choice of core depends on a window's bytes alone, so equal windows have equal cores at equal places.
     """
     core = length // 2
@@ -89,15 +91,27 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
             first = changes(row, least[at])
             n = np.diff(np.append(first, len(at)))
             row, start, place = row[first], at[first], least[at[first]]
-            whole = rolling.spans(start, start + n - 1 + length)
-            take = pa.array(row)
-            numbers = [(start - offsets[row]).astype(np.int32), n.astype(np.int32), (place - start).astype(np.int32)]
+            core_hash, whole = hashes[place], rolling.spans(start, start + n - 1 + length)
+            _, one, same, copies = np.unique(mix(core_hash) ^ whole, return_index=True, return_inverse=True, return_counts=True)
+            # Runs that this slice holds twice are repeated, whatever else there is: neighbours of them make one span.
+            twice = np.flatnonzero(copies[same] > 1)
+            head = changes(row[twice], twice - np.arange(len(twice)))
+            tail = np.append(head[1:], len(twice))[: len(head)] - 1
+            from_, to = start[twice[head]], start[twice[tail]] + n[twice[tail]]
+            owner = np.concatenate([row[one], row[twice[head]]])
+            blank = np.zeros(len(head), np.int64)
+            take, numbers = pa.array(owner), (
+                np.concatenate([start[one], from_]) - offsets[owner], np.concatenate([n[one], to - from_]), np.concatenate([place[one] - start[one], blank]), np.concatenate([copies, blank])
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[place].view(np.int64)), pa.array(whole.view(np.int64)), batch.column("id").take(take), batch.column("k1").take(take), *map(pa.array, numbers)],
-                names=["core", "run", "id", "k1", "start", "n", "off"],
-            )
+                [
+                    pa.array(np.concatenate([core_hash[one].view(np.int64), blank]), mask=np.arange(len(owner)) >= len(one)), pa.array(np.concatenate([whole[one].view(np.int64), blank])),
+                    batch.column("id").take(take), batch.column("k1").take(take), *(pa.array(x.astype(np.int32)) for x in numbers),
+                ],
+                names=["core", "run", "id", "k1", "start", "n", "off", "copies"],
+            )
 
-    return texts.select(*OWNER, "text").mapInArrow(run, "core long, run long, id long, k1 long, start int, n int, off int")
+    return texts.select(*OWNER, "text").mapInArrow(run, "core long, run long, id long, k1 long, start int, n int, off int, copies int")
 
 
 def insert_columns(matrix: np.ndarray, bucket: np.ndarray, ready: int, length: int) -> np.ndarray:
@@ -229,11 +243,14 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ensure_checkpoints(docs.sparkSession)
     texts = keyed(docs, id_col, text_col).select(*OWNER, "text")
     runs = stored(runs_of(texts, length))
-    repeated = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    span = F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e")
+    local = runs.filter("core is null").select(*OWNER, *span)
+    runs = runs.filter("core is not null")
+    repeated = runs.groupBy("core").agg(F.sum("copies").alias("all")).filter("`all` > 1").select("core")
     hits = runs.join(repeated, "core").checkpoint()
-    kinds = hits.groupBy("core", "run").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min(F.struct(*OWNER, "start", "n", "off")).alias("r")).checkpoint()
+    kinds = hits.groupBy("core", "run").agg(F.sum("copies").cast("int").alias("copies"), F.min(F.struct(*OWNER, "start", "n", "off")).alias("r")).checkpoint()
     copied = kinds.filter("copies > 1").select("core", "run")
-    whole = hits.join(copied, ["core", "run"]).select(*OWNER, F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
+    whole = local.union(hits.join(copied, ["core", "run"]).select(*OWNER, *span))
 
     buckets = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.min("copies").alias("fewest")).filter("strings > 1 and fewest = 1")
     mixed = kinds.join(buckets, "core").select("r.*", "core", "copies", "strings")

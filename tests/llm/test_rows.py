@@ -45,6 +45,7 @@ def test_exact(docs):
         want[r.doc_id, keep, len(g), r.doc_id == keep, hashlib.sha256(norm(r.text).encode()).hexdigest()] += 1
     assert Counter(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
     left = exact_dedup.drop_exact(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter((r.doc_id, r.text) for r in rows if r.doc_id == max((x for x in groups[norm(r.text)] if x is not None), default=None))
     assert {norm(r.text) for r in left} == set(groups) and left[0].asDict().keys() == {"doc_id", "text", "kept", "_norm"}
 
 
