@@ -210,7 +210,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = signatures(docs, shingle).checkpoint()
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Written before it is joined, so that the join with a set that very many documents have can be split.
+    classes = stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     member = full.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep")
     single = full.join(classes.select("rep", "s1", "s2"), (F.col("doc_id") == F.col("rep")) & (full["s1"] == classes["s1"]) & (full["s2"] == classes["s2"])).select("rep", "bands")
 
