@@ -36,17 +36,30 @@ def paths(batch: pa.RecordBatch, edge: int, core: int):
 
 
 def cores_of(texts: DataFrame, edge: int, core: int) -> DataFrame:
-    """(core, id), once per text and core."""
+    """(key, salt, id), once per text and core; key is core ^ salt << 40.
+
+    Salt 0: nothing else in its slice of texts has the core, so rows with its key have to be counted. Where several texts
+    of a slice share a core, each of their rows has a key of its own (its salt says that the core is repeated), and one
+    row without an id stands for them under the core. So a core that a third of all texts have is one row per slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             *_, row, own = paths(batch, edge, core)
-            if len(row):
-                order = np.lexsort((own, row))
-                order = order[changes(row[order], own[order])]
-                yield pa.RecordBatch.from_arrays([pa.array(own[order].view(np.int64)), batch.column("id").take(pa.array(row[order]))], names=["core", "id"])
+            if not len(row):
+                continue
+            order = np.lexsort((row, own))
+            order = order[changes(own[order], row[order])]
+            row, own = row[order], own[order]
+            first = changes(own)
+            texts_ = np.diff(np.append(first, len(own)))
+            salt = np.where(np.repeat(texts_, texts_) > 1, row + 1, 0)
+            shared = own[first[texts_ > 1]]
+            key = np.concatenate([own ^ (salt.astype(np.uint64) << np.uint64(40)), shared])
+            id_ = pa.concat_arrays([batch.column("id").take(pa.array(row)), pa.nulls(len(shared), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate([salt, np.zeros(len(shared), np.int64)]).astype(np.int32)), id_], names=["key", "salt", "id"])
 
-    return texts.select("id", "text").mapInArrow(run, "core long, id long")
+    return texts.select("id", "text").mapInArrow(run, "key long, salt int, id long")
 
 
 def repeated_paths(texts: DataFrame, edge: int, core: int) -> DataFrame:
@@ -120,10 +133,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     texts = rows.select(*OWNER, "k2", "text")
     least = rows.groupBy(*KEY).agg(F.min("id").alias("low")).checkpoint()
-    # One shuffle and one pass over the texts for both the count and the rows. A text holds a core once, so the most
-    # frequent core is one row in a hundred of the documents that hold it.
-    cores = cores_of(texts, edge, core).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("core")))
-    asked = cores.filter("n > 1").groupBy("id").agg(F.collect_list("core").alias("cores"))
+    # One shuffle and one pass over the texts for both the count and the rows.
+    weight = F.when((F.col("salt") > 0) | F.col("id").isNull(), 2).otherwise(1)
+    cores = cores_of(texts, edge, core).withColumn("n", F.sum(weight).over(Window.partitionBy("key"))).filter("n > 1 and id is not null")
+    asked = cores.groupBy("id").agg(F.collect_list(F.col("key").bitwiseXOR(F.shiftleft(F.col("salt").cast("long"), 40))).alias("cores"))
     # All joins with ``texts`` in one query read the same columns, so that they share one shuffle.
     asked = asked.join(least.select(F.col("low").alias("id"), "k1"), "id")
     asked = stored(asked)
@@ -131,12 +144,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     unique = found.groupBy("path").agg(F.min(F.struct("id", "k1", "pos", "n", "core")).alias("s")).select("path", "s.*")
     unique = stored(unique)
-    known = unique.join(unique.groupBy("core").agg(F.count(F.lit(1)).alias("branches")), "core")
-    plain = known.filter("branches = 1").select("path", F.col("id").alias("source"), F.lit(None).cast("array<long>").alias("sources"))
-    taken = known.filter("branches > 1").groupBy(*OWNER).agg(F.collect_list(F.struct("path", "pos", "n")).alias("asked"))
+    # What is counted is written before it is joined: both sides of each join are plain shuffles, which can be split where a core or an edge is hot.
+    branching = stored(unique.groupBy("core").agg(F.count(F.lit(1)).alias("branches")).filter("branches > 1"))
+    known = unique.join(branching, "core", "left")
+    plain = known.filter("branches is null").select("path", F.col("id").alias("source"), F.lit(None).cast("array<long>").alias("sources"))
+    taken = known.filter("branches is not null").groupBy(*OWNER).agg(F.collect_list(F.struct("path", "pos", "n")).alias("asked"))
     edges = edges_of(texts.join(taken, OWNER), edge)
-    first = edges.groupBy("edge").agg(F.min("source").alias("first"))
-    forked = edges.join(first, "edge").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("s"))
+    first = stored(edges.groupBy("edge").agg(F.min("source").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("edge", "first"))
+    forked = edges.join(first, "edge", "left").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("first", "source").alias("first")))).alias("s"))
     forked = forked.select("path", F.lit(None).cast("long").alias("source"), F.col("s.first").alias("sources"))
 
     placed = found.join(plain.union(forked), "path")
