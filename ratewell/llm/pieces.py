@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ratewell.llm.text import mix, slices
 
 #: Distinct words whose ids a worker process remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_600_000
 #: Cells (words x characters x piece lengths) worked on at once.
 CELLS = 1 << 21
 #: Words are runs of spaces with what follows up to the next space; pieces hold spaces in front only.
@@ -81,7 +81,7 @@ class Pieces:
         usual = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.byte_id = np.zeros(256, np.uint32)
         self.model, self.merges, self.size = model, model_type(model.serialized_model_proto()) == 2, n
-        self.agree: dict[int, bool] = {}
+        self.pair, self.agrees = np.full(1 << 21, -1), np.zeros(1 << 21, bool)  # answers by hash of the pair; a later pair takes the place
         self.spelled = [b""] * n
         for i in range(n):
             if model.is_byte(i):
@@ -97,7 +97,9 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.unknown = self.scores.min() - UNKNOWN_GAP
-        self.known, self.most = {}, cache_words
+        self.maybe = np.zeros(1 << 22, bool)  # whether any key begins with these bits
+        self.maybe[self.keys >> np.uint64(42)] = True
+        self.known, self.past, self.most = {}, {}, cache_words
 
     @staticmethod
     def fold(points: np.ndarray) -> np.uint64:
@@ -116,11 +118,15 @@ class Pieces:
         h = np.zeros((n, size), np.uint64)
         for length in range(1, most + 1):
             h = h[:, : size - length + 1] * _STEP + mixed[:, length - 1 :]
-            at = np.searchsorted(self.keys, h)
+            word, start = np.nonzero(self.maybe[h >> np.uint64(42)] & (points[:, : size - length + 1] != 0x2581))
+            own = h[word, start]
+            at = np.searchsorted(self.keys, own)
             at[at == len(self.keys)] = 0
-            hit = (self.keys[at] == h) & (points[:, : size - length + 1] != 0x2581)
-            gain[:, length:, length - 1] = np.where(hit, self.scores[at], self.unknown if length == 1 else -np.inf)
-            piece[:, length:, length - 1] = np.where(hit, self.ids[at], -1)
+            hit = self.keys[at] == own
+            word, end, at = word[hit], start[hit] + length, at[hit]
+            if length == 1:
+                gain[:, 1:, 0] = self.unknown
+            gain[word, end, length - 1], piece[word, end, length - 1] = self.scores[at], self.ids[at]
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         step = np.zeros((n, size + 1), np.int32)
@@ -144,14 +150,13 @@ class Pieces:
         who, end, own = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((end, who))
         who, end, own = who[order], end[order], own[order]
-        cuts = np.searchsorted(who, np.arange(n + 1))
+        cuts = np.searchsorted(who, np.arange(n + 1)).tolist()
         out = []
         plain = np.ones(n, bool)
         plain[who[own < 0]] = False
         ids = own.astype("<u4").tobytes()
-        for w in range(n):
-            a, b = cuts[w], cuts[w + 1]
-            if plain[w]:
+        for w, (a, b, whole) in enumerate(zip(cuts, cuts[1:], plain.tolist(), strict=False)):
+            if whole:
                 out.append(ids[4 * a : 4 * b])
             else:
                 parts = [self.byte_id[list(chr(points[w, end[k] - 1]).encode())] if own[k] < 0 else own[k : k + 1] for k in range(a, b)]
@@ -163,24 +168,32 @@ class Pieces:
         out = np.full(before.shape, -np.inf)
         out[(after < 0) & (gain > -np.inf)] = 0
         which = np.nonzero(after >= 0)
-        codes, back = np.unique(before[which].astype(np.int64) * self.size + after[which], return_inverse=True)
-        codes = codes.tolist()
-        if new := [c for c in codes if c not in self.agree]:
-            if len(self.agree) > 2_000_000:
-                self.agree, new = {}, codes
-            pairs = [(c // self.size, c % self.size) for c in new]
-            spelled = [(self.spelled[a] if a < self.size else b"") + self.spelled[b] for a, b in pairs]
-            # The library puts a space in front; before any other character, a line feed (a byte piece) keeps that apart.
-            coded = self.model.encode([(x[1:] if x[:1] == b" " else b"\n" + x).decode() for x in spelled])
-            for c, (a, b), x, ids in zip(new, pairs, spelled, coded, strict=True):
-                self.agree[c] = x == b" " or ids[2 * (x[:1] != b" ") :] == ([a, b] if a < self.size else [b])
-        out[which] = np.where(np.array([self.agree[c] for c in codes], bool)[back], 0, -np.inf) if codes else []
+        codes = before[which].astype(np.int64) * self.size + after[which]
+        place = mix(codes.astype(np.uint64)) >> np.uint64(43)
+        kept = self.agrees[place]
+        unseen = np.flatnonzero(self.pair[place] != codes)
+        if len(unseen):
+            new, back = np.unique(codes[unseen], return_inverse=True)
+            answers = self.ask(new.tolist())
+            kept[unseen] = answers[back]
+            place = mix(new.astype(np.uint64)) >> np.uint64(43)
+            self.pair[place], self.agrees[place] = new, answers
+        out[which] = np.where(kept, 0, -np.inf)
         return out
 
+    def ask(self, codes: list[int]) -> np.ndarray:
+        """Whether the library's merges keep the border of each pair (first piece times size, plus second piece)."""
+        pairs = [(c // self.size, c % self.size) for c in codes]
+        spelled = [(self.spelled[a] if a < self.size else b"") + self.spelled[b] for a, b in pairs]
+        # The library puts a space in front; before any other character, a line feed (a byte piece) keeps that apart.
+        coded = self.model.encode([(x[1:] if x[:1] == b" " else b"\n" + x).decode() for x in spelled])
+        return np.array([x == b" " or ids[2 * (x[:1] != b" ") :] == ([a, b] if a < self.size else [b]) for (a, b), x, ids in zip(pairs, spelled, coded, strict=True)], bool)
+
     def learn(self, words: set[str]) -> None:
+        if 2 * (len(self.known) + len(words)) > self.most:  # words not met since the last time are forgotten
+            self.known, self.past = {}, self.known
+        self.known.update((w, self.past[w]) for w in words if w in self.past)
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(words)
         by_size: dict[int, list[str]] = {}
         for w in new:
             by_size.setdefault(len(w), []).append(w)
