@@ -246,13 +246,14 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e")
     local = runs.filter("core is null").select(*OWNER, *span)
     runs = runs.filter("core is not null")
-    repeated = runs.groupBy("core").agg(F.sum("copies").alias("all")).filter("`all` > 1").select("core")
+    # What is counted is written before it is joined: both sides of each join are plain shuffles, which can be split where a core is hot.
+    repeated = stored(runs.groupBy("core").agg(F.sum("copies").alias("all")).filter("`all` > 1").select("core"))
     hits = runs.join(repeated, "core").checkpoint()
     kinds = hits.groupBy("core", "run").agg(F.sum("copies").cast("int").alias("copies"), F.min(F.struct(*OWNER, "start", "n", "off")).alias("r")).checkpoint()
     copied = kinds.filter("copies > 1").select("core", "run")
     whole = local.union(hits.join(copied, ["core", "run"]).select(*OWNER, *span))
 
-    buckets = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.min("copies").alias("fewest")).filter("strings > 1 and fewest = 1")
+    buckets = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.min("copies").alias("fewest")).filter("strings > 1 and fewest = 1"))
     mixed = kinds.join(buckets, "core").select("r.*", "core", "copies", "strings")
 
     def ask(part: DataFrame) -> DataFrame:
