@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ CAPACITY = 4096
 GROUP_DOCS = 2048
 #: Distinct words whose ids a worker process remembers.
 CACHE_WORDS = 1_000_000
+#: The marks that compose with A-Z or a-z.
+MARK = re.compile("[\u0300-\u036f]")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_to long"
@@ -29,8 +32,10 @@ class WordEncoder:
     """ids of whole texts, as little-endian uint32 bytes, word by word through a bounded cache.
 
     The tokenizer folds case and splits at white space before anything else, so a text's ids are its words' ids in
-    order, and A-Z may be folded beforehand. Words of letters alone are one unit each to the tokenizer, so many are
-    encoded in one call; a full stop or comma after a letter is a unit of its own.
+    order. A-Z may be folded beforehand, except in words that may hold a special token, and before marks (J with a
+    caron composes only once folded). Words of letters alone are one unit each to the tokenizer, so many are encoded
+    in one call; a full stop or comma after a letter is a unit of its own. What a letter is the tokenizer decides
+    (see probe()): some, such as U+0130 and U+FB2A, become a letter and a mark, which is a unit apart.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -38,29 +43,47 @@ class WordEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
         self.known = {"": b""}
+        self.letters, self.probed = set(), set()
+        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids
+
+    def probe(self, chars: set[str]) -> None:
+        """Adds to ``letters`` those that stay letters alone: in a word and before a full stop they begin no unit."""
+        for c in chars - self.probed:
+            if c.isalpha():
+                e = self.tokenizer.encode(f"a{c}a{c}.", add_special_tokens=False)
+                if e.word_ids[-2:] == [0, 1] and e.ids[-1:] == self.stop:
+                    self.letters.add(c)
+        self.probed |= chars
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known, new = {"": b""}, list(words)
-        ended = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha()]
-        plain = {w for w in new if not (w[-1] in ".," and w[-2:-1].isalpha())} | {w[:-1] for w in ended} | {".", ","}
+            self.known, new = {"": b""}, [w for w in words if w]
+        self.probe(set().union(*new))
+        ended = [w for w in new if w[-1] in ".," and w[-2:-1] in self.letters]
+        plain = {w for w in new if not (w[-1] in ".," and w[-2:-1] in self.letters)} | {w[:-1] for w in ended} | {".", ","}
         plain = [w for w in plain if w not in self.known]
-        letters = [w for w in plain if w.isalpha()]
+        letters = [w for w in plain if self.letters.issuperset(w)]
         for at in range(0, len(letters), 1024):
             part = letters[at : at + 1024]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids, ends = np.array(e.ids, "<u4").tobytes(), np.searchsorted(e.word_ids, np.arange(len(part) + 1)).tolist()
             for w, a, b in zip(part, ends, ends[1:], strict=False):
                 self.known[w] = ids[4 * a : 4 * b]
-        rest = [w for w in plain if not w.isalpha()]
+        rest = [w for w in plain if not self.letters.issuperset(w)]
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
         for w in ended:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
+    @staticmethod
+    def split(text: str) -> list[str]:
+        if "<|" in text or not text.isascii() and MARK.search(text):
+            return [w.lower() if w.isascii() and "<|" not in w else w for w in text.replace("\n", " ").split(" ")]
+        return text.encode().lower().decode().replace("\n", " ").split(" ")
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        split = [self.split(t or "") for t in texts]
         out: list[bytes | None] = []
         for words in split:
             try:

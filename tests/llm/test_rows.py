@@ -188,6 +188,22 @@ def test_packing(docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_words_in_batches_give_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    texts = [
+        "abc İstanbul def", "abc \ufb2a def", "one İ. two\ufb2a, three", "x <|ENDOFTEXT|> y <|endoftext|> Z<|EndOfText|>.", "J\u030cX H\u0331 T\u0323\u0308 y", "\u0958क ab क़ cd",
+        "plain  words, only.", "ΑΣ. ΌΣΟΣ ǅ, ﬁ ß ẞ K Å 각 \u1100\u1161", "\U0001e900\U0001df00. \U00031350, a\u1c89b.",
+    ]
+    for text in texts:
+        for encode in (packing.WordEncoder(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer(), cache_words=3)):
+            for t in (text, "  " + text):
+                assert np.frombuffer(encode([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    encode = packing.WordEncoder(packing.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_first_fit():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 500):
