@@ -56,7 +56,8 @@ AT, DOT = r" ?[\[({<] ?at ?[\])}>] ?", r" ?[\[({<] ?dot ?[\])}>] ?"
 BRACKET_AT, BRACKET_DOT = re.compile(AT, re.I), re.compile(DOT, re.I)
 #: Bare words only where a whole address is spelled: name at host dot tld.
 BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}((?:{AT})| at |@)[A-Za-z0-9-]{{1,63}}((?: dot [A-Za-z0-9-]{{1,63}})+)(?![A-Za-z0-9-])", re.I)
-_CUE = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]| dot |[ .-](?:" + "|".join(DIGITS) + r")[ .-]", re.I)
+#: Found in every text that one of the patterns from SPELLED to BARE would rewrite.
+_CUE = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]| dot |\bplus [0-9]|[ .-](?:" + "|".join(DIGITS) + r")[ .-]", re.I)
 
 
 def luhn(digits: str) -> bool:

@@ -136,6 +136,19 @@ def test_disguises():
     assert hidden("4111 1111 1111 1111") == [] and pii.redact("mail a@b.co now") == "mail <EMAIL> now"
 
 
+def test_disguises_need_no_unrelated_cue(monkeypatch):
+    for text in ("call plus 1 555 010 4477 now", "PLUS 1 555 010 4477", "é plus 15550104477."):
+        base, more = pii.scan(text)
+        assert base == [] and [k for _, _, k in more] == [3] and pii.scan(text + " one ") == (base, more) and "<PHONE>" in pii.redact(text)
+    assert pii.scan("surplus 1 555 010 4477")[1] == []
+    rng = np.random.default_rng(8)
+    parts = ["plus", "surplus", "1 555 010 4477", "one", "two", "-", ".", " ", "(at)", "at", "dot", "[ dot ]", "<at", "ab", "a@b", "org", "seven eight nine zero one"]
+    texts = ["".join(x + " " * rng.integers(0, 2) for x in rng.choice(parts, 9)) for _ in range(5000)]
+    found = [pii.scan(t) for t in texts]
+    monkeypatch.setattr(pii, "_CUE", re.compile(""))
+    assert found == [pii.scan(t) for t in texts]
+
+
 def test_random_texts_and_long_runs():
     rng = np.random.default_rng(6)
     for _ in range(3000):
