@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,14 +50,22 @@ def check_metrics(metrics: Sequence[Metric]) -> None:
 
 def sample_indices(label: np.ndarray, n: int, seed: int = SEED, both_classes: bool = False) -> list[np.ndarray]:
     """n draws of len(label) places with replacement; with both_classes, draws that lack one are drawn again."""
+    _check_classes(label, both_classes)
+    return list(_draws(label, n, seed, both_classes))
+
+
+def _check_classes(label: np.ndarray, both_classes: bool) -> None:
     if both_classes and not (set(np.unique(label)) == {0, 1}):
         raise ConstraintError("a binary metric needs labels 0 and 1, and both")
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < n:
+
+
+def _draws(label: np.ndarray, n: int, seed: int, both_classes: bool) -> Iterator[np.ndarray]:
+    rng = np.random.default_rng(seed)
+    while n > 0:
         draw = rng.integers(0, len(label), len(label))
         if not both_classes or len(np.unique(label[draw])) == 2:
-            out.append(draw)
-    return out
+            n -= 1
+            yield draw
 
 
 def summary(samples: np.ndarray, level: float = LEVEL) -> tuple[float, float, int, float, float, float]:
@@ -83,12 +91,13 @@ def exact_bootstrap(df: DataFrame, by: Sequence[str], id_col: str, label: str, p
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(id_col, kind="stable")
         y = group[label].to_numpy()
-        draws = sample_indices(y, n, seed, any(m.binary for m in metrics)) if n else [np.arange(len(y))]
-        rows = []
-        for p in predictions:
-            x = group[p].to_numpy()
-            for m in metrics:
-                rows.append((*group[list(by)].iloc[0], p, label, m.name, *summary(np.array([m.function(y[d], x[d]) for d in draws]), level)))
+        both = any(m.binary for m in metrics)
+        _check_classes(y, both and n > 0)
+        found = {(p, m): [] for p in predictions for m in metrics}
+        for d in _draws(y, n, seed, both) if n else [np.arange(len(y))]:  # one draw in memory at a time
+            for (p, m), values in found.items():
+                values.append(m.function(y[d], group[p].to_numpy()[d]))
+        rows = [(*group[list(by)].iloc[0], p, label, m.name, *summary(np.array(values), level)) for (p, m), values in found.items()]
         return pd.DataFrame(rows, columns=[*by, *(c.split()[0] for c in RESULT.split(", "))])
 
     return used.groupBy(*by).applyInPandas(run, f"{keys}, {RESULT}")
