@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,39 +15,89 @@ from ratewell.llm.text import Words, slices, string_buffer
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-#: (bytes below which the band holds, least and most ratio of raw to compressed bytes). Short texts compress little
-#: whatever they say, long ones more; so each length has its own limits. The first band sets none.
-DOCUMENT_BANDS = ((200, 0.0, float("inf")), (500, 1.12, 3.2), (1000, 1.25, 3.6), (2000, 1.4, 4.2), (4000, 1.5, 4.8), (16000, 1.55, 5.5), (float("inf"), 1.6, 6.0))
-#: The same for chunks; a document fails when more than CHUNK_SHARE of its chunks do.
-CHUNK_BYTES = 2048
-CHUNK_BANDS = ((512, 0.0, float("inf")), (1024, 1.2, 4.0), (float("inf"), 1.35, 4.8))
-CHUNK_SHARE = 0.5
+#: Texts are banded by length, two bands to each doubling of their bytes: long ones compress more, whatever they say.
+BANDS_PER_DOUBLING = 2
+#: Documents are also judged by chunks of so many bytes; one fails when more than CHUNK_SHARE of its chunks do.
+CHUNK_BYTES, CHUNK_SHARE = 2048, 0.5
+#: Spreads (distance of the quartiles of the logarithm of the ratio, LEAST_SPREAD at least) beyond the quartiles of its band at which a ratio is rejected.
+FENCE, CHUNK_FENCE, LEAST_SPREAD = 2.5, 3.0, 0.04
+#: Steps of the logarithm in which ratios are counted.
+BIN = 0.005
 LEVEL = 3
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "ratio double, n_chunks long, n_bad_chunks long"
+    "ratio double, n_chunks long, n_bad_chunks long, low double, high double"
 )
+#: (whether of chunks, band): least and most ratio.
+Limits = dict[tuple[bool, int], tuple[float, float]]
 
 
-def limits(bands: tuple, size: int) -> tuple[float, float]:
-    return next((low, high) for most, low, high in bands if size < most)
+def band(size: int) -> int:
+    return int(BANDS_PER_DOUBLING * math.log2(size))
 
 
-def compression(raw: bytes, pack, bands: tuple = DOCUMENT_BANDS, chunk: int = CHUNK_BYTES, chunk_bands: tuple = CHUNK_BANDS, share: float = CHUNK_SHARE) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, chunks, chunks out of their band, and whether the document stays. ``pack`` compresses bytes."""
+def ratios(raw: bytes, pack) -> tuple[float, list[tuple[int, float]]]:
+    """Raw to compressed bytes of the whole, and (bytes, ratio) of each chunk. ``pack`` compresses bytes."""
+    whole = len(raw) / len(pack(raw))
+    parts = [raw[at : at + CHUNK_BYTES] for at in range(0, len(raw), CHUNK_BYTES)]
+    return whole, [(len(part), len(part) / len(pack(part)) if len(parts) > 1 else whole) for part in parts]
+
+
+def compression(raw: bytes, pack, limits: Limits) -> tuple[float, int, int, bool, float, float]:
+    """Ratio of the whole, chunks, chunks out of their band, whether the document stays, and the whole's limits. A band without limits rejects nothing."""
     if not raw:
-        return 0.0, 0, 0, True
-    ratio = len(raw) / len(pack(raw))
-    low, high = limits(bands, len(raw))
-    bad = n = 0
-    for at in range(0, len(raw), chunk):
-        part = raw[at : at + chunk]
-        least, most = limits(chunk_bands, len(part))
-        n += 1
-        if most != float("inf"):
-            bad += not least <= (len(part) / len(pack(part)) if len(part) != len(raw) else ratio) <= most
-    return ratio, n, bad, low <= ratio <= high and bad <= share * n
+        return 0.0, 0, 0, True, 0.0, math.inf
+    everything = (0.0, math.inf)
+    ratio, chunks = ratios(raw, pack)
+    low, high = limits.get((False, band(len(raw))), everything)
+    bad = 0
+    for size, own in chunks:
+        least, most = limits.get((True, band(size)), everything)
+        bad += not least <= own <= most
+    return ratio, len(chunks), bad, low <= ratio <= high and bad <= CHUNK_SHARE * len(chunks), low, high
+
+
+def fences(counts: dict[int, int], fence: float) -> tuple[float, float]:
+    """Limits of a ratio from its counts by bin."""
+    bins = sorted(counts)
+    upto = np.cumsum([counts[b] for b in bins])
+    low, high = ((bins[int(np.searchsorted(upto, share * upto[-1]))] + 0.5) * BIN for share in (0.25, 0.75))
+    room = fence * max(high - low, LEAST_SPREAD)
+    return math.exp(low - room), math.exp(high + room)
+
+
+def fit_limits(docs: DataFrame, text_col: str = "text") -> Limits:
+    """Limits of every length band, from the ratios of all documents and all of their chunks.
+
+    Equal texts count once, so copies don't set limits. Counts by (band, bin) come to the driver: a few thousand, whatever
+    the input's size. They are exact and don't depend on partitions.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        bin_ = lambda ratio: math.floor(math.log(ratio) / BIN)
+        for batch in slices(batches):
+            raw, offsets = string_buffer(batch.column("text"))
+            data, cells = raw.tobytes(), []
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                if a == b:
+                    cells.append([])
+                    continue
+                whole, chunks = ratios(data[a:b], pack)
+                cells.append([{"chunk": False, "band": band(int(b - a)), "bin": bin_(whole)}, *({"chunk": True, "band": band(size), "bin": bin_(own)} for size, own in chunks)])
+            kind = pa.list_(pa.struct([("chunk", pa.bool_()), ("band", pa.int32()), ("bin", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cells, kind)], names=["key", "cells"])
+
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).filter("text <> ''")
+    once = texts.mapInArrow(measure, "key long, cells array<struct<chunk boolean, band int, bin int>>").groupBy("key").agg(F.min("cells").alias("cells"))
+    counted = once.select(F.inline("cells")).groupBy("chunk", "band", "bin").agg(F.count(F.lit(1)).alias("n"))
+    by_band: dict[tuple[bool, int], dict[int, int]] = {}
+    for r in counted.collect():
+        by_band.setdefault((r.chunk, r.band), {})[r.bin] = r.n
+    return {k: fences(n, CHUNK_FENCE if k[0] else FENCE) for k, n in by_band.items()}
 
 
 def repeated_words(words: Words) -> np.ndarray:
@@ -76,17 +127,20 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, **bands) -> DataFrame:
-    """One row per document: counts, base_failed and kept, with the compression figures behind the verdict.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, limits: Limits | None = None) -> DataFrame:
+    """One row per document: counts, base_failed and kept, with the compression figures and limits behind the verdict.
 
     n_words and word_chars count maximal runs of characters other than space and 09-0D, and their code points;
     n_symbols the characters of SYMBOLS; n_dup_lines lines that hold a word and equal an earlier line;
     n_repeat_words words in 3-word windows found twice or more. base_failed: under ``min_words`` words, or more
-    than ``max_repeat`` per cent of the words repeat. kept: not base_failed, and every compression limit holds.
+    than ``max_repeat`` per cent of the words repeat. kept: not base_failed, and the ratio of the whole, and of enough of
+    its chunks, lie within the limits of their length. ``limits``: fit_limits() of another table; None: of this one.
 
-    Null text counts as empty (no words: base_failed). Null ids pass through. Rows are judged alone, so repeated
-    rows get equal answers; nothing is shuffled. Extra columns are ignored. An empty table gives an empty result.
+    Null text counts as empty (no words: base_failed). Null ids pass through. Given the limits, rows are judged alone, so
+    repeated rows get equal answers; no text is shuffled, and texts of any length are read whole. A ratio on a limit is
+    within it. Extra columns are ignored. An empty table gives an empty result.
     """
+    limits = fit_limits(docs, text_col) if limits is None else limits
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -105,30 +159,32 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             n_symbols = sums(np.isin(raw, np.frombuffer(SYMBOLS.encode(), np.uint8)))
             n_repeat = repeated_words(words)
             dup = [duplicate_lines(data[a:b].decode()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            found = [compression(data[a:b], pack, **bands) for a, b in zip(offsets, offsets[1:], strict=False)]
+            found = [compression(data[a:b], pack, limits) for a, b in zip(offsets, offsets[1:], strict=False)]
             failed = (words.count < min_words) | (100 * n_repeat > max_repeat * words.count)
             kept = ~failed & np.array([x[3] for x in found], bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(np.asarray(x, np.int64)) for x in (words.count, word_chars, n_symbols, dup, n_repeat)), pa.array(failed), pa.array(kept)]
-                + [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
+                + [pa.array([x[k] for x in found], pa.int64() if k in (1, 2) else pa.float64()) for k in (0, 1, 2, 4, 5)],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, SCHEMA)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, **how) -> DataFrame:
     """The rows that the rules keep, with all their columns. Rows with a null id are judged like others: by text."""
     from pyspark.sql.types import BooleanType
 
+    limits = fit_limits(docs, text_col) if limits is None else limits
+
     @F.pandas_udf(BooleanType())
     def kept(text: pd.Series) -> pd.Series:
-        return verdicts(text, **how)
+        return verdicts(text, limits, **how)
 
     return docs.filter(kept(F.col(text_col)))
 
 
-def verdicts(text, min_words: int = 50, max_repeat: int = 50, **bands):
+def verdicts(text, limits: Limits, min_words: int = 50, max_repeat: int = 50) -> pd.Series:
     """kept, for a pandas column of texts."""
     import zstandard
 
@@ -140,5 +196,5 @@ def verdicts(text, min_words: int = 50, max_repeat: int = 50, **bands):
         words = Words(raw, offsets)
         data = raw.tobytes()
         failed = (words.count < min_words) | (100 * repeated_words(words) > max_repeat * words.count)
-        out += [not bad and compression(data[a:b], pack, **bands)[3] for bad, a, b in zip(failed, offsets, offsets[1:], strict=False)]
+        out += [not bad and compression(data[a:b], pack, limits)[3] for bad, a, b in zip(failed, offsets, offsets[1:], strict=False)]
     return pd.Series(out, dtype=bool)

@@ -28,7 +28,8 @@ def test_stages(spark):
             out = spark.createDataFrame(out.collect(), docs.schema)
             seen.append({r.doc_id: r.text for r in out.collect()})
     good, exact, near, private = seen
-    assert set(good) == {i for i, t in enumerate(texts()) if quality_rules.verdicts([t])[0]} == {*range(15), 19, 20}
+    limits = quality_rules.fit_limits(docs)
+    assert set(good) == {i for i, t in enumerate(texts()) if quality_rules.verdicts([t], limits)[0]} == {*range(15), 19, 20}
     assert set(exact) == set(good) - {1, 12}
     assert set(near) == set(exact) - {14}
     assert private == {i: pii.redact(t) for i, t in near.items()} and "<EMAIL>" in private[19] and "<IP>" in private[19]

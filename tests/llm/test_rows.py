@@ -45,8 +45,18 @@ def test_exact(docs):
         want[r.doc_id, keep, len(g), r.doc_id == keep, hashlib.sha256(norm(r.text).encode()).hexdigest()] += 1
     assert Counter(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
     left = exact_dedup.drop_exact(docs).collect()
-    assert Counter((r.doc_id, r.text) for r in left) == Counter((r.doc_id, r.text) for r in rows if r.doc_id == max((x for x in groups[norm(r.text)] if x is not None), default=None))
-    assert {norm(r.text) for r in left} == set(groups) and left[0].asDict().keys() == {"doc_id", "text", "kept", "_norm"}
+    assert Counter((r.doc_id, norm(r.text)) for r in left) == Counter((max((x for x in g if x is not None), default=None), t) for t, g in groups.items())
+    assert {(r.doc_id, r.text, r.kept, r._norm) for r in left} <= {(r.doc_id, r.text, r.kept, r._norm) for r in rows} and left[0].asDict().keys() == {"doc_id", "text", "kept", "_norm"}
+
+
+def test_exact_keeps_one_of_repeated_rows(spark):
+    rows = [(5, "Same", 1), (5, "same", 2), (5, "Same", 1), (5, "other", 3), (None, "alone", 1), (None, "alone", 1), (2, "same", 9), (1, None, 0), (3, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(4)
+    left = exact_dedup.drop_exact(df).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in left if r.doc_id) == [(3, ""), (5, "other"), (5, "same")] and [r.text for r in left if r.doc_id is None] == ["alone"]
+    assert sorted(map(tuple, left), key=str) == sorted(map(tuple, exact_dedup.drop_exact(df.repartition(1)).collect()), key=str)
+    assert {r.doc_id for r in exact_dedup.drop_exact(df, keep="min").collect()} == {1, 2, 5, None}
+    assert exact_dedup.drop_exact(df.limit(0)).count() == 0
 
 
 def test_exact_empty(spark, docs):
@@ -77,21 +87,62 @@ def test_quality(docs):
     for i, t in enumerate(TEXTS):
         assert tuple(got[i])[1:7] == brute_quality(t), (i, t and t[:50])
         assert not (got[i].base_failed and got[i].kept)
-    assert got[19].kept and not got[16].kept
-    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+    assert not got[16].kept
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect() if r.doc_id is not None} == {i for i, r in got.items() if r.kept}
     assert quality_rules.quality(docs.limit(0)).count() == 0
 
 
-def test_compression_bands():
+def banded_texts():
+    """Prose of several lengths, some of it repetitive, some of it noise."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 9, 800)]
+    prose = lambda n: " ".join(words[i] for i in rng.zipf(1.3, n) % 800)
+    noise = lambda n: " ".join("".join(map(chr, rng.integers(33, 255, 6))) for _ in range(n))
+    texts = [prose(n) for n in rng.integers(60, 2000, 300)]
+    same = ["".join(f"row {k % 40} of the table is here again " for k in range(n)) for n in (20, 60, 200)]
+    return texts + [texts[0]] * 40 + [noise(n) for n in (60, 200, 900)] + same + [texts[3] + noise(400)], {340, 341, 342}
+
+
+def plain_limits(texts):
+    import math
+
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    rng = np.random.default_rng(1)
-    noise, same = rng.integers(33, 255, 20000, np.uint8).tobytes(), b"the same again " * 2000
-    words = [bytes(rng.integers(97, 123, n, np.uint8)) for n in rng.integers(2, 9, 800)]
-    prose = b" ".join(words[i] for i in rng.zipf(1.3, 4000) % 800)
-    assert not quality_rules.compression(noise, pack)[3] and not quality_rules.compression(same, pack)[3] and quality_rules.compression(prose, pack)[3]
-    assert not quality_rules.compression(prose[:9000] + noise, pack)[3]
+    pack = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
+    found = {}
+    for raw in {t.encode() for t in texts if t}:
+        parts = [raw] + [raw[k : k + 2048] for k in range(0, len(raw), 2048)]
+        for k, part in enumerate(parts):
+            found.setdefault((k > 0, int(2 * math.log2(len(part)))), []).append(math.floor(math.log(len(part) / len(pack(part))) / 0.005))
+    out = {}
+    for key, bins in found.items():
+        bins.sort()
+        low, high = ((bins[math.ceil(share * len(bins)) - 1] + 0.5) * 0.005 for share in (0.25, 0.75))
+        room = (3.0 if key[0] else 2.5) * max(high - low, 0.04)
+        out[key] = math.exp(low - room), math.exp(high + room)
+    return out
+
+
+def test_compression_bands(spark):
+    import math
+
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
+    texts, noise = banded_texts()
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, None, 1)], "doc_id long, text string, limits int").repartition(5)
+    limits, want = quality_rules.fit_limits(df), plain_limits(texts)
+    assert limits.keys() == want.keys() and all(np.allclose(limits[k], want[k]) for k in want)
+    got = by_id(quality_rules.quality(df))
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        inside = lambda part, chunk: want[chunk, int(2 * math.log2(len(part)))][0] <= len(part) / len(pack(part)) <= want[chunk, int(2 * math.log2(len(part)))][1]
+        parts = [raw[k : k + 2048] for k in range(0, len(raw), 2048)]
+        stays = inside(raw, False) and sum(not inside(p, True) for p in parts) <= 0.5 * len(parts)
+        assert got[i].kept == (stays and not got[i].base_failed) and got[i].n_chunks == len(parts)
+    assert all(not got[i].kept and not got[i].base_failed for i in noise)
+    assert sum(got[i].kept for i in range(300)) > 280
+    assert {r.doc_id for r in quality_rules.keep_good(df, limits=limits).collect()} == {i for i, r in got.items() if r.kept}
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -154,8 +205,70 @@ def test_random_texts_and_long_runs():
     for _ in range(3000):
         text = "".join(rng.choice(list("0123456789..@+- ()ab%_\n"), rng.integers(1, 60)))
         assert [(a, k, b) for a, b, k in pii.find(text)] == brute_pii(text)
-    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "(at) " * 50_000, "one " * 50_000):
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "(at) " * 50_000, "one " * 50_000, "a at b dot c " * 30_000, " at " * 50_000):
         assert len(pii.scan(text)[0]) <= len(text)
+    for n in (64, 70, 5000):
+        assert [(k, text_[a:b]) for text_ in (f"to {'n' * n} at {'h' * n} dot {'t' * n} now",) for a, b, k in pii.scan(text_)[1]] == [(0, f"{'n' * n} at {'h' * n} dot {'t' * n}")]
+
+
+BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*((?:{pii.AT})| at |@)[A-Za-z0-9-]+((?: dot [A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+
+
+def plain_scan(text):
+    """All rewriting on a list of (character, source start, source end), one pattern after another."""
+    tape = [(c, i, i + 1) for i, c in enumerate(text)]
+
+    def rewrite(edits):
+        nonlocal tape
+        for a, b, new in sorted(edits, reverse=True):
+            tape[a:b] = [(c, tape[a][1], tape[b - 1][2]) for c in new]
+
+    now = lambda: "".join(c for c, _, _ in tape)
+    rewrite([(i, i + 1, pii.GLYPHS[ord(c)]) for i, c in enumerate(text) if ord(c) in pii.GLYPHS])
+    rewrite([e for m in BARE.finditer(now()) for e in ((m.start(1), m.end(1), "@"), *((m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in re.finditer(" dot ", m[2], re.I)))])
+    for pattern, new in ((pii.BRACKET_DOT, "."), (pii.BRACKET_AT, "@"), (pii.SPELLED_PLUS, "+")):
+        rewrite([(m.start(), m.end(), new) for m in pattern.finditer(now())])
+    rewrite([(m.start(), m.end(), "".join(pii.DIGITS[x] for x in re.split("[ .-]", m[0].lower()))) for m in pii.SPELLED.finditer(now())])
+    base = brute_pii(text)
+    more = {(tape[a][1], k, tape[b - 1][2]) for a, k, b in brute_pii(now())}
+    return base, sorted(x for x in more if not any(k == x[1] and a < x[2] and x[0] < b for a, k, b in base))
+
+
+def test_generated_disguises():
+    """Every kind of disguise in every kind of data, and mixtures of them, as a plain version finds them."""
+    rng = np.random.default_rng(12)
+    looks = {b: [chr(a) for a, x in pii.GLYPHS.items() if x == b] for b in set(pii.GLYPHS.values()) if b}
+    spell = {v: k for k, v in pii.DIGITS.items()}
+    at, dot = ["@", " at ", "(at)", " [AT] ", "{ at }"], [".", " dot ", "(dot)", " [ Dot ] "]
+
+    def glyphs(x):
+        x = "".join(rng.choice(looks[c]) if c in looks and rng.random() < 0.3 else c for c in x)
+        return "".join(c + "\u200b" * (rng.random() < 0.05) for c in x)
+
+    def digits(n):
+        d = [str(x) for x in rng.integers(0, 10, n)]
+        return " ".join(spell[x] for x in d) if rng.random() < 0.5 else glyphs("".join(d))
+
+    def one():
+        kind = rng.integers(0, 5)
+        if kind == 0:
+            return glyphs("jane.d") + rng.choice(at) + glyphs("mail") + "".join(rng.choice(dot) + x for x in rng.choice(["example", "org", "co"], 2))
+        if kind == 1:
+            return glyphs(".".join(str(x) for x in rng.integers(0, 270, 4)))
+        if kind == 2:
+            return glyphs("4111 1111 1111 1111") if rng.random() < 0.5 else digits(16)
+        if kind == 3:
+            return rng.choice(["+", "plus "]) + digits(11)
+        return str(rng.choice(["at noon", "dot", "one two", "(at)", "plus 5", "\u00ad", "сор", "x@y.zz", "10.0.0.1"]))
+
+    added = Counter()
+    for _ in range(4000):
+        text = str(rng.choice(["", "see "])) + str(rng.choice([" ", ", ", "; and "])).join(one() for _ in range(rng.integers(1, 5)))
+        base, more = pii.scan(text)
+        want = plain_scan(text)
+        assert [(a, k, b) for a, b, k in base] == want[0] and sorted((a, k, b) for a, b, k in more) == want[1], text
+        added.update(k for _, _, k in more)
+    assert all(added[k] > 100 for k in (0, 1, 2, 3)), added
 
 
 def test_offsets_survive_rewriting():
@@ -217,6 +330,20 @@ def test_words_in_batches_give_the_ids_of_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_letter_keeps_its_neighbours_ids():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer())
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and not 0x3400 <= c < 0xD7A4 and not 0x17000 <= c < 0x18D00 and c < 0x20000]
+    texts = ["so " + " ".join(f"{c}xy a{c}, b{c}" for c in letters[k : k + 9]) + " was warm today." for k in range(0, len(letters), 9)]
+    rng = np.random.default_rng(0)
+    texts += ["".join(chr(int(x)) if y < 0.8 else " " for x, y in zip(np.where(rng.random(40) < 0.5, rng.integers(32, 0x600, 40), rng.integers(0xE000, 0x1F000, 40)), rng.random(40), strict=True)) for _ in range(2000)]
+    got = encode(texts)
+    assert [t for t, g in zip(texts, got, strict=True) if np.frombuffer(g, "<u4").tolist() != whole.encode(t, add_special_tokens=False).ids] == []
+
+
 def test_first_fit():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 500):
