@@ -55,8 +55,9 @@ SPELLED_PLUS = re.compile(rf"\bplus (?={_DIGIT}[ .-]{_DIGIT}\b|[0-9])", re.I)
 AT, DOT = r" ?[\[({<] ?at ?[\])}>] ?", r" ?[\[({<] ?dot ?[\])}>] ?"
 BRACKET_AT, BRACKET_DOT = re.compile(AT, re.I), re.compile(DOT, re.I)
 #: Bare words only where a whole address is spelled: name at host dot tld.
-BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}((?:{AT})| at |@)[A-Za-z0-9-]{{1,63}}((?: dot [A-Za-z0-9-]{{1,63}})+)(?![A-Za-z0-9-])", re.I)
-#: Found in every text that one of the patterns from SPELLED to BARE would rewrite.
+BARE_AT = re.compile(rf"(?:{AT})| at |@", re.I)
+BARE_HOST = re.compile(r"[A-Za-z0-9-]++((?: dot [A-Za-z0-9-]++)++)", re.I)
+#: Found in every text that one of the patterns from SPELLED to BARE_AT would rewrite.
 _CUE = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]| dot |\bplus [0-9]|[ .-](?:" + "|".join(DIGITS) + r")[ .-]", re.I)
 
 
@@ -145,6 +146,22 @@ class Tape:
         return start, s + b - self.at[k] if same else e
 
 
+def bare(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that turn "name at host dot tld" into an address; found from each "at" outwards, so parts may be of any length."""
+    done = at = 0
+    while m := BARE_AT.search(text, at):
+        at, start = m.start() + 1, m.start()
+        if not (host := BARE_HOST.match(text, m.end())):
+            continue
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if done <= start < m.start() and text[start].isalnum():
+            yield m.start(), m.end(), "@"
+            for dot in re.finditer(" dot ", host[1], re.I):
+                yield host.start(1) + dot.start(), host.start(1) + dot.end(), "."
+            done = at = host.end()
+
+
 def normalise(text: str) -> Tape | None:
     """The tape after all rewriting, None if nothing had to be rewritten."""
     glyphs = not text.isascii() and GLYPH.search(text)
@@ -153,7 +170,7 @@ def normalise(text: str) -> Tape | None:
     tape = Tape(text)
     if glyphs:
         tape.rewrite([(m.start(), m.end(), GLYPHS[ord(m[0])]) for m in GLYPH.finditer(tape.text)])
-    tape.rewrite(sorted(e for m in BARE.finditer(tape.text) for e in ((m.start(1), m.end(1), "@"), *((m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in re.finditer(" dot ", m[2], re.I)))))
+    tape.rewrite(list(bare(tape.text)))
     tape.rewrite([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "+") for m in SPELLED_PLUS.finditer(tape.text)])
@@ -194,11 +211,12 @@ def redact(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_found long"
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: base counts by kind, digest of the base spans, all spans, and how many the method added.
+    """One row per document: base counts by kind, digest of the base spans, all spans, how many the method added,
+    and how many there are in all.
 
     Offsets are code points of the source text, end exclusive. Null text counts as empty: no spans, and the digest
     of the empty string. Rows are scanned alone and whole: null ids and repeated rows pass through, nothing is
@@ -214,10 +232,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n = [0] * 4
                 for x in base:
                     n[x[2]] += 1
-                rows.append((i, *n, hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(more)))
+                rows.append((i, *n, hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(more), len(base) + len(more)))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
