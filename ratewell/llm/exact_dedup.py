@@ -48,11 +48,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each group of equal texts.
 
-    A row goes if its id and its text were reported as not kept; so a row with another text under the same id stays, and
-    a row with a null id goes if its text stays under an id.
+    The groups are those of exact_groups(): keyed by (hash, bytes), so colliding texts stay apart. Whole rows go through
+    one shuffle, and partial aggregation leaves one row per text and task before it. Among rows that share an id and a
+    text, the one with the largest hash of all its columns stays (rows that agree in it too are the same row stored
+    twice). Null text counts as empty; a null id stays only where no row of the group has an id. Empty table: empty result.
     """
-    gone = exact_groups(docs, id_col, text_col, fold_case, keep).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_text"))
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(fold_ascii(text) if fold_case else text, 256) == gone["_text"]), "left_anti")
+    norm, every = fold_ascii(text) if fold_case else text, [docs[c] for c in docs.columns]
+    row = F.struct(*(c.alias(f"c{k}") for k, c in enumerate(every)))
+    whole = docs.select(F.unhex(F.md5(norm)).alias("_hash"), norm.alias("_norm"), row.alias("_row"), docs[id_col].alias("_id"), F.xxhash64(F.to_json(row)).alias("_tie"))
+    order = F.struct(F.col("_id").isNotNull() if keep == "max" else F.col("_id").isNull(), "_id", "_tie")
+    left = whole.groupBy("_hash", "_norm").agg((F.max_by if keep == "max" else F.min_by)("_row", order).alias("_row"))
+    return left.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
