@@ -67,7 +67,8 @@ class Pieces:
     Merge-trained (BPE) models: scores are merge ranks, whose sum doesn't choose what the merges would. But merges of a
     word keep the border between two neighbouring pieces exactly if merging the two pieces' characters alone keeps it.
     So each prefix of a word has one last piece that gets on with the one before it, and the same forward pass finds it:
-    a piece gains nothing where it gets on with the best last piece before it, and is ruled out elsewhere.
+    a piece gains nothing where it gets on with the best last piece before it, and is ruled out elsewhere. Whether two
+    pieces get on is found from the scores for many pairs at once (``ask``), and remembered.
     Characters that are no piece become the byte pieces of their UTF-8. A U+2581 in a text does too, as the model writes
     spaces that way; so decoding gives every text back.
     """
@@ -80,7 +81,7 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(n)]
         usual = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.byte_id = np.zeros(256, np.uint32)
-        self.model, self.merges, self.size = model, model_type(model.serialized_model_proto()) == 2, n
+        self.merges, self.size = model_type(model.serialized_model_proto()) == 2, n
         self.pair, self.agrees = np.full(1 << 21, -1), np.zeros(1 << 21, bool)  # answers by hash of the pair; a later pair takes the place
         self.spelled = [b""] * n
         for i in range(n):
@@ -100,6 +101,34 @@ class Pieces:
         self.maybe = np.zeros(1 << 22, bool)  # whether any key begins with these bits
         self.maybe[self.keys >> np.uint64(42)] = True
         self.known, self.past, self.most = {}, {}, cache_words
+        if self.merges:
+            self.prepare_merges({names[i]: i for i in usual}, np.array([model.get_score(i) for i in range(n)]))
+
+    def prepare_merges(self, usual: dict[str, int], scores: np.ndarray) -> None:
+        """What merging knows: every pair of pieces that together are a piece; and of each piece, its rank among merges
+        (single characters come first) and the two pieces that its own merge joins (itself, if it is no merge).
+
+        ``tied``: pieces whose rank others share, and those that merging never makes; they are merged in full when asked.
+        """
+        pairs = sorted((usual[x[:k]] * self.size + usual[x[k:]], own) for x, own in usual.items() for k in range(1, len(x)) if x[:k] in usual and x[k:] in usual)
+        self.pair_keys, self.pair_ids = np.array([k for k, _ in pairs] or [-1]), np.array([own for _, own in pairs] or [-1])
+        self.pair_scores = scores[self.pair_ids]
+        self.letters = {own: [usual.get(c, -1) for c in x] for x, own in usual.items()}
+        several = np.array([own for own, x in self.letters.items() if len(x) > 1] or [-1])
+        self.rank, self.head, self.tail = np.arange(self.size), np.arange(self.size), np.arange(self.size)
+        self.tied = np.zeros(self.size, bool)
+        order = several[np.lexsort((several, -scores[several]))]
+        self.rank[order] = self.size + np.arange(len(order))
+        same = scores[order][1:] == scores[order][:-1]
+        self.tied[order[1:][same]] = self.tied[order[:-1][same]] = True
+        longest = max(map(len, self.letters.values()))
+        for at in range(0, len(several), 8192):
+            own = several[at : at + 8192]
+            rows = np.array([self.letters[x] + [-2] * (longest - len(self.letters[x])) for x in own.tolist()])
+            end, last = self.merge(rows)
+            made = (end[:, 0] == own) & (end[:, 1] == -2)
+            self.tied[own[~made]] = True
+            self.head[own[made]], self.tail[own[made]] = last[made].T
 
     @staticmethod
     def fold(points: np.ndarray) -> np.uint64:
@@ -174,20 +203,79 @@ class Pieces:
         unseen = np.flatnonzero(self.pair[place] != codes)
         if len(unseen):
             new, back = np.unique(codes[unseen], return_inverse=True)
-            answers = self.ask(new.tolist())
+            answers = self.ask(*np.divmod(new, self.size))
             kept[unseen] = answers[back]
             place = mix(new.astype(np.uint64)) >> np.uint64(43)
             self.pair[place], self.agrees[place] = new, answers
         out[which] = np.where(kept, 0, -np.inf)
         return out
 
-    def ask(self, codes: list[int]) -> np.ndarray:
-        """Whether the library's merges keep the border of each pair (first piece times size, plus second piece)."""
-        pairs = [(c // self.size, c % self.size) for c in codes]
-        spelled = [(self.spelled[a] if a < self.size else b"") + self.spelled[b] for a, b in pairs]
-        # The library puts a space in front; before any other character, a line feed (a byte piece) keeps that apart.
-        coded = self.model.encode([(x[1:] if x[:1] == b" " else b"\n" + x).decode() for x in spelled])
-        return np.array([x == b" " or ids[2 * (x[:1] != b" ") :] == ([a, b] if a < self.size else [b]) for (a, b), x, ids in zip(pairs, spelled, coded, strict=True)], bool)
+    def ask(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether merges keep the border of each pair of pieces; first: ``size`` or more where no piece stands before.
+
+        A merge across the border would join a piece on the right edge of the first, as it was at some time, and one on
+        the left edge of the second. Both edges are taken back merge by merge, the later one first; a pair that makes a
+        piece before either of its members goes on into a larger piece breaks the border.
+        """
+        alone = first >= self.size
+        tied = self.tied[second] | ~alone & self.tied[np.where(alone, 0, first)]
+        out = np.ones(len(first), bool)
+        out[tied] = self.ask_in_full(first[tied], second[tied])
+        who = np.flatnonzero(~alone & ~tied)
+        a, b, limit = first[who], second[who], np.full(len(who), np.iinfo(np.int64).max)
+        while len(who):
+            score, both = self.joined(a, b)
+            broken = (score > -np.inf) & (self.rank[both] < limit)
+            out[who[broken]] = False
+            later = self.rank[a] > self.rank[b]
+            rank_a, rank_b = self.rank[a], self.rank[b]
+            whole_a, whole_b = self.tail[a] == a, self.head[b] == b
+            left = np.where(later, ~whole_a, whole_b & ~whole_a)  # the edge that is taken back
+            done = broken | whole_a & whole_b
+            limit = np.where(left, rank_a, rank_b + 1)
+            a, b = np.where(left, self.tail[a], a), np.where(left, b, self.head[b])
+            who, a, b, limit = (x[~done] for x in (who, a, b, limit))
+        return out
+
+    def ask_in_full(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The same by merging all characters of each pair."""
+        spelled = [(self.letters[a] if a < self.size else []) + self.letters[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)]
+        if not spelled:
+            return np.zeros(0, bool)
+        size = max(3, *map(len, spelled))
+        left = self.merge(np.array([x + [-2] * (size - len(x)) for x in spelled]))[0]
+        return np.where(first >= self.size, (left[:, 0] == second) & (left[:, 1] == -2), (left[:, 0] == first) & (left[:, 1] == second) & (left[:, 2] == -2))
+
+    def merge(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of pieces after all merges, filled up with -2, and the two pieces that each row's last merge joined: in
+        each round every row merges the neighbours whose piece has the best score, the leftmost of equals."""
+        rows, (n, size) = rows.copy(), rows.shape
+        alive, place, last = np.arange(n), np.arange(size), np.full((n, 2), -2)
+        gain, into = (x.reshape(n, size - 1) for x in self.joined(rows[:, :-1].ravel(), rows[:, 1:].ravel()))
+        while size > 1 and len(alive):
+            at = gain[alive].argmax(1)
+            more = gain[alive, at] > -np.inf
+            alive, at = alive[more], at[more]
+            last[alive] = np.stack([rows[alive, at], rows[alive, at + 1]], 1)
+            rows[alive, at] = into[alive, at]
+            shift = place + (place > at[:, None])
+            rows[alive] = np.take_along_axis(np.column_stack([rows[alive], np.full(len(alive), -2)]), shift, 1)
+            shift = np.minimum(shift[:, :-1], size - 1)
+            gain[alive] = np.take_along_axis(np.column_stack([gain[alive], np.full(len(alive), -np.inf)]), shift, 1)
+            into[alive] = np.take_along_axis(np.column_stack([into[alive], np.full(len(alive), -2)]), shift, 1)
+            for k in (at - 1, at):
+                fits = (k >= 0) & (k < size - 1)
+                who, k = alive[fits], k[fits]
+                gain[who, k], into[who, k] = self.joined(rows[who, k], rows[who, k + 1])
+        return rows, last
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece that two neighbours make, minus infinity if none."""
+        key = np.where((a < 0) | (b < 0), -1, a * self.size + b)
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        hit = self.pair_keys[at] == key
+        return np.where(hit & (key >= 0), self.pair_scores[at], -np.inf), self.pair_ids[at]
 
     def learn(self, words: set[str]) -> None:
         if 2 * (len(self.known) + len(words)) > self.most:  # words not met since the last time are forgotten
@@ -261,7 +349,9 @@ DIGEST = "doc_id long, n_tokens long, n_bytes_pieces long, ids_crc32 long, round
 
 def coding_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """Per document: tokens, tokens that are byte pieces, CRC-32 of the ids (little-endian uint32), and whether decoding
-    gives the text back exactly. Null text counts as empty; null ids and repeated rows pass through."""
+    gives the text back exactly. Null text counts as empty: no tokens. Null ids and repeated rows pass through, each row on
+    its own. Texts of any length are coded whole; of segmentations with equal scores the one with the shortest last piece
+    wins. Extra columns are ignored. Empty table: empty result. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces_of(model or default_model())
