@@ -130,7 +130,18 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    Odd sketches come first: pairs whose estimate is too low are dropped, and full sets are joined to the others only.
+    """
+    least = percent / 100 - MARGIN
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array(estimate(np.bitwise_count(x ^ y).sum(1)) >= least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +154,14 @@ def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = profile.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
-    right = profile.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
-    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        left = profile.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
+        right = profile.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
+        return pairs.join(left, "a").join(right, "b")
+
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    proposed = stored(beside(pairs, "sketch").filter(alike).select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
+    return beside(proposed, "shingles").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +213,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Equal sets are one class, found by a 128-bit set id; only the smallest id of a class goes on.
     2. Bands of MinHash values bucket the classes. In each bucket every member is paired with one hub, the member
        whose buckets are fullest, i.e. the one nearest to the others; pairs grow as the bucket, not as its square.
-    3. Pairs are checked on their full sets, links are contracted to components.
+    3. Odd sketches drop pairs that are too far apart, the others are checked on their full sets; links are contracted
+       to components.
     4. Buckets that still hold two components or more are compared by odd sketch between components, in blocks; what
        the sketches don't rule out is checked on full sets too. So every link between bucket mates is found or implied.
 
