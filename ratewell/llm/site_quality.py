@@ -106,14 +106,16 @@ def posterior_quality(
 ) -> DataFrame:
     """One row per document: doc_id, p_document, p_host, p_path, p_quality, kept.
 
-    p_document: a linear model over text statistics. p_host: the mean of its host's documents, shrunk towards the mean
-    of all by a number of pseudo-documents estimated from how much hosts differ (``strength``); p_path: likewise of the
-    host's path, towards p_host. p_quality: the document's odds times the odds of its path against those of all
-    documents; so a sparse site leaves the document's own evidence as it is. kept: p_quality >= ``least``.
+    p_document: a linear model over text statistics. p_host: the mean of its host's other documents, shrunk towards the
+    mean of all by a number of pseudo-documents estimated from how much hosts differ (``strength``); p_path: likewise of
+    the host's path, towards p_host. A document's own evidence is left out of both, so it counts once. p_quality: the
+    document's odds times the odds of its path against those of all documents; so a sparse site leaves the document's own
+    evidence as it is. kept: p_quality >= ``least``.
 
     Sites are aggregated with partial sums, and joined back on (host, path) by a join that can split a hot site. Only
-    three sums per level reach the driver. Null or empty text has all statistics 0; a null host or path is a site of
-    its own. Null ids and repeated rows pass through. Empty table: empty result; without labels p_document is 0.5.
+    three sums per level reach the driver. Null or empty text has all statistics 0, and texts of any length are read
+    whole; a null host or path is a site of its own. Null ids and repeated rows pass through, each counting for its site.
+    Extra columns are ignored. Empty table: empty result; without labels p_document is 0.5, and a tie with ``least`` is kept.
     """
     ensure_checkpoints(docs.sparkSession)
     scored = evidence(docs, document_model(docs, labels, id_col, text_col, label, rows), id_col, text_col, host, path).checkpoint()
@@ -124,11 +126,13 @@ def posterior_quality(
     mean = F.lit(min(max(float(total["sum"] / total["n"]), 1e-4), 1 - 1e-4) if total["n"] else 0.5)
     level = lambda df, around: df.select("*", (F.col("sum") / F.col("n")).alias("mean"), around.alias("around"), (F.col("squares") - F.col("sum") ** 2 / F.col("n")).alias("within"))
     k = strength(level(hosts, mean))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("sum") + k * mean) / (F.col("n") + k)).alias("p_host"), (F.col("sum") / F.col("n")).alias("host_mean"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    k = strength(level(paths, F.col("host_mean")))
-    paths = paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "p_host", ((F.col("sum") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path")).checkpoint()
-    out = scored.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    p = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("p_path")) - _logit(mean))))
-    out = out.select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", p.alias("p_quality"))
-    return out.withColumn("kept", F.col("p_quality") >= least)
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("sum").alias("host_sum"), (F.col("sum") / F.col("n")).alias("host_mean"))
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).checkpoint()
+    j = strength(level(paths, F.col("host_mean")))
+    sites = paths.select("h", F.col("path").alias("q"), F.col("n").alias("path_n"), F.col("sum").alias("path_sum"), "host_n", "host_sum")
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    p = F.col("p")
+    out = out.withColumn("p_host", (F.col("host_sum") - p + k * mean) / (F.col("host_n") - 1 + k))
+    out = out.withColumn("p_path", (F.col("path_sum") - p + j * F.col("p_host")) / (F.col("path_n") - 1 + j))
+    out = out.withColumn("p_quality", 1 / (1 + F.exp(-(_logit(p) + _logit(F.col("p_path")) - _logit(mean)))))
+    return out.select("doc_id", p.alias("p_document"), "p_host", "p_path", "p_quality", (F.col("p_quality") >= least).alias("kept"))
