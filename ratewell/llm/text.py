@@ -107,16 +107,24 @@ class Words:
         return at, mix(h[at])
 
 
-#: Low bits that hold a position while minima slide; the other bits of a hash decide, so texts may have 128 MB.
+#: Low bits that hold a position while minima slide; the other bits of a hash decide.
 _PLACE = 27
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least of values[i : i + width] for every i, by the upper bits of each value; the leftmost of equals."""
-    n = len(values)
+    """Place of the least of values[i : i + width] for every i, by the upper bits of each value; the leftmost of equals.
+
+    Longer arrays than positions have bits for are taken in overlapping parts, so a text may have any length.
+    """
+    n, most = len(values), 1 << _PLACE
     if n < width:
         return np.zeros(0, np.int64)
-    low = np.uint64((1 << _PLACE) - 1)
+    if n > most:
+        if 2 * width > most:
+            raise ValueError(f"windows of {width} are too wide")
+        step = most - width + 1
+        return np.concatenate([at + sliding_argmin(values[at : at + most], width) for at in range(0, n - width + 1, step)])
+    low = np.uint64(most - 1)
     keyed = np.full(-(-n // width) * width, ~np.uint64(0))
     keyed[:n] = (values & ~low) | np.arange(n, dtype=np.uint64)
     blocks = keyed.reshape(-1, width)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +24,26 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; where a session names none (tests, notebooks), a folder of the warehouse."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    """checkpoint() writes to spark.checkpoint.dir. Where a local session names none (notebooks), a folder of its warehouse
+    serves; on a cluster that could be one machine's disk, so a session without the setting is refused."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    context.setCheckpointDir(place)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as a compressed table beside the session's checkpoints and read back: cuts the lineage
-    like checkpoint(), at a third of the size for tables of numbers."""
+    like checkpoint(), at a third of the size for tables of numbers. The table goes when the driver ends."""
     spark = df.sparkSession
     ensure_checkpoints(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)

@@ -16,10 +16,9 @@ from ratewell.llm.text import LOWER, Words, changes, slices, string_buffer
 #: Labelled rows that the chain is fitted on, at most; drawn by a hash of the id, so alike at every size.
 TRAIN_ROWS = 12_000
 FOLDS = 5
-#: A word is a feature if this share of the training rows has it (and at least 3 rows), and half at most.
+#: A word is a feature if this share of the training rows has it (and at least 3 rows), and half at most. As the training
+#: rows are bounded, so are the features.
 LEAST_SHARE = 0.002
-#: Features at most, the most frequent first.
-FEATURES = 20_000
 #: Deviations by which a word's count among a link's positives must differ from chance.
 LEAST_Z = 3.0
 SALT = 0x70C51C
@@ -82,7 +81,6 @@ def fit_chain(row: np.ndarray, word: np.ndarray, labels: np.ndarray, fold: np.nd
     n = len(labels)
     every, back, count = np.unique(word, return_inverse=True, return_counts=True)
     frequent = np.flatnonzero((count >= max(3, LEAST_SHARE * n)) & (count <= max(3, n / 2)))
-    frequent = np.sort(frequent[np.argsort(-count[frequent], kind="stable")[:FEATURES]])
     place = np.full(len(every), -1)
     place[frequent] = np.arange(len(frequent))
     feature = place[back]
@@ -152,5 +150,10 @@ CATEGORIES = {"toxic_prose": "toxic = 1 and quality = 1", "toxic_junk": "toxic =
 
 
 def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """CATEGORIES for every document of ``docs``, by a chain fitted on its labelled ones."""
+    """CATEGORIES for every document of ``docs``, by a chain fitted on its labelled ones; see score() and train().
+
+    Rows: one per row of ``docs``, repeated rows with equal answers. Null or empty text: what the intercepts say. A
+    probability equal to its threshold isn't over it. Texts of any length are read whole. Labels of documents that aren't
+    there, and columns of any other name, play no part. Empty documents: empty result; empty labels: no category anywhere.
+    """
     return score(docs, train(docs, labels, CATEGORIES))
