@@ -167,9 +167,124 @@ EXAM_OPTIONS = ("(A)", "(B)", "(C)", "(D)", "(E)", "(F)")
 EXAM_DOMAINS = ("Sleep", "Fitness")
 EXAM_DIFFICULTIES = ("Easy", "Moderate", "Hard")
 EXAM_INSTRUCTION = "Instruction: The following is a multiple choice question about {domain} knowledge. Output a single option from {options} as the final answer.\n"
-#: Templates for answers in words, by kind of prompt and domain; sets with worked examples are passed in by the user.
+#: Prompts for answers in words, by kind and domain; names in braces are replaced.
 EXAM_TEMPLATES = {
-    (kind, domain): f"The following is a multiple choice question about {domain.lower()}. {lead} Output a single option from {{mcq_options}} as the final answer, enclosed by xml tags <answer></answer>.\n\n##Question: {{mcq_question}}\n{end}"
-    for domain in EXAM_DOMAINS
-    for kind, lead, end in (("cot", "Solve it step by step.", "Explanation: "), ("take_a_step_back", "Recall the principles it rests on, then apply them.", "## Principles:\n"))
+    ("cot", "Sleep"): """Instructions: The following are multiple choice questions about {domain} knowledge. Solve them in a step-by-step fashion, starting by summarizing the available information. Output a single option from {mcq_options} as the final answer and enclosed by xml tags <answer></answer>.
+
+ Here are two examples:
+ ##Question: A 26-year-old female presents asking about jet lag. She has no past medical history, lives on the East Coast, and travels frequently to the West Coast for business. The person's career involves planning evening events, and she reports significant sleepiness at these events that impairs her ability to perform her job. She wants to know how she can adapt to Pacific Standard Time (PST) before she travels. What treatment plan will help this patient adapt to PST prior to travel?
+(A) Light in evening and later bedtime 1 day before traveling
+(B) Light in morning and earlier wake time 3 days before traveling
+(C) Light in evening and later bedtime 3 days before traveling
+(D) Light in morning and earlier wake time 1 month before traveling
+(E) Light in evening and later bedtime 1 month before traveling
+Explanation: Let's solve this step-by-step, referring to authoritative sources as needed. The West Coast is 3 timezones behind the East Coast. Since she plans evening events, she needs to shift her schedule to stay up 3 hours later. Adding light in the evening will disrupt melatonin production, delaying sleepiness. Transitioning timezones typically takes one day per timezone.
+Answer: <answer>(C)</answer>
+
+##Question: What is a difference in the clinical features of obstructive sleep apnea (OSA) in older adults compared to younger adults?
+(A) Increased prevalence of OSA among older adults occurs after age 65.
+(B) Clinical symptoms associated with OSA (e.g. excessive daytime sleepiness) are less common and less severe in older adults than in younger adults.
+(C) Increased risk of cardiopulmonary diseases is greater among elderly than among younger individuals.
+(D) Excess body weight, snoring, and witnessed apneas more consistently indicate OSA in older adults than in younger individuals.
+(E) There are no significant OSA differences between older and younger adults.
+Explanation: Let's solve this step-by-step, referring to authoritative sources as needed. Compared to younger patients with the same apnea hypopnea index, OSA in older patients is associated with less sleepiness (Morrell et al 2012). This observation has led some to suggest that OSA in the elderly may represent a distinct physiological phenotype.
+Answer: <answer>(B)</answer>
+
+ ##Question: {mcq_question}
+Explanation: Let us solve this step-by-step, referring to authoritative sources as needed. """,
+    ("cot", "Fitness"): """Instructions: The following are multiple choice questions about fitness knowledge. Solve them in a step-by-step fashion, starting by summarizing the available information. Output a single option from {mcq_options} as the final answer and enclosed by xml tags <answer></answer>.
+
+ Here are two examples: 
+ ##Question: A 30-year-old male is looking for a workout plan to improve his cardiovascular health. He has no known heart conditions and has a sedentary lifestyle. His goal is to increase stamina and reduce the risk of heart diseases. Which of the following workout plans is most suitable for his goals?
+(A) High-intensity interval training (HIIT) 5 days a week
+(B) Moderate-intensity aerobic exercises like brisk walking 30 minutes a day, 5 days a week
+(C) Weight training focused on major muscle groups 4 days a week
+(D) Yoga and stretching exercises twice a week
+(E) Swimming for 60 minutes daily
+Explanation: Let's solve this step-by-step, referring to authoritative sources as needed. For someone with a sedentary lifestyle looking to improve cardiovascular health, it is recommended to start with moderate-intensity aerobic exercises. This approach is effective in increasing stamina and is less likely to cause injury.
+Answer: <answer>(B)</answer>
+
+##Question: What is a common mistake beginners make when starting a strength training program?
+(A) Not including enough rest days in their routine
+(B) Focusing only on cardio exercises
+(C) Lifting weights that are too heavy leading to poor form
+(D) Ignoring flexibility and balance training
+(E) Spending too much time on warm-up exercises
+Explanation: Let's solve this step-by-step, referring to authoritative sources as needed. A common mistake for beginners in strength training is lifting weights that are too heavy, which can lead to poor form and increase the risk of injury.
+Answer: <answer>(C)</answer>
+
+ ##Question: {mcq_question}
+Explanation: Let us solve this step-by-step, referring to authoritative sources as needed. """,
+    ("step_back", "Sleep"): """You are a {domain} expert. I want you to solve a multiple-choice question in sleep. Here is an example of how to solve a question using an abstraction-reasoning approach, starting by recalling relevant principles related to the subject of each question. Then apply these principles step by step to logically deduce the correct answer. Output a single option from {mcq_options} as the final answer and enclosed by xml tags <answer></answer>.
+
+Here is an example:
+##Question:
+A 26-year-old female presents asking about jet lag. She has no past medical history, lives on the East Coast, and travels frequently to the West Coast for business. Her career involves planning evening events, and she reports significant sleepiness at these events that impairs her ability to perform her job. She wants to know how she can adapt to Pacific Standard Time (PST) before she travels. What treatment plan will help this patient adapt to PST prior to travel?
+Options:
+(A) Light in evening and later bedtime 1 day before traveling
+(B) Light in morning and earlier wake time 3 days before traveling
+(C) Light in evening and later bedtime 3 days before traveling
+(D) Light in morning and earlier wake time 1 month before traveling
+(E) Light in evening and later bedtime 1 month before traveling
+
+## Principles:
+Circadian Rhythms: The human body operates on a circadian rhythm, an internal clock that cycles roughly every 24 hours. This rhythm is influenced by external cues, especially light. Exposure to light can shift the circadian rhythm, making a person feel more awake or sleepy.
+
+Jet Lag: Jet lag occurs when a person's internal clock is out of sync with the time zone they are in. This is common when traveling across multiple time zones. To adjust to a new time zone, the body's circadian rhythm needs to be shifted.
+
+Light Therapy: Exposure to light at certain times can help shift the circadian rhythm. Exposure to light in the morning advances the circadian clock (making one wake up earlier), while exposure in the evening delays it (making one stay awake later).
+
+## Answer:
+Using the principles of Circadian Rhythms, Jet Lag, and Light Therapy, we can solve the problem as following:
+The patient needs to adapt from the East Coast time to the West Coast time, which is 3 hours behind. To do this, she needs to adjust her body clock to wake up and go to sleep later according to her current (East Coast) time zone, which aligns with the normal waking and sleeping hours in the Pacific Standard Time.
+
+Looking at the options:
+- (A) and (C) suggest delaying the circadian rhythm (light in the evening and later bedtime), which would make her wake up and sleep later according to East Coast time. However, this is counterproductive as it would exacerbate the issue when she is on the West Coast.
+- (B) Light in the morning and earlier wake time 3 days before traveling would advance her circadian rhythm. This means she would wake up earlier according to East Coast time, which is aligned with waking up at a regular time in PST.
+- (D) and (E) propose changes starting 1 month before traveling, which is impractical for someone who travels frequently.
+
+Therefore, the correct answer is <answer>(B)</answer>. Light in the morning and earlier wake time 3 days before traveling. This method would advance her circadian rhythm to better match the Pacific Standard Time, helping her to cope with her sleepiness during evening events on the West Coast.
+
+ ## Question:
+ {mcq_question}
+
+## Principles:
+""",
+    ("step_back", "Fitness"): """You are a fitness expert. I want you to solve a multiple-choice question in fitness. Here is an example of how to solve a question using an abstraction-reasoning approach, starting by recalling relevant principles related to the subject of each question. Then apply these principles step by step to logically deduce the correct answer. Output a single option from {mcq_options} as the final answer and enclosed by xml tags <answer></answer>.
+
+Here is an example: 
+##Question:
+A 35-year-old male is looking to increase muscle mass. He has been working out consistently for a year and follows a balanced diet. He wants to know which change in his workout routine will be most effective for gaining muscle mass. What would you recommend?
+Options:
+(A) Increase cardio exercises and decrease weight lifting
+(B) Focus on high-repetition weight lifting with lower weights
+(C) Incorporate high-intensity interval training (HIIT) twice a week
+(D) Increase weight lifting with heavier weights and lower repetitions
+(E) Maintain the current routine without changes
+
+## Principles:
+Muscle Hypertrophy: Muscle growth occurs when muscle fibers are damaged and repair themselves, leading to an increase in muscle size. This is best achieved through resistance training that challenges the muscles.
+
+Progressive Overload: To continue gaining muscle, it's important to progressively increase the demands on the musculoskeletal system. This can be done by lifting heavier weights, increasing repetitions, or changing the exercises performed.
+
+Exercise Variation: Incorporating a variety of exercises can help target different muscle groups and prevent plateaus in muscle growth.
+
+## Answer:
+Using the principles of Muscle Hypertrophy, Progressive Overload, and Exercise Variation, we can solve the problem as following:
+The individual is already engaged in consistent workouts and has a balanced diet, which is fundamental for muscle growth. To further enhance muscle mass, the focus should be on increasing the intensity of workouts in a way that challenges the muscles more significantly.
+
+Looking at the options:
+- (A) focuses on increasing cardio, which is less effective for muscle hypertrophy compared to resistance training.
+- (B) involves high-repetition lifting with lower weights, which is more endurance-focused rather than hypertrophy.
+- (C) HIIT can be beneficial for overall fitness but is not the most efficient for muscle growth compared to targeted resistance training.
+- (D) Increasing weight lifting with heavier weights and lower repetitions is aligned with the principles of muscle hypertrophy and progressive overload.
+- (E) Maintaining the current routine will not provide the necessary stimulus for further muscle growth.
+
+Therefore, the correct answer is <answer>(D)</answer>. Increasing weight lifting with heavier weights and lower repetitions will effectively promote muscle growth by adhering to the principles of muscle hypertrophy and progressive overload.
+
+ ## Question:
+ {mcq_question}
+
+## Principles:
+""",
 }

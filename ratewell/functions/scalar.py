@@ -78,6 +78,17 @@ def percent_text(c: Column) -> Column:
     return F.format_string("%.2f%%", 100 * c)
 
 
+def zero_padded(c: Column, width: int = 4) -> Column:
+    """A whole number with zeros in front, as wide as it is if that is more."""
+    text = c.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def utf8(c: Column) -> Column:
+    """Bytes as text."""
+    return F.decode(c, "UTF-8")
+
+
 def interval_label(mean: Column, low: Column, high: Column, n: Column) -> Column:
     """mean, interval and count, without leading zeros."""
     return F.replace(F.format_string("%.3f\n[%.2f–%.2f]\nn=%d", mean, low, high, n), F.lit("0."), F.lit("."))

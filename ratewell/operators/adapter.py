@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -33,13 +33,15 @@ def statistics(means: Column, variances: Column) -> Column:
 
 
 def project(df: DataFrame, column: str, layers: Layers, tokens: int = 10, output: str = "embedding") -> DataFrame:
-    """Adds array<array<float>> of tokens x width. The weights, some 60,000 numbers, go out with the task."""
+    """Adds an array<array> of tokens x width, of the weights' type (float or double). The weights, some 60,000 numbers,
+    go out with the task."""
+    kind = layers[0][0].dtype
 
-    @F.pandas_udf(ArrayType(ArrayType(FloatType())))
+    @F.pandas_udf(ArrayType(ArrayType(DoubleType() if kind == np.float64 else FloatType())))
     def run(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        out = forward(np.stack(x.to_numpy()).astype(np.float32), layers, tokens)
+        out = forward(np.stack(x.to_numpy()).astype(kind), layers, tokens)
         return pd.Series([[list(map(float, t)) for t in row] for row in out])
 
     return df.withColumn(output, run(F.col(column)))

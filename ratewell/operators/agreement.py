@@ -86,6 +86,14 @@ def reflected(metric: DataFrame, value: str) -> DataFrame:
     return one.unionByName(one.select(F.col("inner").alias("outer"), F.col("outer").alias("inner"), value))
 
 
+def matrix(pairs: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
+    """The square of reflected pairs: a row per ``outer`` and a column per ``inner``, both in the order of ``names``; null
+    where a pair isn't there. The columns are given, so no pass looks for them."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("outer")).cast("int").alias("place")
+    square = pairs.filter(F.col("outer").isin(*names)).groupBy("outer").pivot("inner", list(names)).agg(F.max(value))
+    return square.select(place, "outer", *names).orderBy("place")
+
+
 def with_counts(metric: DataFrame, counts: DataFrame) -> DataFrame:
     """Joins a count to each pair, whichever way round either names it."""
     low, high = F.least("rater_a", "rater_b").alias("x"), F.greatest("rater_a", "rater_b").alias("y")

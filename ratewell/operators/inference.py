@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.operators.checks import ConstraintError
+from ratewell.sources.readers import inference_path
 
 
 class LanguageModel(Protocol):
-    def generate(self, prompt: str) -> list[str]: ...
+    def generate(self, prompt: str, **options) -> list[str]: ...
 
-    def score(self, prompt: str, completion: str) -> float: ...
+    def score(self, prompt: str, completion: str, **options) -> float: ...
 
 
 ModelFactory = Callable[[], LanguageModel]
 
 
+def model_options(temperature: float | None = None, max_decode_steps: int | None = None) -> dict[str, float]:
+    """Options of model calls; what isn't given isn't passed on."""
+    return {k: v for k, v in (("temperature", temperature), ("max_decode_steps", max_decode_steps)) if v is not None}
+
+
 class HashModel:
     """A stand-in for tests: answers and log probabilities from an md5 of the prompt."""
 
@@ -33,11 +39,12 @@ class HashModel:
     def share(text: str) -> float:
         return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 1) / 2**32
 
-    def generate(self, prompt: str) -> list[str]:
-        letter = self.letters[int(hashlib.md5(prompt.encode()).hexdigest()[:4], 16) % len(self.letters)]
+    def generate(self, prompt: str, **options) -> list[str]:
+        key = prompt + "".join(f"|{k}={v}" for k, v in sorted(options.items()))
+        letter = self.letters[int(hashlib.md5(key.encode()).hexdigest()[:4], 16) % len(self.letters)]
         return [f"Reasoning. <answer>({letter})</answer>"]
 
-    def score(self, prompt: str, completion: str) -> float:
+    def score(self, prompt: str, completion: str, **options) -> float:
         return math.log(self.share(f"{prompt}|{completion}"))
 
 
@@ -46,36 +53,36 @@ def _new(df: DataFrame, *names: str) -> None:
         raise ConstraintError(f"columns are there already: {taken}")
 
 
-def score_options(df: DataFrame, model: ModelFactory, prompt: str = "inputs", completions: tuple[str, ...] = ("1", "2", "3", "4", "5")) -> DataFrame:
+def score_options(df: DataFrame, model: ModelFactory, prompt: str = "inputs", completions: tuple[str, ...] = ("1", "2", "3", "4", "5"), options: Mapping[str, float] | None = None) -> DataFrame:
     """Adds inference_score_option_1 .. n (float): the model's log probability of each completion."""
     names = [f"inference_score_option_{i}" for i in range(1, len(completions) + 1)]
     _new(df, *names)
-    return _apply(df, lambda m, text: tuple(m.score(text, c) for c in completions), model, prompt, {n: "float" for n in names})
+    return _apply(df, lambda m, text: tuple(m.score(text, c, **(options or {})) for c in completions), model, prompt, {n: "float" for n in names})
 
 
-def generate_answers(df: DataFrame, model: ModelFactory, prompt: str = "inputs") -> DataFrame:
+def generate_answers(df: DataFrame, model: ModelFactory, prompt: str = "inputs", options: Mapping[str, float] | None = None) -> DataFrame:
     """Adds inference_text_output and inference_score_output (float); a model must give exactly one text."""
     _new(df, "inference_text_output", "inference_score_output")
 
     def one(m: LanguageModel, text: str) -> tuple[str, float]:
-        texts = m.generate(text)
+        texts = m.generate(text, **(options or {}))
         if len(texts) != 1:
             raise ValueError(f"one text expected, got {len(texts)}")
-        return texts[0], m.score(text, texts[0])
+        return texts[0], m.score(text, texts[0], **(options or {}))
 
     return _apply(df, one, model, prompt, {"inference_text_output": "string", "inference_score_output": "float"})
 
 
-def run_inference(df: DataFrame, model: ModelFactory, method: str, prompt: str = "inputs", partitions: int | None = None) -> DataFrame:
-    """Scores or generates. ``partitions`` limits the calls that run at once. Empty prompts are an error."""
+def run_inference(df: DataFrame, model: ModelFactory, method: str, prompt: str = "inputs", partitions: int | None = None, options: Mapping[str, float] | None = None) -> DataFrame:
+    """Scores or generates. ``partitions`` limits the calls that run at once; ``options``: see model_options(). Empty prompts are an error."""
     if partitions:
         df = df.repartition(partitions)
     given = F.when(F.coalesce(F.length(prompt), F.lit(0)) > 0, F.col(prompt)).otherwise(F.raise_error(F.lit(f"empty {prompt}")))
     df = df.withColumn(prompt, given)
     if method == "score":
-        return score_options(df, model, prompt)
+        return score_options(df, model, prompt, options=options)
     if method == "generate":
-        return generate_answers(df, model, prompt)
+        return generate_answers(df, model, prompt, options)
     raise NotImplementedError(method)
 
 
@@ -95,3 +102,9 @@ def best_option(df: DataFrame, n: int = 5) -> DataFrame:
     """Adds ``predicted_rating``: the option with the highest score, the first of equals. (Our addition.)"""
     scores = [F.struct(F.col(f"inference_score_option_{i}").alias("score"), F.lit(-i).alias("i")) for i in range(1, n + 1)]
     return df.withColumn("predicted_rating", -F.array_max(F.array(*scores))["i"])
+
+
+def runs(spark: SparkSession, root: str, model: str, day: str, verticals: Sequence[str], splits: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """(vertical, split, method, path): every run of a model, as rows of one frame instead of nested loops."""
+    rows = [(v, s, m, inference_path(root, v, model, s, day, m)) for v in verticals for s in splits for m in methods]
+    return spark.createDataFrame(rows, "vertical string, split string, method string, path string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,18 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 # ---- means and best sources
 
 
-@query(f"{R} select tag, conversation_source, round(avg(rating), 6) mean_rating, count(*) n from r where tag <> 'overall' group by all")
+_OVERALL = f"{R}, w as (select * replace (case when principle = 'p7' then 'overall' else tag end as tag) from r)"
+
+
+@query(f"{_OVERALL} select tag, conversation_source, round(avg(rating), 6) mean_rating, count(*) n from w where tag <> 'overall' group by all")
 def q_mean_by_section_source(spark, d):
-    return rounded(ratings_stats.means(ratings_stats.sections(views.ratings(spark, d))), "mean_rating")
+    rows = views.ratings(spark, d).withColumn("tag", F.when(F.col("principle") == "p7", "overall").otherwise(F.col("tag")))
+    return rounded(ratings_stats.means(ratings_stats.sections(rows)), "mean_rating")
 
 
-@query(f"{R} select principle, conversation_source, round(avg(rating), 6) mean_rating, count(*) n from r where conversation_source in ('base_model', 'tuned_model', 'human_expert') group by all")
+@query(f"{R} select principle, conversation_source, round(avg(rating), 6) mean_rating, count(*) n from r where conversation_source in ('base_model', 'tuned_model') group by all")
 def q_mean_by_principle_source(spark, d):
-    return rounded(ratings_stats.means(ratings_stats.sections(views.ratings(spark, d), fixed.SOURCE_ORDER["main"], drop_overall=False), "principle"), "mean_rating")
+    return rounded(ratings_stats.means(ratings_stats.sections(views.ratings(spark, d), ("base_model", "tuned_model"), drop_overall=False), "principle"), "mean_rating")
 
 
 @query(f"""{R}, m as (select tag, conversation_source, avg(rating) m from r group by all)
@@ -116,10 +121,16 @@ def q_star_sources(spark, d):
     return ratings_stats.star_sources(views.ratings(spark, d))
 
 
-@query(f"""{_tests('tag')} select g, max(n) filter (a = 'base_model' and b = 'tuned_model') "base_model vs tuned_model n", bool_or(significant) filter (a = 'base_model' and b = 'tuned_model') "base_model vs tuned_model significance" from sig group by g""")
+def _wide(a: str, b: str) -> str:
+    own, name = f"filter (a = '{a}' and b = '{b}')", f"{a} vs {b}"
+    numbers = "".join(f', round(max({c}) {own}, 6) "{name} {label}"' for c, label in (("statistic", "statistic"), ("q", "p-value"), ("effect", "effect size")))
+    return f'max(n) {own} "{name} n", bool_or(significant) {own} "{name} significance"{numbers}'
+
+
+@query(f"{_tests('tag')} select g, {', '.join(_wide(*p) for p in _PAIRS)} from sig group by g")
 def q_wide_report(spark, d):
     wide = ratings_stats.wide_report(ratings_stats.significance(views.ratings(spark, d)), _PAIRS)
-    return wide.select("g", "`base_model vs tuned_model n`", "`base_model vs tuned_model significance`")
+    return wide.select(*(F.round(f"`{c}`", 6).alias(c) if c.split()[-1] in ("statistic", "p-value", "size") else f"`{c}`" for c in wide.columns))
 
 
 # ---- agreement
@@ -187,9 +198,9 @@ def q_pair_sample_count(spark, d):
     return rounded(agreement.with_counts(swapped, pairs.groupBy("rater_a", "rater_b").agg(F.count("*").alias("n"))), "ac2")
 
 
-@query(f"{_ONE} select rater_a, rater_b, (row_number() over (order by case when (rater_a = 'primary_b')::int + (rater_b = 'primary_b')::int = 0 then 0 else 2 end, rater_a, rater_b))::int place from (select distinct rater_a, rater_b from pairs)")
+@query(f"{_ONE} select rater_a, rater_b, (row_number() over (order by [0, 2, 1][1 + (rater_a in ('primary_b', 'secondary_b'))::int + (rater_b in ('primary_b', 'secondary_b'))::int], rater_a, rater_b))::int place from (select distinct rater_a, rater_b from pairs)")
 def q_pair_order(spark, d):
-    return agreement.pair_order(agreement.rater_pairs(views.ratings(spark, d)).select("rater_a", "rater_b").distinct(), ["primary_b"])
+    return agreement.pair_order(agreement.rater_pairs(views.ratings(spark, d)).select("rater_a", "rater_b").distinct(), ["primary_b", "secondary_b"])
 
 
 @query(f"""{R}, u as (select case_study_id, rater, tag, rating::double rating from r union all select case_study_id, 'auto_c', tag, round(rating * 0.9, 3) from r where rater = 'primary_a')
@@ -319,13 +330,6 @@ def _tagged(spark, d, source):
     return views.conversations(spark, d, source).withColumn("messages", F.transform("messages", lambda m: F.struct(F.when(m["tag"] == "t1", "insight").otherwise("etiology").alias("tag"), m["role"].alias("role"), m["chunks"].alias("chunks"), F.lit(None).cast("float").alias("score"))))
 
 
-@query()
-def q_candidate_prompts(spark, d):
-    """Whole grading prompts, by digest: two tags are in these conversations, the others print None."""
-    rows = prompts.candidate_prompts(_tagged(spark, d, "base_model"), _tagged(spark, d, "human_expert"), "sleep")
-    return rows.select("case_study_id", "tag", "principle", F.md5("inputs").alias("prompt_md5"), F.length("inputs").alias("n"))
-
-
 def _likert() -> str:
     rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (p, *options)) + ")" for p, (_, options) in fixed.PRINCIPLES.items())
     return f"t(principle, o1, o2, o3, o4, o5) as (values {rows})"
@@ -337,17 +341,71 @@ def q_likert_explode(spark, d):
     return rows.select("principle", "option", prompts.target(F.col("option")).alias("target"))
 
 
-_EXAMPLES = f"{P}, sp as (select distinct case_study_id, case when case_study_id::int % 5 = 0 then 'validation' else 'train' end split from r), cv as (select distinct conv_id::varchar case_study_id from conversations)"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query(f"{_EXAMPLES} select split, rater, tag, count(*) n, sum(rating)::bigint total from r join sp using (case_study_id) join cv using (case_study_id) group by all")
-def q_examples_join(spark, d):
+def _filled(template: str, values: dict[str, str]) -> str:
+    """SQL that fills a template's names in braces; a null prints as None."""
+    out = _quoted(template)
+    for name, sql in values.items():
+        out = f"replace({out}, '{{{name}}}', coalesce({sql}, 'None'))"
+    return out
+
+
+def _grading(vertical: str) -> str:
+    tags = ", ".join(f"({_quoted(t)}, {_quoted(label)}, {_quoted(fixed.OBJECTIVES[vertical][t])})" for t, label in fixed.TAG_LABELS[vertical].items())
+    criteria = ", ".join(f"({_quoted(p)}, {_quoted(c)})" for p, (c, _) in fixed.PRINCIPLES.items())
+    return f"{_likert()}, tg(tag, tag_label, objective) as (values {tags}), cr(principle, criterion) as (values {criteria})"
+
+
+#: The grading prompt from columns user_text and answer_text, and what _grading() gives.
+_PROMPT = _filled(fixed.GRADING_PROMPT, {"VERTICAL": "'sleep'", "TAG_LABEL": "tag_label", "OBJECTIVE": "objective", "PRINCIPLE_CRITERIA": "criterion"} | {f"OPTION_{i}": f"o{i}" for i in range(1, 6)} | {"CASE_STUDY_DATA": "user_text", "ASSISTANT_TEXT": "answer_text"})
+#: The text of a conversation's first message with a tag and role; turn 1 is tagged insight, the others etiology.
+_SAID = "said as (select conv_id::varchar case_study_id, case turn when 1 then 'insight' else 'etiology' end tag, arg_min(text, turn) filter (role = 'user') user_text, arg_min(text, turn) filter (role = 'assistant') answer_text from conversations group by all)"
+
+
+def _tagged(spark, d, source):
+    return views.conversations(spark, d, source).withColumn("messages", F.transform("messages", lambda m: F.struct(F.when(m["tag"] == "t1", "insight").otherwise("etiology").alias("tag"), m["role"].alias("role"), m["chunks"].alias("chunks"), F.lit(None).cast("float").alias("score"))))
+
+
+@query(f"""with {_grading('sleep')}, {_SAID}, every as (select distinct conv_id::varchar case_study_id from conversations)
+select case_study_id, tag, principle, md5({_PROMPT}) prompt_md5, length({_PROMPT}) n from every cross join tg cross join cr join t using (principle) left join said using (case_study_id, tag)""")
+def q_candidate_prompts(spark, d):
+    """Whole grading prompts, by digest: two tags are in these conversations, the others print None."""
+    rows = prompts.candidate_prompts(_tagged(spark, d, "base_model"), _tagged(spark, d, "human_expert"), "sleep")
+    return rows.select("case_study_id", "tag", "principle", F.md5("inputs").alias("prompt_md5"), F.length("inputs").alias("n"))
+
+
+_EXAMPLES = f"""{P.replace('with r', 'with r0')}, r as (select * replace (case tag when 'insights' then 'insight' when 'recommendations' then 'recommendation' else 'etiology' end as tag, ({list(fixed.PRINCIPLE_ORDER)!r})[substr(principle, 2, 1)::int + 1] as principle) from r0),
+sp as (select distinct case_study_id, case when case_study_id::int % 5 = 0 then 'validation' else 'train' end split from r), cv as (select distinct conv_id::varchar case_study_id from conversations),
+{_grading('sleep')}, {_SAID}, ex as (select split, rater, conversation_source, tag, principle, rating, case_study_id, {_PROMPT} inputs, rating || '. ' || case rating when 1 then o1 when 2 then o2 when 3 then o3 when 4 then o4 else o5 end || '<stop>' targets
+from r join sp using (case_study_id) join cv using (case_study_id) join tg using (tag) join cr using (principle) join t using (principle) left join said using (case_study_id, tag))"""
+
+
+def _examples(spark, d, cases=None):
     principles = F.array(*map(F.lit, fixed.PRINCIPLE_ORDER))
     rows = views.panel(spark, d).withColumns({"tag": F.when(F.col("tag") == "insights", "insight").when(F.col("tag") == "recommendations", "recommendation").otherwise("etiology"), "principle": F.get(principles, F.substring("principle", 2, 1).cast("int")), "conversation_id": F.col("case_study_id")})
     sp = rows.select("case_study_id").distinct().withColumn("split", F.when(F.col("case_study_id").cast("int") % 5 == 0, "validation").otherwise("train"))
     every = _tagged(spark, d, "human_expert").unionByName(_tagged(spark, d, "base_model")).unionByName(_tagged(spark, d, "tuned_model"))
-    out = prompts.rating_examples(rows, sp, every, "sleep")
-    return out.groupBy("split", "rater", prompts.report_tag(F.col("tag")).alias("tag")).agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+    return prompts.rating_examples(rows, sp, every, "sleep", cases=cases)
+
+
+@query(f"{_EXAMPLES} select split, rater, tag, count(*) n, sum(rating)::bigint total, count(distinct md5(inputs)) n_prompts, min(md5(inputs)) first_prompt, max(md5(inputs)) last_prompt, min(targets) first_target, max(md5(targets)) last_target from (select * replace (case tag when 'insight' then 'insights' when 'recommendation' then 'recommendations' else tag end as tag) from ex) group by all")
+def q_examples_join(spark, d):
+    out = _examples(spark, d)
+    prompt = F.md5("inputs")
+    return out.groupBy("split", "rater", prompts.report_tag(F.col("tag")).alias("tag")).agg(
+        F.count("*").alias("n"), F.sum("rating").alias("total"), F.count_distinct(prompt).alias("n_prompts"), F.min(prompt).alias("first_prompt"), F.max(prompt).alias("last_prompt"), F.min("targets").alias("first_target"), F.max(F.md5("targets")).alias("last_target")
+    )
+
+
+@query(f"{_EXAMPLES} select case_study_id, rater, conversation_source, tag, principle, rating::bigint rating, count(*) n, min(md5(inputs)) prompt_md5, min(targets) targets from ex where case_study_id::int % 400 in (select c_custkey % 400 from customer where c_custkey % 3 = 0) group by all")
+def q_examples_of_known_cases(spark, d):
+    """Examples of the case studies in a table of cases only."""
+    known = views.table(spark, d, "customer").filter("c_custkey % 3 = 0").select((F.col("c_custkey") % 400).cast("string").alias("case_study_id")).distinct()
+    out = _examples(spark, d, known)
+    return out.groupBy("case_study_id", "rater", "conversation_source", "tag", "principle", "rating").agg(F.count("*").alias("n"), F.min(F.md5("inputs")).alias("prompt_md5"), F.min("targets").alias("targets"))
 
 
 # ---- exams and model calls
@@ -392,38 +450,60 @@ def q_answer_extract(spark, d):
     return _generations(spark, d).select("item_id", "rd", scalar.answer_in(F.col("t")).alias("answer"))
 
 
-@query(f"{_GEN}, c as (select item_id, a, count(*) n from a where a is not null group by all), k as (select *, row_number() over (partition by item_id order by n desc, a) p, coalesce(lead(n) over (partition by item_id order by n desc, a), 0) nx from c) select item_id, a vote from k where p = 1 and n > nx")
+@query(f"{_GEN}, c as (select item_id, a, count(*) n, arg_min(t || rd, rd) generation from a where a is not null group by all), k as (select *, row_number() over (partition by item_id order by n desc, a) p, coalesce(lead(n) over (partition by item_id order by n desc, a), 0) nx from c) select item_id, a vote, generation from k where p = 1 and n > nx")
 def q_majority_vote(spark, d):
-    return exam.majority(_generations(spark, d), "item_id", "rd", "t").drop("generation")
+    return exam.majority(_generations(spark, d).withColumn("t", F.concat("t", F.col("rd").cast("string"))), "item_id", "rd", "t")
 
 
 @query(f"{_GEN}, c as (select item_id, a, count(*) n from a where a is not null group by all) select item_id, a answer, n, row_number() over (partition by item_id order by n desc, a)::int place from c qualify place <= 2")
 def q_topk_counts(spark, d):
-    from pyspark.sql import Window
+    return exam.top_answers(_generations(spark, d), "item_id", "t")
 
-    counts = _generations(spark, d).select("item_id", scalar.answer_in(F.col("t")).alias("answer")).dropna().groupBy("item_id", "answer").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "answer"))).filter("place <= 2")
 
+_COT = "case domain " + " ".join(f"when '{domain}' then {_filled(fixed.EXAM_TEMPLATES['cot', domain], {'mcq_options': _quoted('(A), (B), (C), (D)'), 'domain': 'domain', 'mcq_question': 'trim(question)'})}" for domain in fixed.EXAM_DOMAINS) + " end"
+_TOLD = "'(' || substr('ABCDE', (('0x' || substr(md5({}), 1, 4))::bigint % 5)::int + 1, 1) || ')'"
 
-@query()
+
+@query(f"""{_SCORED}, t as (select item_id, {_COT} prompt from x), g as (select item_id, rd, {_TOLD.format("prompt || '|seed=' || rd")} a from t, (select unnest(range(1, 6)) rd)), c as (select item_id, a, count(*) n from g group by all),
+k as (select *, row_number() over (partition by item_id order by n desc, a) p, coalesce(lead(n) over (partition by item_id order by n desc, a), 0) nx from c), v as (select item_id, a from k where p = 1 and n > nx)
+select item_id, coalesce(a, model_answer) model_answer, case when a is null then 'no_majority_vote' else 'Reasoning. <answer>' || a || '</answer>' end model_generation, a is not null voted,
+(coalesce(a, model_answer) = answer)::int correct, (coalesce(a, model_answer) <> answer)::int incorrect from b left join v using (item_id)""")
 def q_self_consistency(spark, d):
-    return exam.by_vote(views.exam(spark, d), "item_id", HashModel, rounds=5).select("item_id", "model_answer", "voted", "correct", "incorrect")
+    return exam.by_vote(views.exam(spark, d), "item_id", HashModel, rounds=5).select("item_id", "model_answer", "model_generation", "voted", "correct", "incorrect")
 
 
-@query()
+@query(f"{X}, t as (select item_id, answer, {_TOLD.format(_COT)} a from x) select item_id, a model_answer, (a = answer)::int correct from t")
 def q_exam_by_text(spark, d):
     return exam.by_text(views.exam(spark, d), HashModel).select("item_id", "model_answer", "correct")
 
 
+@query(f"{X} select item_id, md5({_COT}) prompt_md5, length({_COT}) n from x")
+def q_exam_prompt_worked_examples(spark, d):
+    prompt = exam.answer_prompt(F.col("question"), F.col("choices"), F.col("domain"), "cot")
+    return views.exam(spark, d).select("item_id", F.md5(prompt).alias("prompt_md5"), F.length(prompt).alias("n"))
+
+
+_BACK = _COT
+for _domain in fixed.EXAM_DOMAINS:
+    _BACK = _BACK.replace(_quoted(fixed.EXAM_TEMPLATES["cot", _domain]), _quoted(fixed.EXAM_TEMPLATES["step_back", _domain]))
+
+
+@query(f"{X} select item_id, md5({_BACK}) prompt_md5, length({_BACK}) n from x")
+def q_exam_prompt_step_back(spark, d):
+    prompt = exam.answer_prompt(F.col("question"), F.col("choices"), F.col("domain"), "step_back")
+    return views.exam(spark, d).select("item_id", F.md5(prompt).alias("prompt_md5"), F.length(prompt).alias("n"))
+
+
 @query(f"{X}, s as (select item_id, o, {_SHARE.format('question', 'o::varchar')} sc from x, (select unnest(range(1, 6)) o)) select item_id, o::int predicted_rating from s qualify row_number() over (partition by item_id order by sc desc, o) = 1")
 def q_likert_score_argmax(spark, d):
     scored = run_inference(views.exam(spark, d).select("item_id", F.col("question").alias("inputs")), HashModel, "score")
     return best_option(scored).select("item_id", "predicted_rating")
 
 
-@query(f"{X} select item_id, 'Reasoning. <answer>(' || substr('ABCDE', (('0x' || substr(md5(question), 1, 4))::bigint % 5)::int + 1, 1) || ')</answer>' inference_text_output from x")
+@query(f"{X} select item_id, 'Reasoning. <answer>(' || substr('ABCDE', (('0x' || substr(md5(question), 1, 4))::bigint % 5)::int + 1, 1) || ')</answer>' inference_text_output, round(ln((('0x' || substr(md5(question || '|' || inference_text_output), 1, 8))::bigint + 1) / 4294967296.0)::float::double, 4) inference_score_output from x")
 def q_generate_outputs(spark, d):
-    return generate_answers(views.exam(spark, d).select("item_id", F.col("question").alias("inputs")), HashModel).select("item_id", "inference_text_output")
+    out = generate_answers(views.exam(spark, d).select("item_id", F.col("question").alias("inputs")), HashModel)
+    return out.select("item_id", "inference_text_output", F.round(F.col("inference_score_output").cast("double"), 4).alias("inference_score_output"))
 
 
 @query(f"{X} select item_id, question from x order by item_id limit 7")
@@ -524,10 +604,19 @@ def q_auroc(spark, d):
     return rounded(outcomes.auroc(rows, ["one"], "quality", "n_chars").drop("one"), "auroc")
 
 
-@query("select vec_id, 10::int tokens, 128::int width from embeddings")
-def q_adapter_shape(spark, d):
-    rows = views.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 40).alias("x"))
-    return adapter.project(rows, "x", adapter.random_layers()).select("vec_id", F.size("embedding").alias("tokens"), F.size(F.col("embedding")[0]).alias("width"))
+#: Weights of a small adapter, by a rule that SQL can state as well: 64 inputs, a hidden layer as wide, 2 tokens of 3.
+_WEIGHT = "(({i} * 7 + {j} * 3) % 11 - 5) / 16.0"
+
+
+@query(f"""with h as (select vec_id, list_transform(range(0, 64), lambda j: greatest(0, list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::double * {_WEIGHT.format(i='i', j='j')})) + j / 64.0)) h from embeddings),
+o as (select vec_id, unnest(range(0, 6)) k, h from h) select vec_id, (k // 3)::int token, (k % 3)::int place, round(list_sum(list_transform(range(0, 64), lambda i: h[i + 1] * {_WEIGHT.format(i='i', j='(k + 1)')})) - k / 8.0, 6) as value from o""")
+def q_adapter_values(spark, d):
+    """Every number that the network gives, for fixed weights."""
+    i, j, k = np.arange(64)[:, None], np.arange(64)[None, :], np.arange(6)[None, :]
+    layers = [(((i * 7 + j * 3) % 11 - 5) / 16.0, np.arange(64) / 64.0), (((i * 7 + (k + 1) * 3) % 11 - 5) / 16.0, -np.arange(6) / 8.0)]
+    out = adapter.project(views.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), "x", layers, tokens=2)
+    rows = out.select("vec_id", F.posexplode("embedding").alias("token", "row")).select("vec_id", "token", F.posexplode("row").alias("place", "value"))
+    return rounded(rows, "value")
 
 
 # ---- texts
@@ -549,10 +638,10 @@ def q_composite_keys(spark, d):
     return rows.withColumn("pct", scalar.percent_text(F.col("n") / F.lit(7.0)))
 
 
-@query(f"{_AC2} select rater_a, rater_b, replace(printf('%.3f', (pa - pe) / (1 - pe)), '0.', '.') || chr(10) || 'n=' || n label from g")
+@query(f"{_AC2} select rater_a, rater_b, replace(printf('%.3f\n[%.2f–%.2f]\nn=%d', (pa - pe) / (1 - pe), pe, pa, n), '0.', '.') as label from g")
 def q_interval_labels(spark, d):
     ac2 = agreement.ac2(agreement.rater_pairs(views.ratings(spark, d), "max"))
-    return ac2.select("rater_a", "rater_b", F.regexp_replace(scalar.interval_label(F.col("ac2"), F.col("pe"), F.col("pa"), F.col("n")), r"\[.*\]\n", "").alias("label"))
+    return ac2.select("rater_a", "rater_b", scalar.interval_label(F.col("ac2"), F.col("pe"), F.col("pa"), F.col("n")).alias("label"))
 
 
 @query(f"{R} select tag, conversation_source, list_position(['base_model', 'tuned_model', 'human_expert'], conversation_source)::int place, round(avg(rating), 6) mean_rating from r group by all")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,11 @@ def exam(spark: SparkSession, path: str, domain: str | None = None, difficulties
     return df if difficulties is None else df.filter(F.col("difficulty").isin(*difficulties))
 
 
+def exam_rows(spark: SparkSession, rows: list[tuple[str, dict[str, str], str, str, str]]) -> DataFrame:
+    """Questions given in code, as (question, choices, domain, difficulty, answer); choices become JSON text, as in files."""
+    return spark.createDataFrame([(q, json.dumps(c), *rest) for q, c, *rest in rows], schemas.EXAM)
+
+
 def outcomes(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, schemas.OUTCOMES)
 

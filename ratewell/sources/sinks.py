@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ratewell import fixed_values as fixed
+from ratewell.functions.scalar import utf8
+from ratewell.sources.readers import split_path
+
 
 def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
@@ -15,6 +19,21 @@ def write_splits(splits: DataFrame, path: str, id_col: str = "case_study_id", ov
     splits.select(id_col, "split").repartition("split").sortWithinPartitions("split", id_col).write.partitionBy("split").mode(_mode(overwrite)).csv(path, header=True)
 
 
+def write_split_files(splits: DataFrame, root: str, vertical: str, day: str, id_col: str = "case_study_id", overwrite: bool = False) -> None:
+    """A CSV of sorted ids for each split, under its dated name (readers.split_path). All targets are looked at before any
+    is written. Splits are known by name, so none are looked for; ids of one split are sorted across its part files."""
+    paths = {s: split_path(root, vertical, s, day) for s in fixed.SPLITS}
+    if not overwrite and (there := [p for p in paths.values() if exists(splits.sparkSession, p)]):
+        raise FileExistsError(there)
+    for split, path in paths.items():
+        splits.filter(F.col("split") == split).select(id_col).orderBy(id_col).write.mode(_mode(overwrite)).csv(path, header=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_examples(examples: DataFrame, path: str, overwrite: bool = False) -> None:
     """One folder per (rater, conversation_source, tag, principle). Rows meet by those keys and the case, so a large
     group is several files."""
@@ -23,7 +42,9 @@ def write_examples(examples: DataFrame, path: str, overwrite: bool = False) -> N
 
 
 def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    df.write.mode(_mode(overwrite)).csv(path, sep="\t", header=True)
+    """Tab-separated with a header; binary columns as UTF-8 text."""
+    texts = df.withColumns({f.name: utf8(F.col(f.name)) for f in df.schema.fields if f.dataType.typeName() == "binary"})
+    texts.write.mode(_mode(overwrite)).csv(path, sep="\t", header=True)
 
 
 def write_results(results: DataFrame, path: str, order_by: str, overwrite: bool = False) -> None:
