@@ -79,17 +79,17 @@ NO_MAJORITY = "no_majority_vote"
 
 
 def by_vote(
-    exam: DataFrame, key: str, model: ModelFactory, rounds: int = 5, kind: str = "cot", templates: Mapping = fixed.EXAM_TEMPLATES, letters: str = "ABCDE", options: Mapping | None = None
+    exam: DataFrame, key: str, model: ModelFactory, rounds: int = 5, kind: str = "cot", templates: Mapping = fixed.EXAM_TEMPLATES, letters: str = "ABCDE", options: Mapping | None = None, seed_option: str | None = None
 ) -> DataFrame:
     """Adds model_answer, voted and model_generation: the majority of ``rounds`` answers in words to one and the same
     prompt, and the first text that gives it; where none leads, the answer by score and NO_MAJORITY.
 
-    A round's number goes to the model as the option ``seed``, for models that would repeat themselves otherwise. Only
+    seed_option: the option under which a round's number goes to models that would repeat themselves otherwise. Only
     questions without a majority are scored.
     """
     prompt = answer_prompt(F.col("question"), F.col("choices"), F.col("domain"), kind, templates)
     asked = exam.select(key, prompt.alias("prompt")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    told = _ask(asked, model, "model_generations", "array<string>", lambda m, row: list(m.generate(row["prompt"], **(options or {}), seed=row["round"])))
+    told = _ask(asked, model, "model_generations", "array<string>", lambda m, row: list(m.generate(row["prompt"], **(options or {}), **({seed_option: row["round"]} if seed_option else {}))))
     single = told.select(key, "round", F.posexplode("model_generations").alias("place", "text")).withColumn("order", F.struct("round", "place"))
     votes = saved(majority(single, key, "order", "text", letters))  # read twice, so that the model is asked once
     voted = exam.join(votes, key).withColumns({"model_answer": F.col("vote"), "model_generation": F.col("generation"), "voted": F.lit(True)}).drop("vote", "generation")

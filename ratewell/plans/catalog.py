@@ -224,17 +224,21 @@ def q_bootstrap_ac2_exact(spark, d):
 _W = " + ".join(f"(u >= {c})::int" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253))
 
 
-@query(f"""with x as (select doc_id, quality, b draw, ('0x' || substr(md5(concat('42:', b::varchar, ':', doc_id::varchar)), 1, 8))::bigint / 4294967296.0 u from labels, (select unnest(range(1, 41)) b)),
+def _hash_mean(draws: int) -> str:
+    return f"""with x as (select doc_id, quality, b draw, ('0x' || substr(md5(concat('42:', b::varchar, ':', doc_id::varchar)), 1, 8))::bigint / 4294967296.0 u from labels, (select unnest(range(1, {draws + 1})) b)),
 m as (select draw, sum(({_W}) * quality) / sum({_W}) m from x group by 1)
-select round(avg(m), 6) mean, round(stddev_pop(m), 6) stddev, count(*) num_samples, round(quantile_cont(m, 0.025), 6) ci_lower, round(quantile_cont(m, 0.975), 6) ci_upper from m""")
+select round(avg(m), 6) mean, round(stddev_pop(m), 6) stddev, count(*) num_samples, round(quantile_cont(m, 0.025), 6) ci_lower, round(quantile_cont(m, 0.975), 6) ci_upper from m"""
+
+
+@query(_hash_mean(40))
 def q_bootstrap_hash_mean(spark, d):
     rows = views.table(spark, d, "labels").withColumn("all", F.lit(1))
     return rounded(bootstrap.weighted_bootstrap(rows, ["all"], "doc_id", "quality", n=40).drop("all"), "mean", "stddev", "ci_lower", "ci_upper")
 
 
-@query()
+@query(_hash_mean(1000))
 def q_bootstrap_hash_mean_1000(spark, d):
-    """As many draws as the reference takes; q_bootstrap_hash_mean has the 40 of its SQL."""
+    """As many draws as the reference takes."""
     rows = views.table(spark, d, "labels").withColumn("all", F.lit(1))
     return rounded(bootstrap.weighted_bootstrap(rows, ["all"], "doc_id", "quality", n=1000).drop("all"), "mean", "stddev", "ci_lower", "ci_upper")
 
@@ -469,7 +473,7 @@ k as (select *, row_number() over (partition by item_id order by n desc, a) p, c
 select item_id, coalesce(a, model_answer) model_answer, case when a is null then 'no_majority_vote' else 'Reasoning. <answer>' || a || '</answer>' end model_generation, a is not null voted,
 (coalesce(a, model_answer) = answer)::int correct, (coalesce(a, model_answer) <> answer)::int incorrect from b left join v using (item_id)""")
 def q_self_consistency(spark, d):
-    return exam.by_vote(views.exam(spark, d), "item_id", HashModel, rounds=5).select("item_id", "model_answer", "model_generation", "voted", "correct", "incorrect")
+    return exam.by_vote(views.exam(spark, d), "item_id", HashModel, rounds=5, seed_option="seed").select("item_id", "model_answer", "model_generation", "voted", "correct", "incorrect")
 
 
 @query(f"{X}, t as (select item_id, answer, {_TOLD.format(_COT)} a from x) select item_id, a model_answer, (a = answer)::int correct from t")

@@ -36,8 +36,9 @@ def inference_path(root: str, vertical: str, model: str, split: str, day: str, m
     return f"{root}/{one_of(vertical, fixed.VERTICALS)}/{model}.{one_of(split, fixed.SPLITS)}.{token(day)}.{one_of(method, ('score', 'generate'))}.tsv"
 
 
-def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema=schema)
+def tsv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """multi_line: fields in quotes may hold line breaks; a file is then read by one task."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, escape='"', multiLine=multi_line)
 
 
 def ratings(spark: SparkSession, root: str, vertical: str, day: str) -> DataFrame:

@@ -44,7 +44,7 @@ def write_examples(examples: DataFrame, path: str, overwrite: bool = False) -> N
 def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Tab-separated with a header; binary columns as UTF-8 text."""
     texts = df.withColumns({f.name: utf8(F.col(f.name)) for f in df.schema.fields if f.dataType.typeName() == "binary"})
-    texts.write.mode(_mode(overwrite)).csv(path, sep="\t", header=True)
+    texts.write.mode(_mode(overwrite)).csv(path, sep="\t", header=True, escape='"')
 
 
 def write_results(results: DataFrame, path: str, order_by: str, overwrite: bool = False) -> None:
@@ -52,4 +52,4 @@ def write_results(results: DataFrame, path: str, order_by: str, overwrite: bool
     nested = [f.name for f in results.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
     flat = results.withColumns({c: F.to_json(c) for c in nested})
     numbered = flat.withColumn("index", F.row_number().over(Window.orderBy(order_by)) - 1)
-    numbered.select("index", *results.columns).write.mode(_mode(overwrite)).csv(path, header=True)
+    numbered.select("index", *results.columns).write.mode(_mode(overwrite)).csv(path, header=True, escape='"')

@@ -244,6 +244,7 @@ def test_exam(spark):
     assert {(r.model_answer, r.voted) for r in exam.evaluate(df, "id", Sure, "self_consistency", rounds=3).collect()} == {("(B)", True)}
     assert {(r.model_answer, r.voted) for r in exam.evaluate(df, "id", Unsure, "self_consistency", rounds=3).collect()} == {("(C)", False)}
     assert {r.skipped for r in exam.evaluate(df, "id", Unsure, "generate").collect()} == {1}
+    assert {r.model_generation for r in exam.evaluate(df, "id", Unsure, "self_consistency", rounds=2).collect()} == {exam.NO_MAJORITY}
     acc = {r.stratum: (r.correct, r.incorrect, r.accuracy) for r in exam.accuracy(exam.evaluate(df, "id", Sure, "score")).collect()}
     assert acc == {"All": (1, 1, 0.5), "Easy": (1, 0, 1.0), "Hard": (0, 1, 0.0)}
     nothing = {r.stratum: r.accuracy for r in exam.accuracy(exam.evaluate(df, "id", Unsure, "generate"), skipped_is_wrong=False).collect()}
@@ -354,3 +355,42 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {(r.conversation_source, r.mean_rating, r.n) for r in spark.table("means").collect()} == {("x", 3.0, 2), ("y", 5.0, 1)}
     assert spark.table("counts").count() == 3
+
+
+class Told:
+    """Says in its answer which options it got."""
+
+    def generate(self, prompt, **options):
+        return [f"{options} <answer>({'AB'[options.get('seed', 1) % 2]})</answer>"]
+
+    def score(self, prompt, completion, **options):
+        raise AssertionError("a question with a majority isn't scored")
+
+
+def test_votes_share_a_prompt_and_only_ties_are_scored(spark):
+    df = exam_frame(spark)
+    got = exam.by_vote(df, "id", Told, rounds=3, seed_option="seed", options={"temperature": 0.7}).collect()
+    assert {(r.model_answer, r.voted, r.model_generation) for r in got} == {("(B)", True, "{'temperature': 0.7, 'seed': 1} <answer>(B)</answer>")}
+    assert inference.model_options(None, 5) == {"max_decode_steps": 5} and inference.model_options() == {}
+
+
+def test_cell_bootstrap_is_near_a_plain_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 6, 800)
+    plain = np.percentile([rng.choice(x, len(x)).mean() for _ in range(2000)], [2.5, 97.5])
+    r = bootstrap.cell_bootstrap(spark.createDataFrame([("g", int(v)) for v in x] + [("g", None)], "g string, v int"), ["g"], "v", n=2000).first()
+    assert r["mean"] == pytest.approx(x.mean()) and abs(r.low - plain[0]) < 0.02 and abs(r.high - plain[1]) < 0.02
+
+
+def test_split_files_are_looked_at_before_any_is_written(spark, tmp_path):
+    from ratewell.sources import readers, sinks
+
+    df = spark.createDataFrame([("b", "train"), ("a", "train"), ("c", "test")], "case_study_id string, split string")
+    df.select("case_study_id").write.csv(readers.split_path(str(tmp_path), "sleep", "test", "2024-01-02"))
+    with pytest.raises(FileExistsError):
+        sinks.write_split_files(df, str(tmp_path), "sleep", "2024-01-02")
+    assert not sinks.exists(spark, readers.split_path(str(tmp_path), "sleep", "train", "2024-01-02"))
+    sinks.write_split_files(df, str(tmp_path), "sleep", "2024-01-02", overwrite=True)
+    assert sorted(map(tuple, readers.splits(spark, str(tmp_path), "sleep", "2024-01-02", ("train", "test")).collect())) == [("a", "train"), ("b", "train"), ("c", "test")]
