@@ -137,10 +137,31 @@ def brute_bytes(length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "most"), [(400, 20_000), (40, 20_000), (40, 1)])
+@pytest.mark.parametrize(("length", "most"), [(400, 5000), (40, 5000), (40, 3), (40, 1), (40, 12)])
 def test_repeated_bytes(docs, length, most):
     got = suffix_dedup.repeated_bytes(docs, length=length, most_strings=most)
-    assert sorted(map(tuple, got.collect()), key=str) == brute_bytes(length)
+    got = sorted((tuple(r) for r in got.collect()), key=lambda r: str(r[:5]))
+    assert [r[:5] for r in got] == brute_bytes(length)
+    assert sorted(((r[0], r[5], r[6]) for r in got), key=str) == sorted(((i, gone, spans) for i, _, gone, spans, _ in brute_bytes(length * 5 // 8)), key=str)
+
+
+def test_very_long_and_periodic_bytes(spark):
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    part, text = say(450), say(150_000)
+    texts = [text, text[70_000:] + say(50), "z" * 5000, "z" * 399, "z" * 400, "xy" * 3000, part + say(3000), say(2000) + part, part[:399] + "!" + say(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    seen = {}
+    for t in texts:
+        for k in range(len(t) - 399):
+            seen[hash(t[k : k + 400])] = seen.get(hash(t[k : k + 400]), 0) + 1
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_bytes(df).collect()}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        assert got[i] == sum(gone), i
 
 
 def test_bytes_kept(docs):
@@ -150,18 +171,19 @@ def test_bytes_kept(docs):
 
 
 def test_columns_of_the_transform():
-    """Order and common prefixes after each column are those of sorted suffixes."""
+    """Longest common prefixes, and the transform's symbols in the order of suffixes, after each column."""
     rng = np.random.default_rng(0)
     for _ in range(20):
-        n, width, length = 12, 9, 3
+        n, width = 12, 9
         matrix = rng.integers(0, 3, (n, width)).astype(np.uint16)
         bucket = np.sort(rng.integers(0, 3, n))
-        got = suffix_dedup.insert_columns(matrix, bucket, width - length + 1, length)
-        for i in range(n):
-            for c in range(width - length + 1):
-                own = matrix[i, c : c + length]
-                same = any(j != i and bucket[j] == bucket[i] and (matrix[j, c : c + length] == own).all() for j in range(n))
-                assert got[i, c] == (same and (own > 0).all())
+        longest, transform = suffix_dedup.insert_columns(matrix, bucket, width)
+        for c in range(width):
+            for i in range(n):
+                common = [next((k for k in range(width - c) if matrix[i, c + k] != matrix[j, c + k] or matrix[i, c + k] == 0), width - c) for j in range(n) if j != i and bucket[j] == bucket[i]]
+                assert longest[i, c] == max(common, default=0)
+            rows = sorted(range(n), key=lambda i: (bucket[i], *matrix[i, c:]))
+            assert [(matrix[i, c - 1] if c else 0) for i in rows] == transform[c].tolist() or len({(bucket[i], *matrix[i, c:]) for i in rows}) < n
 
 
 def brute_words(k):
