@@ -17,6 +17,8 @@ from ratewell.llm.texts import KEY, NO_ID, OWNER, ensure_checkpoints, keyed, sto
 EDGE = 13
 #: Words in a core. Each edge belongs to its least core; neighbouring edges mostly share one, and make a path.
 CORE = 5
+#: A task remembers the cores it has met in two tables of so many bits of places (8 MB each).
+SEEN_BITS = 20
 
 
 def paths(batch: pa.RecordBatch, edge: int, core: int):
@@ -38,12 +40,15 @@ def paths(batch: pa.RecordBatch, edge: int, core: int):
 def cores_of(texts: DataFrame, edge: int, core: int) -> DataFrame:
     """(key, salt, id), once per text and core; key is core ^ salt << 40.
 
-    Salt 0: nothing else in its slice of texts has the core, so rows with its key have to be counted. Where several texts
-    of a slice share a core, each of their rows has a key of its own (its salt says that the core is repeated), and one
-    row without an id stands for them under the core. So a core that a third of all texts have is one row per slice.
+    Salt 0: nothing that the task has read before has the core, so rows with its key have to be counted. Where it has been
+    read before, or several texts of a slice have it, each row has a key of its own (its salt says that the core is
+    repeated), and one row without an id stands for them under the core, once for the task. So a core that a third of all
+    texts have is a few rows per task. A task remembers cores in a table of fixed size, in which later ones replace
+    earlier ones; a core that was forgotten is counted as if it were new.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, told = np.zeros(1 << SEEN_BITS, np.uint64), np.zeros(1 << SEEN_BITS, np.uint64)
         for batch in slices(batches):
             *_, row, own = paths(batch, edge, core)
             if not len(row):
@@ -53,8 +58,14 @@ def cores_of(texts: DataFrame, edge: int, core: int) -> DataFrame:
             row, own = row[order], own[order]
             first = changes(own)
             texts_ = np.diff(np.append(first, len(own)))
-            salt = np.where(np.repeat(texts_, texts_) > 1, row + 1, 0)
-            shared = own[first[texts_ > 1]]
+            single = own[first]
+            slot = mix(single) >> np.uint64(64 - SEEN_BITS)
+            again = (texts_ > 1) | (met[slot] == single)
+            met[slot] = single
+            salt = np.where(np.repeat(again, texts_), row + 1, 0)
+            new = again & (told[slot] != single)
+            told[slot[new]] = single[new]
+            shared = single[new]
             key = np.concatenate([own ^ (salt.astype(np.uint64) << np.uint64(40)), shared])
             id_ = pa.concat_arrays([batch.column("id").take(pa.array(row)), pa.nulls(len(shared), pa.int64())])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate([salt, np.zeros(len(shared), np.int64)]).astype(np.int32)), id_], names=["key", "salt", "id"])
