@@ -22,6 +22,8 @@ SAMPLES, BITS = 1024, 4096
 MARGIN = 0.075
 #: Members of a bucket that are compared at once when parts of it are not linked yet; larger buckets go block by block.
 BLOCK = 1500
+#: Pairs whose bands and sketches are in memory at once.
+CHUNK = 10_000
 
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 PROFILE = "rep long, n long, shingles binary, sketch binary"
@@ -168,7 +170,8 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (key, size, rep, root, n, sketch, bands) with one key and two roots whose sketches say they may be similar.
 
     A key's members are compared by sketch in blocks of BLOCK: each group holds two blocks at most, whatever the
-    bucket's size. Only pairs that pass leave the task, and each from the first band alone that both share.
+    bucket's size. A pair is compared under the first band alone that both share, and only
+    pairs that pass leave the task.
     """
     least = percent / 100 - MARGIN
 
@@ -186,13 +189,12 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if i != j:
                 may &= block[a, None] != block
             x, y = np.nonzero(may)
-            for part in range(0, len(x), 50_000):
-                p, q = a[x[part : part + 50_000]], y[part : part + 50_000]
+            for part in range(0, len(x), CHUNK):
+                p, q = a[x[part : part + CHUNK]], y[part : part + CHUNK]
+                here = bands[p, (bands[p] == bands[q]).argmax(1)] == key
+                p, q = p[here], q[here]
                 near = estimate(np.bitwise_count(sketch[p] ^ sketch[q]).sum(1)) >= least
-                p, q = p[near], q[near]
-                same = bands[p] == bands[q]
-                first = bands[p, same.argmax(1)] == key
-                out.append(np.stack([rep[p[first]], rep[q[first]]], 1))
+                out.append(np.stack([rep[p[near]], rep[q[near]]], 1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).astype("int64")
 
