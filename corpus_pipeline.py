@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: quality rules, exact and near dedup, personal data, packing."""
+"""A training corpus from raw documents: quality rules, exact and near dedup, personal data, packing.
+
+Every stage takes any table with the columns of documents: nulls in any column, empty and very long texts, repeated rows,
+an empty table (which gives an empty one), and further columns, whatever their names, which stay until packing.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,30 @@ from ratewell.llm.texts import stored
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; a null or empty text has no words and goes. Limits of compression are
+    those of this stage's own input. Repeated rows are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z folded) the row with the largest id stays."""
+    """Of equal texts (A-Z folded) one row stays: the one with the largest id, and of rows that repeat it the one with the
+    largest hash of all columns. A null id stays only where no row of the group has an id."""
     return exact_dedup.drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (shingles of five words, similarity 0.8 or more) one document stays."""
+    """Of each group of near duplicates (shingles of five words, similarity 0.8 or more, which includes 0.8) the document
+    with the smallest id stays. Texts without words, and rows with a null id, are linked with nothing and stay."""
     return near_dedup.drop_near(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars is counted anew."""
+    """Personal data is replaced by its kind; n_chars is counted anew. A null text stays null."""
     return pii.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and place there."""
+    """One row per piece of a document, with its sequence and place there; a null or empty text is one piece, its end id."""
     return packing.pack_documents(docs)
 
 
