@@ -21,7 +21,7 @@ SAMPLES, BITS = 1024, 4096
 #: Pairs whose estimate is five deviations below the threshold are not checked on their full sets.
 MARGIN = 0.075
 #: Members of a bucket that are compared at once when parts of it are not linked yet; larger buckets go block by block.
-BLOCK = 1500
+BLOCK = 512
 #: Pairs whose bands and sketches are in memory at once.
 CHUNK = 10_000
 
@@ -167,30 +167,35 @@ def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
 
 
 def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, size, rep, root, n, sketch, bands) with one key and two roots whose sketches say they may be similar.
-
-    A key's members are compared by sketch in blocks of BLOCK: each group holds two blocks at most, whatever the
-    bucket's size. A pair is compared under the first band alone that both share, and only
-    pairs that pass leave the task.
+    """Pairs (a, b) of rows (key, shape, rep, root, n, sketch, bands) with one key and two roots whose sketches say they may
+    be similar.
+
+    shape: the root that most members of the key have, how many have it, and how many have others. Those many are linked
+    already, so only the others (the outsiders) are compared, with everyone. Both sides are cut into blocks of BLOCK, and a
+    task compares a block of outsiders with one other block; members of the largest root go to as many tasks as there are
+    blocks of outsiders. So a bucket of 300,000 of which a hundred aren't linked yet is dealt out once. A pair is compared
+    under the first band alone that both share, and only pairs that pass leave the task.
     """
     least = percent / 100 - MARGIN
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, key = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["key"].iloc[0])
-        group = group.sort_values("block", kind="stable", ignore_index=True)
+        key, same_block = int(group["key"].iloc[0]), bool(group["i"].iloc[0] == group["j"].iloc[0])
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
         bands = np.stack(group["bands"].to_numpy())
-        rep, root, n, block = (group[c].to_numpy() for c in ("rep", "root", "n", "block"))
+        rep, root, n, block, out_ = (group[c].to_numpy() for c in ("rep", "root", "n", "block", "outside"))
+        outsiders = np.flatnonzero(out_)
+        others = outsiders if group["inner"].iloc[0] else np.flatnonzero(~out_)
         out = []
-        for at in range(0, len(group), 16):
-            a = np.arange(at, min(at + 16, len(group)))
-            may = (root[a, None] != root) & (100 * np.minimum(n[a, None], n) >= percent * np.maximum(n[a, None], n))
-            may &= np.arange(len(group)) > a[:, None]
-            if i != j:
-                may &= block[a, None] != block
+        for at in range(0, len(outsiders), 16):
+            a = outsiders[at : at + 16]
+            may = (root[a, None] != root[others]) & (100 * np.minimum(n[a, None], n[others]) >= percent * np.maximum(n[a, None], n[others]))
+            if group["inner"].iloc[0]:
+                may &= others > a[:, None]
+                if not same_block:
+                    may &= block[a, None] != block[others]
             x, y = np.nonzero(may)
             for part in range(0, len(x), CHUNK):
-                p, q = a[x[part : part + CHUNK]], y[part : part + CHUNK]
+                p, q = a[x[part : part + CHUNK]], others[y[part : part + CHUNK]]
                 here = bands[p, (bands[p] == bands[q]).argmax(1)] == key
                 p, q = p[here], q[here]
                 near = estimate(np.bitwise_count(sketch[p] ^ sketch[q]).sum(1)) >= least
@@ -198,11 +203,16 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).astype("int64")
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "sketch", "bands")
-    return other.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    cut = lambda size: F.ceil(size / BLOCK).cast("int")
+    every = lambda blocks: F.sequence(F.lit(0), blocks - 1)
+    task = lambda i, j, inner: F.struct(i.alias("i"), j.alias("j"), F.lit(inner).alias("inner"))
+    dealt = rows.withColumns({"outside": F.col("root") != F.col("shape.big"), "o": cut(F.col("shape.outside")), "l": cut(F.col("shape.inside"))})
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("outside"), F.col("o")).otherwise(F.col("l"))).cast("int"))
+    block = F.col("block")
+    as_outsider = F.concat(F.transform(every(F.col("l")), lambda j: task(block, j, False)), F.transform(every(F.col("o")), lambda k: task(F.least(block, k), F.greatest(block, k), True)))
+    as_member = F.transform(every(F.col("o")), lambda i: task(i, block, False))
+    tasks = dealt.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", F.inline(F.when(F.col("outside"), as_outsider).otherwise(as_member)))
+    return tasks.groupBy("key", "inner", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -217,8 +227,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        whose buckets are fullest, i.e. the one nearest to the others; pairs grow as the bucket, not as its square.
     3. Odd sketches drop pairs that are too far apart, the others are checked on their full sets; links are contracted
        to components.
-    4. Buckets that still hold two components or more are compared by odd sketch between components, in blocks; what
-       the sketches don't rule out is checked on full sets too. So every link between bucket mates is found or implied.
+    4. Where buckets still hold two components or more, all members outside the largest are compared by odd sketch with
+       everyone, in blocks; what the sketches don't rule out is checked on full sets too. So every link between bucket mates is found or implied.
 
     Sets are compared by the 64-bit hashes of their shingles. Null or wordless text: n_shingles 0, linked with
     nothing. Null ids: component_id null, kept. Rows that share an id are one node: they get its component.
@@ -245,8 +255,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = stored(verified(pairs, profile, percent))
 
     roots = stored(components(links))
-    placed = mates.join(roots, mates["rep"] == roots["node"], "left").select("key", "size", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    placed = mates.join(roots, mates["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    shape = F.struct(F.max_by("root", F.struct("n", "root")).alias("big"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    mixed = stored(counts.groupBy("key").agg(shape.alias("shape")).filter("shape.outside > 0"))
     rows = placed.join(mixed, "key").join(profile.select("rep", "n", "sketch"), "rep").join(single, "rep")
     more = stored(verified(unlinked_pairs(rows, percent), profile, percent))
     if not more.isEmpty():
