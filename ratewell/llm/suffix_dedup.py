@@ -20,8 +20,9 @@ from ratewell.llm.texts import NO_ID, OWNER, ensure_checkpoints, keyed, stored
 
 #: Bytes of a string that counts as repeated and is removed; and of shorter ones that are reported as well.
 LENGTH, SHORT = 400, 250
-#: Strings of a bucket that are sorted together; the core of a bucket with more is lengthened until its parts fit.
-MOST_STRINGS = 5_000
+#: Strings of a bucket that are sorted together (65 MB of symbols, a few seconds); the core of a bucket with more is
+#: lengthened until its parts fit.
+MOST_STRINGS = 50_000
 #: Starts of a part: 16 strings in a row share all of their bytes but 15 at either end.
 PART = 16
 #: Bytes of strings that are sorted at once: buckets are small, so many go together.
@@ -123,16 +124,17 @@ def runs_of(texts: DataFrame, length: int, short: int) -> DataFrame:
     return texts.select(*OWNER, "text").mapInArrow(run, "core long, run long, id long, k1 long, start int, n int, off int, copies int")
 
 
-def insert_columns(matrix: np.ndarray, bucket: np.ndarray, ready: int) -> tuple[np.ndarray, np.ndarray]:
+def insert_columns(matrix: np.ndarray, bucket: np.ndarray, ready: int, transform: np.ndarray | None = None) -> np.ndarray:
     """For each string (row) and each of the first ``ready`` columns: the longest prefix from there that another string of
-    its bucket, lined up likewise, has too; and the transform's symbol of that suffix, i.e. the one before it.
+    its bucket, lined up likewise, has too. ``transform``, if given, gets each column's block of the transform: in the
+    order of the suffixes from there, the symbols before them.
 
     matrix: strings by columns, 0 where a string has no byte (such a place equals nothing), else byte + 1.
     bucket: sorted. One round per column, the last first: each inserts one symbol of every string, re-sorts and updates
     ``prefix``; ``prefix[k]`` is the common prefix of the k-th string in order with the one before it.
     """
     strings, columns = matrix.shape
-    longest, transform = np.zeros((strings, ready), np.uint16), np.zeros((ready, strings), np.uint16)
+    longest = np.zeros((strings, ready), np.uint16)
     order, prefix = np.arange(strings), np.zeros(strings + 1, np.int32)
     base = bucket.astype(np.int64) << 9
     for column in range(columns - 1, -1, -1):
@@ -152,8 +154,9 @@ def insert_columns(matrix: np.ndarray, bucket: np.ndarray, ready: int) -> tuple[
         order = order[moved]
         if column < ready:
             longest[order, column] = np.maximum(prefix[:-1], prefix[1:])
+        if transform is not None:
             transform[column] = matrix[order, column - 1] if column else 0
-    return longest, transform
+    return longest
 
 
 #: A string of a bucket: where it is, how many starts it has, its core after the first; and the run that its answer is for.
@@ -188,7 +191,7 @@ def sort_buckets(strings: DataFrame, length: int, short: int) -> DataFrame:
         flat = np.frombuffer(b"".join(texts), np.uint8)
         where = np.repeat(np.arange(len(texts)) * matrix.shape[1] + left - off - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
         matrix.ravel()[where] = flat.astype(np.uint16) + 1
-        longest, _ = insert_columns(matrix, bucket, left + 1)
+        longest = insert_columns(matrix, bucket, left + 1)
         place = np.arange(left + 1)
         own = (place >= (left - off)[:, None]) & (place < (left - off + n)[:, None]) & rows.column("main").to_numpy(zero_copy_only=False)[:, None]
         for level in (short, length):

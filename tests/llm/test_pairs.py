@@ -177,7 +177,8 @@ def test_columns_of_the_transform():
         n, width = 12, 9
         matrix = rng.integers(0, 3, (n, width)).astype(np.uint16)
         bucket = np.sort(rng.integers(0, 3, n))
-        longest, transform = suffix_dedup.insert_columns(matrix, bucket, width)
+        transform = np.zeros((width, n), np.uint16)
+        longest = suffix_dedup.insert_columns(matrix, bucket, width, transform)
         for c in range(width):
             for i in range(n):
                 common = [next((k for k in range(width - c) if matrix[i, c + k] != matrix[j, c + k] or matrix[i, c + k] == 0), width - c) for j in range(n) if j != i and bucket[j] == bucket[i]]
