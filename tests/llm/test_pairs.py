@@ -212,3 +212,60 @@ def test_repeated_spans(docs):
 def test_spans_kept(docs):
     r = substring_dedup.repeated_spans(docs, with_text=True).filter(F.col("n_removed").between(1, 60)).first()
     assert len(r.kept_text.split()) == r.n_words - r.n_removed
+
+
+def test_very_long_texts(spark):
+    """Texts of some 700 kB: near copies, a long shared stretch, and one word over and over."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(20_000)]
+    base = [rng.choice(words) for _ in range(120_000)]
+    near, far = list(base), list(base)
+    for k in rng.sample(range(120_000), 3_000):
+        near[k] = "near"
+    for k in rng.sample(range(120_000), 12_000):
+        far[k] = "far"
+    texts = [" ".join(base), " ".join(near), " ".join(far), " ".join([rng.choice(words) for _ in range(50_000)] + base[40_000:90_000]), "same " * 150_000, "same " * 140_000]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(3)
+    sets = [set(zip(*(t.split()[k:] for k in range(4)), strict=False)) for t in texts]
+    links = [(a, b) for b in range(6) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links == [(0, 1), (4, 5)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(df, shingle=4).collect()}
+    assert got == {i: (len(s), {1: 0, 5: 4}.get(i, i)) for i, s in enumerate(sets)}
+    low, want = {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = bytearray(len(w))
+        for s in range(len(w) - 12):
+            if low.setdefault(hash(tuple(w[s : s + 13])), i) < i:
+                gone[s : s + 13] = b"\1" * 13
+        want[i] = (len(w), sum(gone))
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.repeated_spans(df).collect()} == want
+
+
+def test_buckets_of_near_copies_that_drift(spark, monkeypatch):
+    """Chains of copies, each near the next alone: most of a bucket isn't linked through its hub."""
+    rng = random.Random(21)
+    words, rows_ = [f"w{i}" for i in range(5000)], []
+    for chain in range(3):
+        text = [rng.choice(words) for _ in range(120)]
+        for _ in range(40):
+            for k in rng.sample(range(120), 3):
+                text[k] = rng.choice(words)
+            rows_.append(" ".join(text))
+    sets = [set(zip(*(t.split()[k:] for k in range(4)), strict=False)) for t in rows_]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(len(sets)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    df = spark.createDataFrame(list(enumerate(rows_)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, shingle=4).collect()}
+    assert got == {i: find(i) for i in range(len(sets))} and 3 <= len(set(got.values())) < 60

@@ -357,3 +357,17 @@ def test_first_fit():
             want[i] = (k, 4096 - room[k])
             room[k] -= sizes[i]
         assert [(where[i], offset[i]) for i in range(n)] == [want[i] for i in range(n)]
+
+
+def test_packing_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"word{i}" for i in rng.integers(0, 900, 90_000)), "x" * 200_000, "one\n" * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole, found = Tokenizer.from_file(packing.default_tokenizer()), {}
+    for r in packing.pack_documents(df).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for i, t in enumerate(texts):
+        ids = whole.encode(t, add_special_tokens=False).ids + [2]
+        assert sorted(found[i]) == [(a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes()), len(ids)) for a in range(0, len(ids), 4096)]
