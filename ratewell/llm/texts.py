@@ -42,8 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     like checkpoint(), at a third of the size for tables of numbers. The table goes when the driver ends."""
     spark = df.sparkSession
     ensure_checkpoints(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/tables")
+    files = top.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(top)
+    files.deleteOnExit(top)
+    place = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
