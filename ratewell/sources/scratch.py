@@ -17,10 +17,11 @@ def folder(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    place = f"{top}/scratch/{uuid.uuid4().hex}"
-    path = context._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return place
+    own = context._jvm.org.apache.hadoop.fs.Path(f"{top}/scratch-{context.applicationId}")
+    files = own.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
