@@ -29,12 +29,17 @@ def stratified_split(ratings: DataFrame, id_col: str = "case_study_id", fraction
     """(id, raters, split): in each group of cases with one set of raters, a seeded shuffle is cut at the summed fractions.
 
     The shuffle is the order of md5(seed:id), so it doesn't depend on partitioning. A cut is the whole part of the
-    summed fraction of the group's size.
+    summed fraction of the group's size. Ids are numbered within the first four digits of their md5, and those cells
+    (65,536 at most) within the group, so a group of any size is spread over tasks.
     """
     check_fractions(list(fractions.values()))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    sets = rater_sets(ratings, id_col).withColumns({"_order": order, "_cell": F.substring(order, 1, 4)})
     by_group = Window.partitionBy("raters")
-    order = by_group.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col)
-    placed = rater_sets(ratings, id_col).withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(by_group))
+    upto = F.sum("_n").over(by_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = sets.groupBy("raters", "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_before": F.coalesce(upto, F.lit(0)), "n": F.sum("_n").over(by_group)})
+    own = F.row_number().over(Window.partitionBy("raters", "_cell").orderBy("_order", id_col))
+    placed = sets.withColumn("_own", own).join(cells, ["raters", "_cell"]).withColumn("place", F.col("_before") + F.col("_own"))
     split, total = F.lit(None).cast("string"), 0.0
     for name, share in reversed(list(zip(fractions, np.cumsum(list(fractions.values())), strict=True))):
         total = float(share)
