@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.components import components
-from ratewell.llm.text import Words, mix, slices, string_buffer
+from ratewell.llm.text import Words, changes, concat_runs, mix, slices, string_buffer, whole_groups
 from ratewell.llm.texts import ensure_checkpoints, stored
 
 #: At a similarity of 0.8, all 32 bands of 4 miss a pair once in 20 million.
@@ -22,7 +21,7 @@ SAMPLES, BITS = 1024, 4096
 MARGIN = 0.075
 #: Members of a bucket that are compared at once when parts of it are not linked yet; larger buckets go block by block.
 BLOCK = 512
-#: Pairs whose bands and sketches are in memory at once.
+#: Pairs whose bands and sketches are in memory at once (20 times as many by their numbers alone).
 CHUNK = 10_000
 
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -178,30 +177,35 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """
     least = percent / 100 - MARGIN
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key, same_block = int(group["key"].iloc[0]), bool(group["i"].iloc[0] == group["j"].iloc[0])
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
-        bands = np.stack(group["bands"].to_numpy())
-        rep, root, n, block, out_ = (group[c].to_numpy() for c in ("rep", "root", "n", "block", "outside"))
-        outsiders = np.flatnonzero(out_)
-        others = outsiders if group["inner"].iloc[0] else np.flatnonzero(~out_)
-        out = []
-        for at in range(0, len(outsiders), 16):
-            a = outsiders[at : at + 16]
-            may = (root[a, None] != root[others]) & (100 * np.minimum(n[a, None], n[others]) >= percent * np.maximum(n[a, None], n[others]))
-            if group["inner"].iloc[0]:
-                may &= others > a[:, None]
-                if not same_block:
-                    may &= block[a, None] != block[others]
-            x, y = np.nonzero(may)
-            for part in range(0, len(x), CHUNK):
-                p, q = a[x[part : part + CHUNK]], others[y[part : part + CHUNK]]
-                here = bands[p, (bands[p] == bands[q]).argmax(1)] == key
-                p, q = p[here], q[here]
-                near = estimate(np.bitwise_count(sketch[p] ^ sketch[q]).sum(1)) >= least
-                out.append(np.stack([rep[p[near]], rep[q[near]]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).astype("int64")
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All tasks' rows at once, as most tasks are a few rows: pairs are laid out for each outsider with its task."""
+        rows = rows.combine_chunks()
+        key, rep, root, n, block, outside, inner, alone, task = (rows.column(c).to_numpy() for c in ("key", "rep", "root", "n", "block", "outside", "inner", "alone", "task"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
+        bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(rep), -1)
+        first = changes(task)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(task))))
+        outsiders = np.flatnonzero(outside)
+        begin, mates = first[group[outsiders]], np.diff(np.append(first, len(task)))[group[outsiders]]
+        upto = np.cumsum(mates)
+        at = 0
+        while at < len(outsiders):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 20 * CHUNK, "right")))
+            p, q = np.repeat(outsiders[at:to], mates[at:to]), concat_runs(begin[at:to], mates[at:to])
+            may = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            may &= np.where(inner[p], (q > p) & (alone[p] | (block[p] != block[q])), ~outside[q])
+            p, q = p[may], q[may]
+            for part in range(0, len(p), CHUNK):
+                a, b = p[part : part + CHUNK], q[part : part + CHUNK]
+                here = bands[a, (bands[a] == bands[b]).argmax(1)] == key[a]
+                a, b = a[here], b[here]
+                near = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1)) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a[near]]), pa.array(rep[b[near]])], names=["a", "b"])
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "task", 4 * BLOCK):
+            yield from compare(rows)
 
     cut = lambda size: F.ceil(size / BLOCK).cast("int")
     every = lambda blocks: F.sequence(F.lit(0), blocks - 1)
@@ -209,10 +213,12 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
     dealt = rows.withColumns({"outside": F.col("root") != F.col("shape.big"), "o": cut(F.col("shape.outside")), "l": cut(F.col("shape.inside"))})
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("outside"), F.col("o")).otherwise(F.col("l"))).cast("int"))
     block = F.col("block")
-    as_outsider = F.concat(F.transform(every(F.col("l")), lambda j: task(block, j, False)), F.transform(every(F.col("o")), lambda k: task(F.least(block, k), F.greatest(block, k), True)))
+    with_outsiders = F.when(F.col("shape.outside") > 1, F.transform(every(F.col("o")), lambda k: task(F.least(block, k), F.greatest(block, k), True))).otherwise(F.array())
+    as_outsider = F.concat(F.transform(every(F.col("l")), lambda j: task(block, j, False)), with_outsiders)
     as_member = F.transform(every(F.col("o")), lambda i: task(i, block, False))
     tasks = dealt.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", F.inline(F.when(F.col("outside"), as_outsider).otherwise(as_member)))
-    return tasks.groupBy("key", "inner", "i", "j").applyInPandas(compare, "a long, b long")
+    tasks = tasks.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", "inner", (F.col("i") == F.col("j")).alias("alone"), F.xxhash64("key", "inner", "i", "j").alias("task"))
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.text import changes, concat_runs, merge_spans, mix, slices, sliding_argmin, string_buffer
+from ratewell.llm.text import changes, concat_runs, merge_spans, mix, slices, sliding_argmin, string_buffer, whole_groups
 from ratewell.llm.texts import NO_ID, OWNER, ensure_checkpoints, keyed, stored
 
 #: Bytes of a string that counts as repeated and is removed; and of shorter ones that are reported as well.
@@ -200,26 +200,8 @@ def sort_buckets(strings: DataFrame, length: int, short: int) -> DataFrame:
             yield _batch({c: rows.column(c).combine_chunks().take(take) for c in ("core", "run")} | {"level": np.full(len(which), level, np.int32), "s": s, "e": e})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            while batch.num_rows:
-                buckets = batch.column("bucket").to_numpy()
-                begins = changes(buckets)
-                if kept and buckets[0] == kept[-1].column("bucket")[-1].as_py():
-                    begins = begins[1:]
-                cut = next((int(b) for b in begins if size + b * 1.5 * length >= BATCH), None) if kept or len(begins) > 1 else None
-                if cut is None:
-                    kept.append(batch)
-                    size += int(batch.num_rows * 1.5 * length)
-                    break
-                if cut:
-                    kept.append(batch.slice(0, cut))
-                if kept:
-                    yield from solve(pa.Table.from_batches(kept))
-                kept, size, batch = [], 0, batch.slice(cut)
-        if kept:
-            yield from solve(pa.Table.from_batches(kept))
+        for rows in whole_groups(batches, "bucket", int(BATCH / (1.5 * length))):
+            yield from solve(rows)
 
     return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
 

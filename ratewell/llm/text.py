@@ -151,6 +151,30 @@ def concat_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """The same rows, in tables of about ``rows`` in which no run of equal values of ``column`` is cut."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        while batch.num_rows:
+            keys = batch.column(column).to_numpy()
+            begins = changes(keys)
+            if kept and keys[0] == kept[-1].column(column)[-1].as_py():
+                begins = begins[1:]
+            cut = next((int(b) for b in begins if size + b >= rows), None) if kept or len(begins) > 1 else None
+            if cut is None:
+                kept.append(batch)
+                size += batch.num_rows
+                break
+            if cut:
+                kept.append(batch.slice(0, cut))
+            if kept:
+                yield pa.Table.from_batches(kept)
+            kept, size, batch = [], 0, batch.slice(cut)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs covered by the (start, end) spans; spans that touch are one run."""
     out: list[tuple[int, int]] = []
