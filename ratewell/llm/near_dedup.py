@@ -130,10 +130,11 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
-def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, profile: DataFrame, percent: int, sketched: bool = False) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Odd sketches come first: pairs whose estimate is too low are dropped, and full sets are joined to the others only.
+    Odd sketches come first, unless the pairs have been through them (``sketched``): pairs whose estimate is too low are
+    dropped, and full sets are joined to the others only.
     """
     least = percent / 100 - MARGIN
 
@@ -161,13 +162,13 @@ def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
         return pairs.join(left, "a").join(right, "b")
 
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    proposed = stored(beside(pairs, "sketch").filter(alike).select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
+    proposed = pairs if sketched else stored(beside(pairs, "sketch").filter(alike).select("a", "b", "x", "y").mapInArrow(near, "a long, b long"))
     return beside(proposed, "shingles").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, shape, rep, root, n, sketch, bands) with one key and two roots whose sketches say they may
-    be similar.
+    """Pairs (a, b, root_a, root_b, alike) of rows (key, shape, rep, root, n, sketch, bands) with one key and two roots whose
+    sketches say they may be similar, and how much.
 
     shape: the root that most members of the key have, how many have it, and how many have others. Those many are linked
     already, so only the others (the outsiders) are compared, with everyone. Both sides are cut into blocks of BLOCK, and a
@@ -199,8 +200,10 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 a, b = p[part : part + CHUNK], q[part : part + CHUNK]
                 here = bands[a, (bands[a] == bands[b]).argmax(1)] == key[a]
                 a, b = a[here], b[here]
-                near = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1)) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a[near]]), pa.array(rep[b[near]])], names=["a", "b"])
+                alike = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1))
+                near = alike >= least
+                a, b = a[near], b[near]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (rep[a], rep[b], root[a], root[b], alike[near]))], names=["a", "b", "root_a", "root_b", "alike"])
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +221,23 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
     as_member = F.transform(every(F.col("o")), lambda i: task(i, block, False))
     tasks = dealt.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", F.inline(F.when(F.col("outside"), as_outsider).otherwise(as_member)))
     tasks = tasks.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", "inner", (F.col("i") == F.col("j")).alias("alone"), F.xxhash64("key", "inner", "i", "j").alias("task"))
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, root_a long, root_b long, alike double")
+
+
+def linked_roots(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all roots that the pairs of unlinked_pairs() can connect.
+
+    One link joins two components, so of the pairs of a member and another component the one that looks most alike is
+    checked first; all others are checked where the components are still apart after that.
+    """
+    pairs = stored(pairs)
+    best = pairs.groupBy("a", "root_b").agg(F.max_by("b", F.struct("alike", "b")).alias("b"), F.min("root_a").alias("root_a"))
+    first = stored(verified(best.select("a", "b"), profile, percent, sketched=True))
+    joined = first.join(best, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    groups = stored(components(joined))
+    left = pairs.join(groups.toDF("root_a", "x"), "root_a", "left").join(groups.toDF("root_b", "y"), "root_b", "left")
+    left = left.filter(F.coalesce("x", "root_a") != F.coalesce("y", "root_b")).select("a", "b")
+    return first.union(verified(left, profile, percent, sketched=True))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -234,7 +253,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     3. Odd sketches drop pairs that are too far apart, the others are checked on their full sets; links are contracted
        to components.
     4. Where buckets still hold two components or more, all members outside the largest are compared by odd sketch with
-       everyone, in blocks; what the sketches don't rule out is checked on full sets too. So every link between bucket mates is found or implied.
+       everyone, in blocks; what the sketches don't rule out is checked on full sets too, the most alike first. So every
+       link between bucket mates is found or implied.
 
     Sets are compared by the 64-bit hashes of their shingles. Null or wordless text: n_shingles 0, linked with
     nothing. Null ids: component_id null, kept. Rows that share an id are one node: they get its component.
@@ -266,7 +286,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shape = F.struct(F.max_by("root", F.struct("n", "root")).alias("big"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
     mixed = stored(counts.groupBy("key").agg(shape.alias("shape")).filter("shape.outside > 0"))
     rows = placed.join(mixed, "key").join(profile.select("rep", "n", "sketch"), "rep").join(single, "rep")
-    more = stored(verified(unlinked_pairs(rows, percent), profile, percent))
+    more = stored(linked_roots(unlinked_pairs(rows, percent), profile, percent))
     if not more.isEmpty():
         roots = stored(components(links.union(more)))
 
