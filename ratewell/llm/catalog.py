@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import exact_dedup, near_dedup, packing, pieces, pii, quality_rules, site_quality, substring_dedup, suffix_dedup, toxicity
+from ratewell.llm import centroids, exact_dedup, near_dedup, packing, pieces, pii, quality_rules, site_quality, substring_dedup, suffix_dedup, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +51,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.posterior_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_minhash_near_dedup, op4_toxicity, op5_sentencepiece, op6_quality_rules, op7_pii, op8_packing, op9_substring_dedup, op10_quality_classifier)}
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_minhash_near_dedup, op4_toxicity, op5_sentencepiece, op6_quality_rules, op7_pii, op8_packing, op9_substring_dedup, op10_quality_classifier, op12_centroid_clustering, op13_embedding_whitening)}
 
 #: The words of a text.
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Centroids of round {r}: (cluster, c); a round's near table has every vector's squared distance to each of them.
+_NEAR = """
+near{r} as (select i, vec_id, x, cluster, list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j])))::bigint distance from v cross join c{r} qualify row_number() over (partition by i order by distance, cluster) = 1),"""
+_ROUND = """
+m{s} as (select cluster, list(q order by j) c from (select cluster, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) q from (select cluster, unnest(range(1, 65)) j, unnest(x) x from near{r}) group by cluster, j) group by cluster),
+c{s} as (select cluster, coalesce(m{s}.c, c{r}.c) c from c{r} left join m{s} using (cluster)),"""
+_CLUSTERS = "".join(_NEAR.format(r=r) + (_ROUND.format(r=r, s=r + 1) if r < 3 else "") for r in range(4))
+
 ORACLE_SQL = {
     # In blocks of 250 starts, as a substring of a long text costs as much as what stands before it.
     "op1_suffix_dedup": """
@@ -98,4 +114,9 @@ gone as (select doc_id, list(p) ps, count(*) n from hit group by doc_id),
 word as (select d.doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
 kept as (select word.doc_id, string_agg(x, ' ' order by p) t from word anti join hit on word.doc_id = hit.doc_id and word.p = hit.p group by word.doc_id)
 select d.doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join gone using (doc_id) left join kept using (doc_id)""",
+    "op12_centroid_clustering": f"""
+with v as (select row_number() over () i, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: isfinite(e))) = 64),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id), x) - 1)::int cluster, x c from v order by sha256('1:' || vec_id), x limit 16),{_CLUSTERS}
+s as (select cluster, sum(distance)::bigint cluster_inertia from near3 group by cluster)
+select vec_id, cluster, distance, cluster_inertia, (select sum(distance)::bigint from near3) inertia, sha256(array_to_string(c, ',')) centroid_sha256 from near3 join s using (cluster) join c3 using (cluster)""",
 }
