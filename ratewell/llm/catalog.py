@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import centroids, exact_dedup, near_dedup, packing, pieces, pii, quality_rules, site_quality, substring_dedup, suffix_dedup, toxicity, whitening
+from ratewell.llm import centroids, exact_dedup, near_dedup, packing, pieces, pii, quality_rules, site_quality, substring_dedup, suffix_dedup, toxicity, warc, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.posterior_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -59,7 +63,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_minhash_near_dedup, op4_toxicity, op5_sentencepiece, op6_quality_rules, op7_pii, op8_packing, op9_substring_dedup, op10_quality_classifier, op12_centroid_clustering, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_minhash_near_dedup, op4_toxicity, op5_sentencepiece, op6_quality_rules, op7_pii, op8_packing, op9_substring_dedup, op10_quality_classifier, op11_warc, op12_centroid_clustering, op13_embedding_whitening)}
 
 #: The words of a text.
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -114,6 +118,12 @@ gone as (select doc_id, list(p) ps, count(*) n from hit group by doc_id),
 word as (select d.doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
 kept as (select word.doc_id, string_agg(x, ' ' order by p) t from word anti join hit on word.doc_id = hit.doc_id and word.p = hit.p group by word.doc_id)
 select d.doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join gone using (doc_id) left join kept using (doc_id)""",
+    "op11_warc": """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+d as (select page_id, octet_length(b) payload_bytes, sha1(b) h, max(page_id) over (partition by b) top from p)
+select page_id, payload_bytes, case when page_id < top then 'revisit' else 'response' end record_type, case when page_id < top then top end refers_to,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') payload_digest
+from d""",
     "op12_centroid_clustering": f"""
 with v as (select row_number() over () i, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: isfinite(e))) = 64),
 c0 as (select (row_number() over (order by sha256('1:' || vec_id), x) - 1)::int cluster, x c from v order by sha256('1:' || vec_id), x limit 16),{_CLUSTERS}
