@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.llm.components import components
@@ -166,45 +166,88 @@ def verified(pairs: DataFrame, profile: DataFrame, percent: int, sketched: bool
     return beside(proposed, "shingles").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def rare_prefixes(profile: DataFrame, suspects: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, root, n, at, reach) of suspects (rep, root): the shingles that links can show in, and their places.
+
+    Each set is put in one order, rare shingles first. Sets of n shingles that are linked share one among the first
+    n - percent * n / 100 + 1 of each, so only those are returned, and of them only the ones that another suspect has.
+    at: the place in the order. reach: the size of the largest set that can be linked to this one, if this shingle is the
+    first that both have.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            keys = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
+            rep, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("rep", "n"))
+            for i in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (rep, n, keys)], names=["rep", "n", "key"])
+
+    sets = profile.join(suspects.select("rep"), "rep", "left_semi").select("rep", "n", "shingles")
+    grams = sets.mapInArrow(each, "rep long, n long, key long")
+    shared = stored(grams.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
+    own = Window.partitionBy("rep")
+    ranked = grams.join(shared, "key").withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("sets", "key")) - 1)
+    first = ranked.filter(100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))
+    reach = F.floor((F.col("n") - F.col("at")) * (100 + percent) / percent) - F.col("n")
+    return first.join(suspects, "rep").select("key", "rep", "root", "n", "at", reach.alias("reach"))
+
+
+def unlinked_rows(prefixes: DataFrame) -> DataFrame:
+    """Rows of rare_prefixes() that can be one half of a link between two roots, with the shape of their key's group: the
+    root that most of its rows have, how many have it, and how many have others.
+
+    Of two linked sets the smaller one reaches the larger, so only keys count where a set reaches its own size or more, and
+    of their rows those that such a set can reach.
+    """
+    prefixes = stored(prefixes)
+    reaching = F.col("reach") >= F.col("n")
+    bounds = prefixes.groupBy("key").agg(F.min(F.when(reaching, F.col("n"))).alias("least"), F.max(F.when(reaching, F.col("reach"))).alias("most"), (F.min("root") != F.max("root")).alias("apart"))
+    alive = prefixes.join(bounds.filter("apart and most is not null").drop("apart"), "key").filter("n <= most and reach >= least").drop("least", "most")
+    alive = stored(alive)
+    counts = alive.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    shape = F.struct(F.max_by("root", F.struct("rows", "root")).alias("big"), F.max("rows").alias("inside"), (F.sum("rows") - F.max("rows")).alias("outside"))
+    return alive.join(stored(counts.groupBy("key").agg(shape.alias("shape")).filter("shape.outside > 0")), "key")
+
+
 def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, root_a, root_b, alike) of rows (key, shape, rep, root, n, sketch, bands) with one key and two roots whose
+    """Pairs (a, b, root_a, root_b, alike) of rows (key, shape, rep, root, n, at, sketch) with one key and two roots whose
     sketches say they may be similar, and how much.
 
-    shape: the root that most members of the key have, how many have it, and how many have others. Those many are linked
-    already, so only the others (the outsiders) are compared, with everyone. Both sides are cut into blocks of BLOCK, and a
-    task compares a block of outsiders with one other block; members of the largest root go to as many tasks as there are
-    blocks of outsiders. So a bucket of 300,000 of which a hundred aren't linked yet is dealt out once. A pair is compared
-    under the first band alone that both share, and only pairs that pass leave the task.
+    Members of the largest root of a key are linked already, so only the others (the outsiders) are compared, with everyone.
+    Both sides are cut into blocks of BLOCK, and a task compares a block of outsiders with one other block; members of the
+    largest root go to as many tasks as there are blocks of outsiders. Sizes and places rule out most pairs before their
+    sketches are looked at, and only pairs that pass leave the task.
     """
     least = percent / 100 - MARGIN
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """All tasks' rows at once, as most tasks are a few rows: pairs are laid out for each outsider with its task."""
         rows = rows.combine_chunks()
-        key, rep, root, n, block, outside, inner, alone, task = (rows.column(c).to_numpy() for c in ("key", "rep", "root", "n", "block", "outside", "inner", "alone", "task"))
+        rep, root, n, at, block, outside, inner, alone, task = (rows.column(c).to_numpy() for c in ("rep", "root", "n", "at", "block", "outside", "inner", "alone", "task"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
-        bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(rep), -1)
         first = changes(task)
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(task))))
         outsiders = np.flatnonzero(outside)
         begin, mates = first[group[outsiders]], np.diff(np.append(first, len(task)))[group[outsiders]]
         upto = np.cumsum(mates)
-        at = 0
-        while at < len(outsiders):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 20 * CHUNK, "right")))
-            p, q = np.repeat(outsiders[at:to], mates[at:to]), concat_runs(begin[at:to], mates[at:to])
+        done = 0
+        while done < len(outsiders):
+            to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + 20 * CHUNK, "right")))
+            p, q = np.repeat(outsiders[done:to], mates[done:to]), concat_runs(begin[done:to], mates[done:to])
             may = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            # If this key is the first that both have, no more than what follows it can be common.
+            may &= (100 + percent) * np.minimum(n[p] - at[p], n[q] - at[q]) >= percent * (n[p] + n[q])
             may &= np.where(inner[p], (q > p) & (alone[p] | (block[p] != block[q])), ~outside[q])
             p, q = p[may], q[may]
             for part in range(0, len(p), CHUNK):
                 a, b = p[part : part + CHUNK], q[part : part + CHUNK]
-                here = bands[a, (bands[a] == bands[b]).argmax(1)] == key[a]
-                a, b = a[here], b[here]
                 alike = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1))
                 near = alike >= least
                 a, b = a[near], b[near]
+                a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (rep[a], rep[b], root[a], root[b], alike[near]))], names=["a", "b", "root_a", "root_b", "alike"])
-            at = to
+            done = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "task", 4 * BLOCK):
@@ -219,24 +262,25 @@ def unlinked_pairs(rows: DataFrame, percent: int) -> DataFrame:
     with_outsiders = F.when(F.col("shape.outside") > 1, F.transform(every(F.col("o")), lambda k: task(F.least(block, k), F.greatest(block, k), True))).otherwise(F.array())
     as_outsider = F.concat(F.transform(every(F.col("l")), lambda j: task(block, j, False)), with_outsiders)
     as_member = F.transform(every(F.col("o")), lambda i: task(i, block, False))
-    tasks = dealt.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", F.inline(F.when(F.col("outside"), as_outsider).otherwise(as_member)))
-    tasks = tasks.select("key", "rep", "root", "n", "sketch", "bands", "block", "outside", "inner", (F.col("i") == F.col("j")).alias("alone"), F.xxhash64("key", "inner", "i", "j").alias("task"))
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, root_a long, root_b long, alike double")
+    tasks = dealt.select("key", "rep", "root", "n", "at", "sketch", "block", "outside", F.inline(F.when(F.col("outside"), as_outsider).otherwise(as_member)))
+    tasks = tasks.select("rep", "root", "n", "at", "sketch", "block", "outside", "inner", (F.col("i") == F.col("j")).alias("alone"), F.xxhash64("key", "inner", "i", "j").alias("task"))
+    # Two sets may meet under several keys.
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, root_a long, root_b long, alike double").distinct()
 
 
 def linked_roots(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all roots that the pairs of unlinked_pairs() can connect.
 
     One link joins two components, so of the pairs of a member and another component the one that looks most alike is
-    checked first; all others are checked where the components are still apart after that.
+    checked first; the others are checked where the components are still apart after that. No pair is checked twice.
     """
     pairs = stored(pairs)
-    best = pairs.groupBy("a", "root_b").agg(F.max_by("b", F.struct("alike", "b")).alias("b"), F.min("root_a").alias("root_a"))
+    best = stored(pairs.groupBy("a", "root_b").agg(F.max_by("b", F.struct("alike", "b")).alias("b"), F.min("root_a").alias("root_a")))
     first = stored(verified(best.select("a", "b"), profile, percent, sketched=True))
     joined = first.join(best, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     groups = stored(components(joined))
     left = pairs.join(groups.toDF("root_a", "x"), "root_a", "left").join(groups.toDF("root_b", "y"), "root_b", "left")
-    left = left.filter(F.coalesce("x", "root_a") != F.coalesce("y", "root_b")).select("a", "b")
+    left = left.filter(F.coalesce("x", "root_a") != F.coalesce("y", "root_b")).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
     return first.union(verified(left, profile, percent, sketched=True))
 
 
@@ -252,9 +296,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        whose buckets are fullest, i.e. the one nearest to the others; pairs grow as the bucket, not as its square.
     3. Odd sketches drop pairs that are too far apart, the others are checked on their full sets; links are contracted
        to components.
-    4. Where buckets still hold two components or more, all members outside the largest are compared by odd sketch with
-       everyone, in blocks; what the sketches don't rule out is checked on full sets too, the most alike first. So every
-       link between bucket mates is found or implied.
+    4. Members of buckets that still hold two components or more are suspects. Linked sets share one of their rarest
+       shingles (rare_prefixes), so suspects meet by those, and each with an odd sketch; members outside a shingle's largest
+       component are compared by sketch with everyone, in blocks. What sizes, places and sketches don't rule out is checked
+       on full sets, the most alike first. So every link between bucket mates is found or implied, and documents of one
+       template that aren't linked don't meet at all.
 
     Sets are compared by the 64-bit hashes of their shingles. Null or wordless text: n_shingles 0, linked with
     nothing. Null ids: component_id null, kept. Rows that share an id are one node: they get its component.
@@ -282,10 +328,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     roots = stored(components(links))
     placed = mates.join(roots, mates["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    shape = F.struct(F.max_by("root", F.struct("n", "root")).alias("big"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
-    mixed = stored(counts.groupBy("key").agg(shape.alias("shape")).filter("shape.outside > 0"))
-    rows = placed.join(mixed, "key").join(profile.select("rep", "n", "sketch"), "rep").join(single, "rep")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    suspects = stored(placed.join(mixed, "key", "left_semi").select("rep", "root").distinct())
+    rows = unlinked_rows(rare_prefixes(profile, suspects, percent)).join(profile.select("rep", "sketch"), "rep")
     more = stored(linked_roots(unlinked_pairs(rows, percent), profile, percent))
     if not more.isEmpty():
         roots = stored(components(links.union(more)))

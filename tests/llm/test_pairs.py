@@ -269,3 +269,37 @@ def test_buckets_of_near_copies_that_drift(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(rows_)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, shingle=4).collect()}
     assert got == {i: find(i) for i in range(len(sets))} and 3 <= len(set(got.values())) < 60
+
+
+@pytest.mark.parametrize("own", [(24, 24), (10, 34)])
+def test_documents_of_one_template(spark, monkeypatch, own):
+    """Texts that share most of their words without being linked don't go to full sets; of lengths that lead to similarities
+    on both sides of the threshold, pairs within the margin of the estimate do."""
+    sent, checked = [], near_dedup.verified
+
+    def counted(pairs, profile, percent, sketched=False):
+        if sketched:
+            pairs = near_dedup.stored(pairs)
+            sent.append(pairs.count())
+        return checked(pairs, profile, percent, sketched)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    for n in (150, 300):
+        rng = random.Random(8)
+        template = [f"w{rng.randrange(10**6)}" for _ in range(165)]
+        texts = []
+        for i in range(n):
+            new = [f"o{i}_{j}" for j in range(rng.randint(*own))]
+            at = rng.randint(0, 165)
+            texts.append(template[:at] + new + template[at:])
+        sets = [set(zip(*(t[k:] for k in range(4)), strict=False)) for t in texts]
+        root = list(range(n))
+        for b in range(n):
+            for a in range(b):
+                if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+        sent.clear()
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df, shingle=4).collect()} == dict(enumerate(root))
+        assert sum(sent) <= (0 if own[0] == own[1] else 0.05 * n * (n - 1) / 2)
