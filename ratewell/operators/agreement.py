@@ -59,13 +59,13 @@ def contingency(pairs: DataFrame, labels: Sequence[int] = (1, 2, 3, 4, 5)) -> Da
     return full.withColumn("share", F.col("n") / F.nullif(total, F.lit(0)))
 
 
-def ac2(pairs: DataFrame, by: Sequence[str] = ("rater_a", "rater_b")) -> DataFrame:
+def ac2(pairs: DataFrame, by: Sequence[str] = ("rater_a", "rater_b"), count: str | None = None) -> DataFrame:
     """(by, n, pa, pe, ac2): Gwet's AC2 with quadratic weights over the categories that occur.
 
-    Works on counts of (va, vb). With one category only, chance agreement isn't defined: pe and ac2 are null.
+    Works on counts of (va, vb); a row counts once, or as often as the column ``count`` says. With one category only, chance agreement isn't defined: pe and ac2 are null.
     """
     by = list(by)
-    c = pairs.groupBy(*by, F.col("va").cast("double").alias("va"), F.col("vb").cast("double").alias("vb")).agg(F.count(F.lit(1)).alias("n"))
+    c = pairs.groupBy(*by, F.col("va").cast("double").alias("va"), F.col("vb").cast("double").alias("vb")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"))
     sides = c.select(*by, F.col("va").alias("v"), "n").unionAll(c.select(*by, F.col("vb").alias("v"), "n"))
     margins = sides.groupBy(*by, "v").agg(F.sum("n").alias("m"))
     size = margins.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("q"), (F.sum("m") / 2).alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.collect_list("v").alias("vs"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -11,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewell.operators import agreement
 from ratewell.operators.checks import ConstraintError, columns
+from ratewell.operators.resample import SEED, cell_draws
 
-SEED, LEVEL = 42, 95.0
+LEVEL = 95.0
 RESULT = "model_name string, prediction_name string, metric_name string, mean double, stddev double, num_samples long, ci_level double, ci_lower double, ci_upper double"
 
 
@@ -130,31 +131,34 @@ def weighted_bootstrap(df: DataFrame, by: Sequence[str], id_col: str, value: str
     return means.groupBy(*by).agg(*summary_columns("m", level))
 
 
-def hash_share(*parts: Column | str) -> Column:
-    """A number in (0, 1) from the first 32 bits of an md5 of the parts, alike on every engine."""
-    text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-
-
 def cell_bootstrap(df: DataFrame, by: Sequence[str], value: str, n: int = 1000, level: float = LEVEL, seed: int = SEED) -> DataFrame:
     """(by, mean, low, high): the mean of ``value`` in each group, and the bootstrap interval of it, at any size.
 
-    Rows are reduced to counts per (group, value). A draw gives each count a weight of the same mean and variance as the
-    number of its rows that a resample has (count + sqrt(count) times a normal deviate, by Box and Muller, from a hash), so
-    draws cost as much for a billion rows as for a few. For values with few levels, such as ratings.
+    Resamples are drawn as counts of equal values (resample.cell_draws), so draws cost as much for a billion rows as for a
+    few. For values with few levels, such as ratings.
     """
     cells = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     means = cells.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("mean"))
-    drawn = cells.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    key = [str(seed), F.col("_draw"), *(F.col(c) for c in by), F.col("_v")]
-    deviate = F.sqrt(-2 * F.ln(hash_share(*key, "a"))) * F.cos(2 * math.pi * hash_share(*key, "b"))
-    weight = F.greatest(F.lit(0.0), F.col("_n") + F.sqrt("_n") * deviate)
-    sums = drawn.withColumn("_w", weight).groupBy(*by, "_draw").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
+    drawn = cell_draws(df, by, [value], n, seed)
+    sums = drawn.groupBy(*by, "draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m"))
     tail = (1 - level / 100) / 2
     ends = F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail)))
     return means.join(sums.groupBy(*by).agg(ends[0].alias("low"), ends[1].alias("high")), list(by))
 
 
+def ac2_from_cells(pairs: DataFrame, n: int = 1000, level: float = LEVEL, seed: int = SEED) -> DataFrame:
+    """(rater_a, rater_b, n, ac2, mean, stddev, num_samples, ci_lower, ci_upper): AC2 of each pair of raters and its
+    bootstrap interval, from draws of the contingency cells (va, vb).
+
+    A pair's items become at most as many rows as it has cells, so a pair with a billion items costs what one with a
+    thousand does, and draws of one pair are spread over tasks. Draws with one category have no AC2 and aren't counted.
+    """
+    draws = cell_draws(pairs, ["rater_a", "rater_b"], ["va", "vb"], n, seed)
+    samples = agreement.ac2(draws, ["rater_a", "rater_b", "draw"], count="w")
+    whole = agreement.ac2(pairs).select("rater_a", "rater_b", "n", "ac2")
+    return whole.join(intervals(samples, ["rater_a", "rater_b"], "ac2", level), ["rater_a", "rater_b"], "left")
+
+
 def summary_columns(value: str, level: float = LEVEL) -> list[Column]:
     tail = (1 - level / 100) / 2
     points = F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail)))

@@ -11,6 +11,7 @@ from ratewell import fixed_values as fixed
 from ratewell.functions import scalar
 from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, ratings_stats, splits
 from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, runs
+from ratewell.operators.resample import FEW
 from ratewell.plans import views
 from ratewell.plans.catalog import _AC2, _ASK, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
 from ratewell.plans.catalog import _EXAMPLES as EX
@@ -326,12 +327,31 @@ def q_metrics_under_mask(spark, d):
     return rounded(out.select("one", F.col("model_name"), "metric_name", "mean", "num_samples"), "mean")
 
 
-def _bars(group: str) -> str:
-    key = f"concat_ws(':', '42', b::varchar, {group}, conversation_source, rating::varchar, '{{}}')"
+def _drawn(keys: str, value: str, cells: str, draws: int = 1000) -> str:
+    """CTEs that end in drw (keys, v, draw, w): resamples as counts of cells, where ``cells`` selects (keys, v, n) and v, as
+    text, is ``value``. A cell's share of what is left is found from probabilities by the log gamma function."""
+    key = f"concat_ws(':', '42', draw::varchar, {keys}, {value}, '{{}}')"
     u = "(('0x' || substr(md5({}), 1, 8))::bigint + 0.5) / 4294967296.0"
-    return f"""{R}, c as (select {group}, conversation_source, rating, count(*) n from r group by all), m as (select {group}, conversation_source, round(sum(n * rating) / sum(n), 6) mean from c group by all),
-w as (select *, greatest(0, n + sqrt(n) * sqrt(-2 * ln({u.format(key.format('a'))})) * cos(2 * pi() * {u.format(key.format('b'))})) w from c, (select unnest(range(1, 1001)) b)),
-s as (select {group}, conversation_source, b, sum(w * rating) / sum(w) v from w group by all) select {group}, conversation_source, mean, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.975), 6) high from s join m using ({group}, conversation_source) group by all"""
+    cut = "(lgamma(lt + 1) - lgamma(k + 1) - lgamma(lt - k + 1) + k * ln(r) + (lt - k) * ln(1 - r))"
+    return f"""cel as ({cells}),
+cell_of as (select *, row_number() over (partition by {keys} order by v) i, sum(n) over (partition by {keys} order by v rows between unbounded preceding and current row) - n before, sum(n) over (partition by {keys}) total, count(*) over (partition by {keys}) m from cel),
+drw as (with recursive step as (
+  select o.* exclude (n, before, m), draw::int draw, 0::bigint i0, 0::bigint w, total::bigint lt from cell_of o, (select unnest(range(1, {draws + 1})) draw) where i = 1
+  union all
+  select {', '.join('nx.' + k.strip() for k in keys.split(','))}, nx.v, nx.i, nx.total, nx.draw, nx.i, nx.x, nx.lt - nx.x from (
+    select *, (case when p >= 1 then lt when lt = 0 then 0 when p <= 0.5 then f else lt - f end)::bigint x from (
+      select *, case when lt * r < {FEW} then least(lt, len(list_filter(list_transform(range(0, least(lt, ceil(lt * r + 7 * sqrt(lt * r) + 12))::bigint + 1), lambda j: list_sum(list_transform(range(0, j + 1), lambda k: exp({cut})))), lambda y: y < u)))
+        else greatest(0, least(lt, floor(lt * r + sqrt(lt * r * (1 - r) - 1 / 12.0) * z + (1 - 2 * r) * (z * z - 1) / 6 + 0.5))) end f
+      from (select *, sqrt(-2 * ln(u)) * cos(2 * pi() * u2) z from (select *, least(p, 1 - p) r, {u.format(key.format('a'))} u, {u.format(key.format('b'))} u2
+        from (select o.*, s.draw, s.lt, o.n / (o.total - o.before) p from (select *, i0 + 1 nxt from step) s join cell_of o on {' and '.join(f's.{k.strip()} = o.{k.strip()}' for k in keys.split(','))} and o.i = s.nxt)))
+    )) nx)
+  select {keys}, v, draw, w from step where i0 > 0 and w > 0)"""
+
+
+def _bars(group: str) -> str:
+    cells = f"select {group}, conversation_source, rating v, count(*) n from r group by all"
+    return f"""{R}, {_drawn(f'{group}, conversation_source', 'v::varchar', cells)}, m as (select {group}, conversation_source, round(sum(n * v) / sum(n), 6) mean from cel group by all),
+s as (select {group}, conversation_source, draw, sum(w * v) / sum(w) x from drw group by all) select {group}, conversation_source, mean, round(quantile_cont(x, 0.025), 6) low, round(quantile_cont(x, 0.975), 6) high from s join m using ({group}, conversation_source) group by all"""
 
 
 @query(_bars("tag"))
@@ -345,6 +365,23 @@ def q_bar_means_by_principle(spark, d):
     return rounded(bootstrap.cell_bootstrap(views.ratings(spark, d), ["principle", "conversation_source"], "rating"), "mean", "low", "high")
 
 
+_AC2_CELLS = _drawn("rater_a, rater_b", "(v).va::varchar, (v).vb::varchar", "select rater_a, rater_b, {'va': ma, 'vb': mb} v, count(*) n from pairs group by all")
+
+
+@query(f"""{_AC2}, {_AC2_CELLS},
+dm as (select rater_a, rater_b, draw, v, sum(w) m from (select rater_a, rater_b, draw, (v).va::double v, w from drw union all select rater_a, rater_b, draw, (v).vb::double, w from drw) group by all),
+ds as (select rater_a, rater_b, draw, min(v) lo, max(v) hi, count(*) q, sum(m) / 2 n, sum(m * m) mm from dm group by all),
+dw as (select x.rater_a, x.rater_b, x.draw, sum(1 - (x.v - y.v) ** 2 / (hi - lo) ** 2) tw from dm x join dm y on x.rater_a = y.rater_a and x.rater_b = y.rater_b and x.draw = y.draw join ds on x.rater_a = ds.rater_a and x.rater_b = ds.rater_b and x.draw = ds.draw group by all),
+dp as (select d.rater_a, d.rater_b, d.draw, sum((1 - ((v).va::double - (v).vb::double) ** 2 / (hi - lo) ** 2) * w) / sum(w) pa from drw d join ds on d.rater_a = ds.rater_a and d.rater_b = ds.rater_b and d.draw = ds.draw group by all),
+x as (select rater_a, rater_b, draw, pa, tw / (q * (q - 1)) * (1 - mm / (4 * n * n)) pe from ds join dw using (rater_a, rater_b, draw) join dp using (rater_a, rater_b, draw)),
+i as (select rater_a, rater_b, (pa - pe) / (1 - pe) a from x)
+select rater_a, rater_b, g.n, round((g.pa - g.pe) / (1 - g.pe), 6) ac2, round(avg(a), 6) mean, round(stddev_pop(a), 6) stddev, count(a) num_samples, round(quantile_cont(a, 0.025), 6) ci_lower, round(quantile_cont(a, 0.975), 6) ci_upper from i join g using (rater_a, rater_b) group by all""")
+def q_bootstrap_ac2_cells(spark, d):
+    """AC2 of each pair of raters with intervals from 1,000 draws of its contingency cells."""
+    out = bootstrap.ac2_from_cells(agreement.rater_pairs(views.ratings(spark, d), "max"))
+    return rounded(out, "ac2", "mean", "stddev", "ci_lower", "ci_upper")
+
+
 @query(f"{R}, a as (select tag, avg(rating) m, count(*) n from r group by 1), b as (select tag, avg(rating) m, count(*) n from r where rater = 'primary_a' group by 1) select 'all' run, tag, round(m, 6) mean, n num_samples from a union all select 'primary_a', tag, round(m, 6), n from b")
 def q_runs_together(spark, d):
     """Results of several runs as one frame."""
