@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions.scalar import fill, lookup, message_text
+from ratewell.operators.checks import ConstraintError, all_of, found
+from ratewell.sources.sinks import removed, write_examples
 
 
 def principle_table(spark: SparkSession) -> DataFrame:
@@ -62,13 +64,12 @@ def candidate_prompts(candidates: DataFrame, experts: DataFrame, vertical: str,
     return rows.select(F.lit(vertical).alias("vertical"), "case_study_id", "conversation_id", prompt.alias("inputs"), "tag", "principle")
 
 
-def rating_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None) -> DataFrame:
-    """Grading examples with inputs, targets and split, from ratings of conversations.
+#: What a rating can lack to become an example, in the order in which it is looked for.
+PROBLEMS = ("no split", "no conversation", "no conversation of the expert", "unknown tag", "unknown principle")
 
-    user_text_from: "expert" takes the user's data from the human expert's conversation on the case, "own" from the
-    rated one. ``cases`` restricts to known case studies. Ratings whose case has no split, or whose conversation is not
-    there, are an error as an example can't be built (see missing_parts).
-    """
+
+def _matched(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str, cases: DataFrame | None) -> DataFrame:
+    """Ratings beside their split, conversations, tag and principle; ``problem`` is the first of PROBLEMS, or null."""
     spark = ratings.sparkSession
     own = conversations.select("conversation_source", "case_study_id", "messages")
     source = F.lit("human_expert") if user_text_from == "expert" else F.col("conversation_source")
@@ -76,8 +77,13 @@ def rating_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFr
     df = ratings.withColumn("user_source", source)
     if cases is not None:
         df = df.join(cases.select("case_study_id"), "case_study_id", "left_semi")
-    df = df.join(splits.select("case_study_id", "split"), "case_study_id").join(own, ["conversation_source", "case_study_id"]).join(user, ["user_source", "case_study_id"])
-    df = df.join(F.broadcast(tag_table(spark, vertical)), "tag").join(F.broadcast(principle_table(spark)), "principle")
+    df = df.join(splits.select("case_study_id", "split"), "case_study_id", "left").join(own, ["conversation_source", "case_study_id"], "left").join(user, ["user_source", "case_study_id"], "left")
+    df = df.join(F.broadcast(tag_table(spark, vertical)), "tag", "left").join(F.broadcast(principle_table(spark)), "principle", "left")
+    found = [F.when(F.col(c).isNull(), F.lit(p)) for c, p in zip(("split", "messages", "user_messages", "tag_label", "criterion"), PROBLEMS, strict=True)]
+    return df.withColumn("problem", F.coalesce(*found))
+
+
+def _rendered(df: DataFrame, vertical: str) -> DataFrame:
     case_text = message_text(F.col("user_messages"), F.col("tag"), F.lit("USER"))
     answer = message_text(F.col("messages"), F.col("tag"), F.lit("ASSISTANT"))
     return df.select(
@@ -86,10 +92,51 @@ def rating_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFr
     )
 
 
+def rating_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None) -> DataFrame:
+    """Grading examples with inputs, targets and split, from ratings of conversations.
+
+    user_text_from: "expert" takes the user's data from the human expert's conversation on the case, "own" from the
+    rated one. ``cases`` restricts to known case studies. A rating whose case has no split, whose conversation isn't there,
+    or whose tag or principle isn't known, is an error that names it: no example is lost silently. To go on without such
+    ratings, and know how many they were, see counted_examples().
+    """
+    df = _matched(ratings, splits, conversations, vertical, user_text_from, cases)
+    said = F.concat_ws(" ", F.col("problem"), F.lit("for the rating of"), F.concat_ws("::", "case_study_id", "conversation_source", "rater", "tag", "principle"))
+    split = F.when(F.col("problem").isNull(), F.col("split")).otherwise(F.raise_error(said).cast("string"))
+    return _rendered(df.withColumn("split", split), vertical)
+
+
+def counted_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None) -> tuple[DataFrame, Observation]:
+    """The examples of rating_examples() without the ratings that lack something, and an observation that counts both.
+
+    The counts (columns ``examples`` and each of PROBLEMS) are made in the pass that writes or otherwise consumes the
+    examples and are there when it has ended; nothing is read twice. They are exact unless a lost executor makes Spark run
+    part of the pass again, which can count its rows twice; the examples themselves are right in any case.
+    """
+    counts = Observation()
+    ok = F.col("problem").isNull()
+    df = _matched(ratings, splits, conversations, vertical, user_text_from, cases)
+    # A condition that always holds, but that Spark can't know: where it knows that no rating has an example (an empty table
+    # of splits), it would leave out the pass, and the counts with it.
+    df = df.withColumn("problem", F.when(F.rand() >= 0, F.col("problem")))
+    df = df.observe(counts, F.count_if(ok).alias("examples"), *(F.count_if(F.col("problem") == p).alias(p) for p in PROBLEMS))
+    return _rendered(df.filter(ok), vertical), counts
+
+
+def write_matched_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, path: str, allowed: int = 0, overwrite: bool = False, **how) -> dict[str, int]:
+    """Writes counted_examples() and returns the counts; more than ``allowed`` ratings without an example are an error, and
+    nothing stays at the path."""
+    examples, counts = counted_examples(ratings, splits, conversations, vertical, **how)
+    write_examples(examples, path, overwrite)
+    lost = sum(counts.get[p] for p in PROBLEMS)
+    if lost > allowed:
+        removed(ratings.sparkSession, path)
+        raise ConstraintError(f"{lost} ratings can't become examples: {counts.get}")
+    return dict(counts.get)
+
+
 def missing_parts(ratings: DataFrame, splits: DataFrame, conversations: DataFrame) -> DataFrame:
     """(check, item): ratings without a split, and ratings without their conversation."""
-    from ratewell.operators.checks import all_of, found
-
     return all_of(
         found(ratings.join(splits, "case_study_id", "left_anti"), "no split", F.col("case_study_id")),
         found(ratings.join(conversations, ["conversation_source", "case_study_id"], "left_anti"), "no conversation", F.concat_ws("::", "conversation_source", "case_study_id")),

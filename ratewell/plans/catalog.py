@@ -392,6 +392,8 @@ def _examples(spark, d, cases=None):
     rows = views.panel(spark, d).withColumns({"tag": F.when(F.col("tag") == "insights", "insight").when(F.col("tag") == "recommendations", "recommendation").otherwise("etiology"), "principle": F.get(principles, F.substring("principle", 2, 1).cast("int")), "conversation_id": F.col("case_study_id")})
     sp = rows.select("case_study_id").distinct().withColumn("split", F.when(F.col("case_study_id").cast("int") % 5 == 0, "validation").otherwise("train"))
     every = _tagged(spark, d, "human_expert").unionByName(_tagged(spark, d, "base_model")).unionByName(_tagged(spark, d, "tuned_model"))
+    # Ratings of cases without a conversation would be an error; see q_examples_unmatched.
+    rows = rows.join(every.select("case_study_id", "conversation_source").distinct(), ["case_study_id", "conversation_source"], "left_semi")
     return prompts.rating_examples(rows, sp, every, "sleep", cases=cases)
 
 

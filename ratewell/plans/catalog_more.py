@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions import scalar
-from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, ratings_stats, splits
+from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, prompts, ratings_stats, splits
 from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, runs
 from ratewell.operators.resample import FEW
 from ratewell.plans import views
@@ -327,6 +327,23 @@ def q_metrics_under_mask(spark, d):
     return rounded(out.select("one", F.col("model_name"), "metric_name", "mean", "num_samples"), "mean")
 
 
+@query(f"""{P}, sp as (select distinct case_study_id from r where case_study_id::int % 7 <> 0), cv as (select distinct conv_id::varchar case_study_id from conversations where conv_id % 11 <> 0),
+x as (select sp.case_study_id is null no_split, cv.case_study_id is null or (conversation_source = 'base_model' and r.case_study_id::int % 3 = 0) no_conv, he.case_study_id is null no_expert, principle = 'p7' bad from r left join sp using (case_study_id) left join cv using (case_study_id) left join cv he using (case_study_id)),
+y as (select case when no_split then 'no split' when no_conv then 'no conversation' when no_expert then 'no conversation of the expert' when bad then 'unknown principle' else 'examples' end problem from x)
+select p problem, count(y.problem) n from (select unnest(['examples', 'no split', 'no conversation', 'no conversation of the expert', 'unknown tag', 'unknown principle']) p) left join y on p = y.problem group by all""")
+def q_examples_unmatched(spark, d):
+    """Examples written from ratings of which some lack a split, a conversation or a known principle; how many, counted by
+    the pass that writes."""
+    principles = F.array(*map(F.lit, fixed.PRINCIPLE_ORDER))
+    named = F.when(F.col("principle") != "p7", F.get(principles, F.substring("principle", 2, 1).cast("int"))).otherwise(F.col("principle"))
+    rows = views.panel(spark, d).withColumns({"tag": F.when(F.col("tag") == "insights", "insight").when(F.col("tag") == "recommendations", "recommendation").otherwise("etiology"), "principle": named, "conversation_id": F.col("case_study_id")})
+    sp = rows.filter("cast(case_study_id as int) % 7 <> 0").select("case_study_id").distinct().withColumn("split", F.lit("train"))
+    number = F.col("case_study_id").cast("int")
+    every = _tagged(spark, d, "human_expert").unionByName(_tagged(spark, d, "base_model").filter(number % 3 != 0)).unionByName(_tagged(spark, d, "tuned_model")).filter(number % 11 != 0)
+    counts = prompts.write_matched_examples(rows, sp, every, "sleep", folder(spark), allowed=2**62)
+    return spark.createDataFrame([(p, counts[p]) for p in ("examples", *prompts.PROBLEMS)], "problem string, n bigint")
+
+
 def _drawn(keys: str, value: str, cells: str, draws: int = 1000) -> str:
     """CTEs that end in drw (keys, v, draw, w): resamples as counts of cells, where ``cells`` selects (keys, v, n) and v, as
     text, is ``value``. A cell's share of what is left is found from probabilities by the log gamma function."""

@@ -34,6 +34,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Nothing is at the path any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_examples(examples: DataFrame, path: str, overwrite: bool = False) -> None:
     """One folder per (rater, conversation_source, tag, principle). Rows meet by those keys and the case, so a large
     group is several files."""

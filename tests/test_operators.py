@@ -168,7 +168,7 @@ def conversation(spark, rows):
     return spark.createDataFrame([(c, c, [(t, r, [(x, None, None)], None) for t, r, x in ms]) for c, ms in rows], schemas.CONVERSATION)
 
 
-def test_messages_and_prompts(spark):
+def test_messages_and_prompts(spark, tmp_path):
     expert = conversation(spark, [("1", [("insight", "USER", "the {OBJECTIVE} data"), ("insight", "ASSISTANT", "expert says")])]).withColumn("conversation_source", F.lit("human_expert"))
     other = conversation(spark, [("1", [("insight", "ASSISTANT", "model says"), ("insight", "USER", "own data")])]).withColumn("conversation_source", F.lit("base_model"))
     m = other.select(scalar.message_text(F.col("messages"), F.lit("insight"), F.lit("USER")), scalar.message_index(F.col("messages"), F.lit("insight"), F.lit("USER")), scalar.message_index(F.col("messages"), F.lit("x"), F.lit("USER"))).first()
@@ -189,6 +189,16 @@ def test_messages_and_prompts(spark):
     with pytest.raises(Exception, match="rating must be"):
         prompts.rating_examples(ratings.withColumn("rating", F.lit(6)), sp, expert.unionByName(other), "sleep").collect()
     assert prompts.missing_parts(ratings, sp.limit(0), other.limit(0)).count() == 2
+    both = expert.unionByName(other)
+    for what, args in {"no split": (ratings, sp.limit(0), both), "no conversation": (ratings, sp, expert), "no conversation of the expert": (ratings, sp, other), "unknown tag": (ratings.withColumn("tag", F.lit("x")), sp, both)}.items():
+        with pytest.raises(Exception, match=f"{what} for the rating of"):
+            prompts.rating_examples(*args, "sleep").collect()
+        examples, counts = prompts.counted_examples(*args, "sleep")
+        assert examples.collect() == [] and counts.get == {"examples": 0, **dict.fromkeys(prompts.PROBLEMS, 0), what: 1}
+        with pytest.raises(checks.ConstraintError, match="1 ratings"):
+            prompts.write_matched_examples(*args, "sleep", str(tmp_path / "e"))
+        assert not (tmp_path / "e").exists()
+    assert prompts.write_matched_examples(ratings, sp, both, "sleep", str(tmp_path / "e"))["examples"] == 1 and (tmp_path / "e").exists()
     twice = conversation(spark, [("1", [("a", "USER", ""), ("a", "USER", "")])])
     assert checks.tag_roles(twice).first().item == "1"
 
