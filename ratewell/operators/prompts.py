@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,13 +127,18 @@ def counted_examples(ratings: DataFrame, splits: DataFrame, conversations: DataF
 def write_matched_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, path: str, allowed: int = 0, overwrite: bool = False, **how) -> dict[str, int]:
     """Writes counted_examples() and returns the counts; more than ``allowed`` ratings without an example are an error, and
     nothing stays at the path."""
-    examples, counts = counted_examples(ratings, splits, conversations, vertical, **how)
+    examples, observed = counted_examples(ratings, splits, conversations, vertical, **how)
     write_examples(examples, path, overwrite)
-    lost = sum(counts.get[p] for p in PROBLEMS)
+    try:
+        counts = dict(observed.get)
+    except Py4JJavaError:  # not one example: Spark then drops the pass from the plan it reports on, and its counts
+        problems = _matched(ratings, splits, conversations, vertical, how.get("user_text_from", "expert"), how.get("cases")).groupBy("problem").count()
+        counts = {"examples": 0, **dict.fromkeys(PROBLEMS, 0), **{r.problem: r["count"] for r in problems.collect()}}
+    lost = sum(counts[p] for p in PROBLEMS)
     if lost > allowed:
         removed(ratings.sparkSession, path)
-        raise ConstraintError(f"{lost} ratings can't become examples: {counts.get}")
-    return dict(counts.get)
+        raise ConstraintError(f"{lost} ratings can't become examples: {counts}")
+    return counts
 
 
 def missing_parts(ratings: DataFrame, splits: DataFrame, conversations: DataFrame) -> DataFrame:
