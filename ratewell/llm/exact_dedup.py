@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewell.llm.texts import quoted
+
 #: The letters that are folded, and what they fold to.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,12 +55,12 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The groups are those of exact_groups(): keyed by (hash, bytes), so colliding texts stay apart. Whole rows go through
     one shuffle, and partial aggregation leaves one row per text and task before it. Among rows that share an id and a
     text, the one with the largest hash of all its columns stays (rows that agree in it too are the same row stored
-    twice). Null text counts as empty; a null id stays only where no row of the group has an id. Empty table: empty result.
+    twice). Columns may have any names. Null text counts as empty; a null id stays only where no row of the group has an id. Empty table: empty result.
     """
-    text = F.coalesce(docs[text_col], F.lit(""))
-    norm, every = fold_ascii(text) if fold_case else text, [docs[c] for c in docs.columns]
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    norm, every = fold_ascii(text) if fold_case else text, [F.col(quoted(c)) for c in docs.columns]
     row = F.struct(*(c.alias(f"c{k}") for k, c in enumerate(every)))
-    whole = docs.select(F.unhex(F.md5(norm)).alias("_hash"), norm.alias("_norm"), row.alias("_row"), docs[id_col].alias("_id"), F.xxhash64(F.to_json(row)).alias("_tie"))
+    whole = docs.select(F.unhex(F.md5(norm)).alias("_hash"), norm.alias("_norm"), row.alias("_row"), F.col(quoted(id_col)).alias("_id"), F.xxhash64(F.to_json(row)).alias("_tie"))
     order = F.struct(F.col("_id").isNotNull() if keep == "max" else F.col("_id").isNull(), "_id", "_tie")
     left = whole.groupBy("_hash", "_norm").agg((F.max_by if keep == "max" else F.min_by)("_row", order).alias("_row"))
     return left.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))

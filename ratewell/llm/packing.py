@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.text import slices
+from ratewell.llm.texts import ensure_checkpoints, stored
 
 CAPACITY = 4096
 #: Documents in a group, on average; groups are drawn by a hash of the document, so each is a random sample.
-GROUP_DOCS = 2048
+GROUP_PIECES = 2048
 #: Distinct words whose ids a worker process remembers.
 CACHE_WORDS = 1_000_000
 #: The marks that compose with A-Z or a-z.
@@ -163,15 +164,15 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return where, offset
 
 
-def pack(cut: DataFrame, docs_count: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
+def pack(cut: DataFrame, pieces_count: int, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
     """Adds sequence_id and offset to each piece; pieces of one sequence lie without gaps from offset 0.
 
-    Pieces are dealt to docs_count / group_docs groups by a hash of the document and its piece, so a group holds a
+    Pieces are dealt to pieces_count / group_pieces groups by a hash of the document and its piece, so a group holds a
     bounded random share of the table whatever the documents are, and hot sources or copies spread evenly. Each
     group packs alone. A sequence that isn't full is padded to ``capacity`` (column padded_to), except where its
     length is a power of two. Piece rows carry no text and no ids (unless asked for), so what moves is small.
     """
-    groups = max(1, -(-docs_count // group_docs))
+    groups = max(1, -(-pieces_count // group_pieces))
     fields = [f for f in cut.schema.fields if f.name not in {c.split()[0] for c in PIECES.split(", ")}]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -187,11 +188,14 @@ def pack(cut: DataFrame, docs_count: int, capacity: int = CAPACITY, group_docs:
     return dealt.groupBy("_group").applyInPandas(fit, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """Documents as packed sequences: one row per piece, see pieces() and pack().
 
     Ties in length go by checksum and id, so a repeated run gives the same sequences. Repeated rows are packed as
     often as they occur. Null ids pack like others. An empty table gives an empty result.
-    The documents are counted first (from file footers where the source has them) to set the number of groups.
+    with_ids: pieces carry their token ids. Pieces are written and counted before they are dealt, so that texts are cut once
+    and a group holds ``group_pieces`` pieces or so, however long the documents are. Needs spark.checkpoint.dir.
     """
-    return pack(pieces(docs, id_col, text_col, tokenizer, end_id, capacity, with_ids), docs.count(), capacity, group_docs)
+    ensure_checkpoints(docs.sparkSession)
+    cut = stored(pieces(docs, id_col, text_col, tokenizer, end_id, capacity, with_ids))
+    return pack(cut, cut.count(), capacity, group_pieces)

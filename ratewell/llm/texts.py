@@ -25,16 +25,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """checkpoint() writes to spark.checkpoint.dir. Where a local session names none (notebooks), a folder of its warehouse
-    serves; on a cluster that could be one machine's disk, so a session without the setting is refused."""
+    serves; on a cluster that could be one machine's disk, so a session without the setting is refused. Spark makes a folder
+    of its own for each session below that setting; it goes with the driver, checkpoints included."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    context.setCheckpointDir(place)
+    if not context.getCheckpointDir():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(place)
+    own = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline, stage by stage, against the operators' own brute-force rules; and that each stage keeps the columns."""
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from ratewell.llm import packing, pii, quality_rules
 
@@ -36,12 +39,34 @@ def test_stages(spark):
     rows = out.collect()
     encode = packing.WordEncoder(packing.default_tokenizer())
     want = {i: len(encode([t])[0]) // 4 + 1 for i, t in private.items()}
-    got = {}
+    got, ids = {}, {}
     for r in rows:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert len(r.ids) == r.length
+        ids.setdefault(r.doc_id, {})[r.start] = r.ids
     assert got == want
+    joined = {i: [x for _, part in sorted(parts.items()) for x in part] for i, parts in ids.items()}
+    assert joined == {i: [*np.frombuffer(encode([t])[0], "<u4").tolist(), 2] for i, t in private.items()}
 
 
 def test_run(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts())], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {*range(14), 19, 20} - {1, 12}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a.b c` string, `Ünder``tick` int, _hash string"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None, None, None)] * 2, [(3, texts()[4], "en", "s", 9, "x", 1, "h")] * 3 + [(None, texts()[5], None, None, None, None, None, None)] * 2 + [(4, texts()[4], "en", "s", 9, "y", 2, "h"), (5, None, "en", "s", 0, "x", 1, "h"), (4, texts()[6], "en", "t", 9, "x", 1, None)]])
+def test_odd_tables_go_through_all_stages(spark, rows):
+    docs = out = spark.createDataFrame(rows, ODD).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, "unused")
+        if name != "packing":
+            assert out.columns == docs.columns
+            out = spark.createDataFrame(out.collect(), docs.schema)
+    found = sorted((r.doc_id or 0, r.start, r.length) for r in out.collect())
+    texts_ = {0: texts()[5], 4: texts()[4]}
+    encode = packing.WordEncoder(packing.default_tokenizer())
+    want = [(i, 0, len(encode([t])[0]) // 4 + 1) for i, t in sorted({**texts_, 4.5: texts()[6]}.items())] if len(rows) > 2 else []
+    assert found == sorted((int(i), a, n) for i, a, n in want)

@@ -115,11 +115,17 @@ def plain_limits(texts):
         for k, part in enumerate(parts):
             found.setdefault((k > 0, int(2 * math.log2(len(part)))), []).append(math.floor(math.log(len(part) / len(pack(part))) / 0.005))
     out = {}
-    for key, bins in found.items():
-        bins.sort()
+    for key in found:
+        near = sorted((k[1] for k in found if k[0] == key[0]), key=lambda b: (abs(b - key[1]), b))
+        upto = next((k for k in range(1, len(near)) if sum(len(found[key[0], b]) for b in near[:k]) >= quality_rules.BAND_TEXTS), len(near))
+        bins = sorted(x for b in near[:upto] for x in found[key[0], b])
+        lent = [sorted(found[key[0], b]) for b in near[: max(upto, 3)]]
+        medians = [(x[math.ceil(0.5 * len(x)) - 1] + 0.5) * 0.005 for x in lent]
+        slope = max(0.0, np.polyfit(near[: max(upto, 3)], medians, 1, w=[len(x) ** 0.5 for x in lent])[0]) if len(near) > 1 else 0.0
+        shift = slope * (key[1] - np.average(near[:upto], weights=[len(found[key[0], b]) for b in near[:upto]]))
         low, high = ((bins[math.ceil(share * len(bins)) - 1] + 0.5) * 0.005 for share in (0.25, 0.75))
         room = (3.0 if key[0] else 2.5) * max(high - low, 0.04)
-        out[key] = math.exp(low - room), math.exp(high + room)
+        out[key] = math.exp(low - room + min(0, shift)), math.exp(high + room + max(0, shift))
     return out
 
 
@@ -145,6 +151,19 @@ def test_compression_bands(spark):
     assert {r.doc_id for r in quality_rules.keep_good(df, limits=limits).collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_a_repetitive_document_alone_in_its_band(spark):
+    """It sets no limits of its own; clean documents alone in theirs stay."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(3, 9))) for _ in range(4000)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    junk = " ".join(f"{w} {k % 7}" for k, w in enumerate(list(rng.choice(words[:60], 60)) * 400))
+    texts = [say(n) for n in rng.integers(60, 400, 400)] + [say(3000), say(9000), junk]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(quality_rules.quality(df, max_repeat=1000))
+    assert not got[402].kept and got[402].ratio > got[402].high
+    assert got[400].kept and got[401].kept and sum(r.kept for r in got.values()) > 395
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -291,7 +310,7 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
-    rows = packing.pack_documents(docs, group_docs=8, with_ids=True).collect()
+    rows = packing.pack_documents(docs, group_pieces=8, with_ids=True).collect()
     assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(r.doc_id for r in docs.collect())
     found = {}
     for r in rows:
