@@ -36,8 +36,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and place there; a null or empty text is one piece, its end id."""
-    return packing.pack_documents(docs)
+    """One row per piece of a document, with its token ids, its sequence and its place there, so that the rows are the
+    training corpus; a null or empty text is one piece, its end id."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality rules", good), ("exact dedup", exact), ("near dedup", near), ("personal data", private), ("packing", packed)]
