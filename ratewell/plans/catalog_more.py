@@ -15,7 +15,7 @@ from ratewell.operators.resample import FEW
 from ratewell.plans import views
 from ratewell.plans.catalog import _AC2, _ASK, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
 from ratewell.plans.catalog import _EXAMPLES as EX
-from ratewell.sources import readers, schemas, sinks
+from ratewell.sources import readers, records, schemas, sinks
 from ratewell.sources.scratch import folder
 
 DAY = "2024-05-01"
@@ -101,6 +101,34 @@ def q_example_store(spark, d):
     return readers.examples(spark, place, "train").groupBy("rater", "conversation_source", "tag", "principle", "split").agg(F.count("*").alias("n"), F.min(F.md5("inputs")).alias("first_prompt"))
 
 
+@query(f"{EX} select rater, conversation_source, tag, principle, split, count(*) n, sum(rating)::bigint total, min(md5(inputs)) first_prompt, max(md5(targets)) last_target from ex where tag = 'insight' and principle in {tuple(fixed.PRINCIPLE_ORDER[1:4])!r} group by all")
+def q_record_files(spark, d):
+    """Grading examples as record files, of which only those of some tags and principles are opened again."""
+    place = folder(spark)
+    records.write(_examples(spark, d), place)
+    back = records.read(spark, place, records.SCHEMA.replace("inputs string", "inputs string not null")).filter(F.col("tag") == "insight").filter(F.col("principle").isin(*fixed.PRINCIPLE_ORDER[1:4]))
+    return back.groupBy("rater", "conversation_source", "tag", "principle", "split").agg(F.count("*").alias("n"), F.sum("rating").alias("total"), F.min(F.md5("inputs")).alias("first_prompt"), F.max(F.md5("targets")).alias("last_target"))
+
+
+_PRO = """p as (select p_partkey, 'sleep' || (p_partkey % 7) || '_llm, "x"' prediction_name, 'auc' metric_name, p_retailprice / 10000 mean, p_size / 100.0 ci_lower, p_size / 50.0 ci_upper from part)"""
+
+
+@query(f"with {_PRO} select prediction_name, metric_name, round(avg(mean), 6) mean, round(min(ci_lower), 6) ci_lower, round(max(ci_upper), 6) ci_upper, count(*) n, round(avg(p.p), 6) prevalence from (select *, (p_partkey % 10 + 1) / 100.0 p from p) p group by all")
+def q_outcome_files(spark, d):
+    """Both outcome tables as tab-separated files, read back and joined by the outcome."""
+    part = views.table(spark, d, "part")
+    name = F.concat(F.lit("sleep"), (F.col("p_partkey") % 7).cast("string"), F.lit('_llm, "x"'))
+    rows = part.select(name.alias("prediction_name"), F.lit("auc").alias("metric_name"), (F.col("p_retailprice") / 10000).alias("mean"), (F.col("p_size") / 100.0).alias("ci_lower"), (F.col("p_size") / 50.0).alias("ci_upper"))
+    share = (F.col("p_partkey") % 10 + 1) / 100.0
+    shares = part.select(share.alias("mean"), (share - 0.005).alias("ci_lower"), (share + 0.005).alias("ci_upper"), name.alias("Target"), F.lit("Prevalence").alias("Model"))
+    one, two = folder(spark), folder(spark)
+    sinks.write_tsv(rows, one)
+    sinks.write_tsv(shares, two)
+    means = readers.outcomes(spark, one).groupBy("prediction_name", "metric_name").agg(F.avg("mean").alias("mean"), F.min("ci_lower").alias("ci_lower"), F.max("ci_upper").alias("ci_upper"), F.count("*").alias("n"))
+    prevalence = readers.prevalence(spark, two).filter("Model = 'Prevalence'").groupBy(F.col("Target").alias("prediction_name")).agg(F.avg("mean").alias("prevalence"))
+    return rounded(means.join(prevalence, "prediction_name"), "mean", "ci_lower", "ci_upper", "prevalence")
+
+
 @query(f"{_PARSED} select case_study_id, sex, b age_bucket from y")
 def q_case_study_file(spark, d):
     """Case studies as JSON lines, their schema given."""
