@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewell.operators.prefix import numbered
+
 KEYS = ["case_study_id", "tag", "principle", "conversation_source"]
 
 
@@ -110,4 +112,4 @@ def pair_order(pairs: DataFrame, auto_names: Sequence[str] = ()) -> DataFrame:
     """Adds ``place``: pairs of people first, then pairs of automatic raters, then mixed ones; by name within."""
     auto = F.col("rater_a").isin(*auto_names).cast("int") + F.col("rater_b").isin(*auto_names).cast("int")
     kind = F.when(auto == 0, 0).when(auto == 2, 1).otherwise(2)
-    return pairs.withColumn("place", F.row_number().over(Window.orderBy(kind, F.least("rater_a", "rater_b"), F.greatest("rater_a", "rater_b"))))
+    return numbered(pairs, [kind, F.least("rater_a", "rater_b"), F.greatest("rater_a", "rater_b")], "place", 1).withColumn("place", F.col("place").cast("int"))

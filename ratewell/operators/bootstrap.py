@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ratewell.operators import agreement
 from ratewell.operators.checks import ConstraintError, columns
+from ratewell.operators.prefix import percentiles
 from ratewell.operators.resample import SEED, cell_draws
 
 LEVEL = 95.0
@@ -170,6 +171,14 @@ def intervals(samples: DataFrame, by: Sequence[str], value: str, level: float =
     return samples.groupBy(*by).agg(*summary_columns(value, level))
 
 
+def exact_intervals(df: DataFrame, by: Sequence[str], value: str, level: float = LEVEL) -> DataFrame:
+    """Likewise for groups of any size and any number of different values: percentiles by ranges (prefix.percentiles)."""
+    tail = (1 - level / 100) / 2
+    moments = df.groupBy(*by).agg(*summary_columns(value, level)[:3])
+    ends = percentiles(df, by, value, {"ci_lower": tail, "ci_upper": 1 - tail})
+    return moments.join(ends, list(by), "left")
+
+
 def compare(results: Mapping[str, DataFrame]) -> DataFrame:
     """Results of several runs under one schema, with the run's name."""
     frames = [df.withColumn("run", F.lit(name)) for name, df in results.items()]

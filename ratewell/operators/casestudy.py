@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions.scalar import first_line, lookup
+from ratewell.operators import prefix
 
 
 def sleep_demographics(cases: DataFrame, text: str = "input") -> DataFrame:
@@ -67,5 +68,5 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 10) -> DataFram
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``line``, from 1, in the order of ``order``, for tables that came without one. One order needs one sort."""
-    return df.withColumn("line", F.row_number().over(Window.orderBy(order)))
+    """Adds ``line``, from 1, in the order of ``order``, for tables that came without one; by ranges, not in one task."""
+    return prefix.numbered(df, [order], "line", 1)

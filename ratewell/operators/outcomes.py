@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions.scalar import place_in
+from ratewell.operators.prefix import running_sums
 
 
 def named(df: DataFrame, targets: Mapping[str, str] = fixed.OUTCOMES, models: Mapping[str, str] = fixed.OUTCOME_MODELS) -> DataFrame:
@@ -46,8 +47,8 @@ def error_bars(df: DataFrame) -> DataFrame:
 
 
 def auroc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    """(by, auroc) by mid-ranks over counts per score; null without both classes. (Our addition.)"""
-    counts = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(label).alias("n"))
-    below = F.sum(F.col("n") - F.col("p")).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    wins = counts.withColumn("w", F.col("p") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("p")) / 2))
-    return wins.groupBy(*by).agg((F.sum("w") / F.nullif(F.sum("p") * F.sum(F.col("n") - F.col("p")), F.lit(0))).alias("auroc"))
+    """(by, auroc) by mid-ranks over counts per score; null without both classes. Scores are summed up by ranges, so a group
+    may have any number of them. (Our addition.)"""
+    counts = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    wins = running_sums(counts, by, [score], ["q"]).withColumn("w", F.col("p") * (F.col("before_q") + F.col("q") / 2))
+    return wins.groupBy(*by).agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auroc"))

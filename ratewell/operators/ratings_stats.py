@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.functions.scalar import two_sided_p
+from ratewell.operators.prefix import running_sums
 
 
 def sections(ratings: DataFrame, sources: Sequence[str] | None = None, drop_overall: bool = True) -> DataFrame:
@@ -35,18 +36,25 @@ def cells(ratings: DataFrame, group: str = "tag") -> DataFrame:
     return ratings.filter("rating is not null").groupBy(F.col(group).alias("g"), F.col("conversation_source").alias("s"), F.col("rating").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank_sums(ratings: DataFrame, group: str = "tag") -> DataFrame:
+def rank_sums(ratings: DataFrame, group: str = "tag", many_levels: bool = False) -> DataFrame:
     """(g, a, b, n, statistic, p) for every ordered pair of sources in each group.
 
     The statistic is the rank sum of a's ratings among both, by mid-ranks, standardised without correction for ties.
     Pairs a < b are tested; b against a is the mirror. A pair with a source that isn't rated in the group is absent.
+    many_levels: for measurements, of which a group may have as many as rows. Counts are then summed up by ranges of the
+    values (a value is in one range, so ties are whole), not in one task for each pair; ratings don't need that.
     """
     c = cells(ratings, group)
     sources = c.select("g", "s").distinct()
     pairs = sources.withColumnRenamed("s", "a").join(sources.withColumnRenamed("s", "b"), "g").filter("a < b")
     both = c.join(pairs, "g").filter("s = a or s = b").groupBy("g", "a", "b", "v").agg(F.sum(F.when(F.col("s") == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("s") == F.col("b"), F.col("n")).otherwise(0)).alias("nb"))
-    upto = F.sum(F.col("na") + F.col("nb")).over(Window.partitionBy("g", "a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = both.withColumn("rank", upto - (F.col("na") + F.col("nb")) + (F.col("na") + F.col("nb") + 1) / F.lit(2.0))
+    both = both.withColumn("nn", F.col("na") + F.col("nb"))
+    if many_levels:
+        counted = running_sums(both, ["g", "a", "b"], ["v"], ["nn"])
+    else:
+        below = F.sum("nn").over(Window.partitionBy("g", "a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+        counted = both.withColumn("before_nn", F.coalesce(below, F.lit(0)))
+    ranked = counted.withColumn("rank", F.col("before_nn") + (F.col("nn") + 1) / F.lit(2.0))
     sums = ranked.groupBy("g", "a", "b").agg(F.sum(F.col("na") * F.col("rank")).alias("s"), F.sum("na").cast("double").alias("n1"), F.sum("nb").cast("double").alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
     z = (F.col("s") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions import scalar
-from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, prompts, ratings_stats, splits
+from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, prefix, prompts, ratings_stats, splits
 from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, runs
 from ratewell.operators.resample import FEW
 from ratewell.plans import views
@@ -372,6 +372,38 @@ def q_examples_unmatched(spark, d):
     return spark.createDataFrame([(p, counts[p]) for p in ("examples", *prompts.PROBLEMS)], "problem string, n bigint")
 
 
+_HOT = "case when o_orderkey % 3 = 0 then 'hot' else o_orderpriority end"
+
+
+@query(f"""with c as (select {_HOT} g, o_orderstatus s, o_totalprice v, count(*) n from orders group by all),
+pr as (select x.g, x.s a, y.s b from (select distinct g, s from c) x join (select distinct g, s from c) y on x.g = y.g and x.s < y.s),
+m as (select pr.g, a, b, v, sum(case when s = a then n else 0 end) na, sum(n) nn from pr join c on pr.g = c.g and (s = a or s = b) group by all),
+k as (select *, coalesce(sum(nn) over (partition by g, a, b order by v rows between unbounded preceding and 1 preceding), 0) + (nn + 1) / 2.0 rk from m),
+t as (select g, a, b, sum(na * rk)::double s, sum(na)::double n1, (sum(nn) - sum(na))::double n2 from k group by all),
+z as (select g, a, b, (n1 + n2)::bigint n, (s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) z from t)
+select g, a, b, n, round(z, 6) statistic from z union all select g, b, a, n, round(-z, 6) from z""")
+def q_ranksum_many_levels(spark, d):
+    """Rank sums of prices, nearly all different, with a third of the rows in one group."""
+    hot = F.when(F.col("o_orderkey") % 3 == 0, "hot").otherwise(F.col("o_orderpriority"))
+    rows = views.table(spark, d, "orders").select(hot.alias("tag"), F.col("o_orderstatus").alias("conversation_source"), F.col("o_totalprice").alias("rating"))
+    return rounded(ratings_stats.rank_sums(rows, many_levels=True), "statistic").drop("p")
+
+
+@query(f"select {_HOT} g, round(avg(o_totalprice), 6) mean, round(stddev_pop(o_totalprice), 6) stddev, count(*) num_samples, round(quantile_cont(o_totalprice::double, 0.025), 6) ci_lower, round(quantile_cont(o_totalprice::double, 0.975), 6) ci_upper from orders group by all")
+def q_percentiles_of_many_values(spark, d):
+    """Exact percentile intervals of groups whose values are nearly all different."""
+    hot = F.when(F.col("o_orderkey") % 3 == 0, "hot").otherwise(F.col("o_orderpriority"))
+    rows = views.table(spark, d, "orders").select(hot.alias("g"), F.col("o_totalprice").cast("double").alias("v"))
+    return rounded(bootstrap.exact_intervals(rows, ["g"], "v"), "mean", "stddev", "ci_lower", "ci_upper")
+
+
+@query("select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as \"index\" from orders")
+def q_numbered_rows(spark, d):
+    """Every row's number in one order, given by ranges."""
+    rows = views.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return prefix.numbered(rows, [-F.col("o_totalprice"), "o_orderkey"]).select("o_orderkey", "index")
+
+
 def _drawn(keys: str, value: str, cells: str, draws: int = 1000) -> str:
     """CTEs that end in drw (keys, v, draw, w): resamples as counts of cells, where ``cells`` selects (keys, v, n) and v, as
     text, is ``value``. A cell's share of what is left is found from probabilities by the log gamma function."""

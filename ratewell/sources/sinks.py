@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions.scalar import utf8
+from ratewell.operators.prefix import numbered
 from ratewell.sources.readers import split_path
 
 
@@ -54,8 +55,9 @@ def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_results(results: DataFrame, path: str, order_by: str, overwrite: bool = False) -> None:
-    """CSV with a row number from 0 in the order of ``order_by``; arrays and maps as JSON. For reports: the number needs one order."""
+    """CSV with a row number from 0 in the order of ``order_by``; arrays and maps as JSON. Numbers are given
+    by ranges of the order, so no task sees all rows; rows of equal order are numbered by a hash."""
     nested = [f.name for f in results.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
     flat = results.withColumns({c: F.to_json(c) for c in nested})
-    numbered = flat.withColumn("index", F.row_number().over(Window.orderBy(order_by)) - 1)
-    numbered.select("index", *results.columns).write.mode(_mode(overwrite)).csv(path, header=True, escape='"')
+    rows = numbered(flat, [order_by]).select("index", *results.columns)
+    rows.orderBy("index").write.mode(_mode(overwrite)).csv(path, header=True, escape='"')
