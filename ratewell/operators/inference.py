@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.operators.checks import ConstraintError
+from ratewell.sources import manifest
 from ratewell.sources.readers import inference_path
 
 
@@ -53,24 +58,57 @@ def _new(df: DataFrame, *names: str) -> None:
         raise ConstraintError(f"columns are there already: {taken}")
 
 
-def score_options(df: DataFrame, model: ModelFactory, prompt: str = "inputs", completions: tuple[str, ...] = ("1", "2", "3", "4", "5"), options: Mapping[str, float] | None = None) -> DataFrame:
+def _scores(client: LanguageModel, prompts: Sequence[str], completions: Sequence[str], options: Mapping) -> list[float]:
+    """Log probability of each prompt's completion. A client that has ``score_batch`` gets all at once."""
+    if hasattr(client, "score_batch"):
+        return list(client.score_batch(list(prompts), list(completions), **options))
+    return [client.score(p, c, **options) for p, c in zip(prompts, completions, strict=True)]
+
+
+def _texts(client: LanguageModel, prompts: Sequence[str], options: Mapping) -> list[list[str]]:
+    """Texts for each prompt. A client that has ``generate_batch`` gets all prompts at once."""
+    return list(client.generate_batch(list(prompts), **options)) if hasattr(client, "generate_batch") else [client.generate(p, **options) for p in prompts]
+
+
+def _scored(completions: Sequence[str], options: Mapping) -> Callable[[LanguageModel, Sequence[str]], list[tuple]]:
+    def call(client: LanguageModel, prompts: Sequence[str]) -> list[tuple]:
+        pairs = [(p, c) for p in prompts for c in completions]
+        found = _scores(client, [p for p, _ in pairs], [c for _, c in pairs], options)
+        return [tuple(found[i : i + len(completions)]) for i in range(0, len(found), len(completions))]
+
+    return call
+
+
+def _generated(options: Mapping) -> Callable[[LanguageModel, Sequence[str]], list[tuple]]:
+    def call(client: LanguageModel, prompts: Sequence[str]) -> list[tuple]:
+        texts = _texts(client, prompts, options)
+        for t in texts:
+            if len(t) != 1:
+                raise ValueError(f"one text expected, got {len(t)}")
+        return list(zip((t[0] for t in texts), _scores(client, prompts, [t[0] for t in texts], options), strict=True))
+
+    return call
+
+
+GENERATED = {"inference_text_output": "string", "inference_score_output": "float"}
+LIKERT = ("1", "2", "3", "4", "5")
+
+
+def _score_columns(completions: Sequence[str]) -> dict[str, str]:
+    return {f"inference_score_option_{i}": "float" for i in range(1, len(completions) + 1)}
+
+
+def score_options(df: DataFrame, model: ModelFactory, prompt: str = "inputs", completions: tuple[str, ...] = LIKERT, options: Mapping[str, float] | None = None) -> DataFrame:
     """Adds inference_score_option_1 .. n (float): the model's log probability of each completion."""
-    names = [f"inference_score_option_{i}" for i in range(1, len(completions) + 1)]
-    _new(df, *names)
-    return _apply(df, lambda m, text: tuple(m.score(text, c, **(options or {})) for c in completions), model, prompt, {n: "float" for n in names})
+    added = _score_columns(completions)
+    _new(df, *added)
+    return _apply(df, _scored(completions, options or {}), model, prompt, added)
 
 
 def generate_answers(df: DataFrame, model: ModelFactory, prompt: str = "inputs", options: Mapping[str, float] | None = None) -> DataFrame:
     """Adds inference_text_output and inference_score_output (float); a model must give exactly one text."""
-    _new(df, "inference_text_output", "inference_score_output")
-
-    def one(m: LanguageModel, text: str) -> tuple[str, float]:
-        texts = m.generate(text, **(options or {}))
-        if len(texts) != 1:
-            raise ValueError(f"one text expected, got {len(texts)}")
-        return texts[0], m.score(text, texts[0], **(options or {}))
-
-    return _apply(df, one, model, prompt, {"inference_text_output": "string", "inference_score_output": "float"})
+    _new(df, *GENERATED)
+    return _apply(df, _generated(options or {}), model, prompt, GENERATED)
 
 
 def run_inference(df: DataFrame, model: ModelFactory, method: str, prompt: str = "inputs", partitions: int | None = None, options: Mapping[str, float] | None = None) -> DataFrame:
@@ -92,12 +130,65 @@ def _apply(df: DataFrame, call: Callable, model: ModelFactory, prompt: str, adde
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = model()
         for batch in batches:
-            rows = [call(client, text) for text in batch[prompt]]
+            rows = call(client, list(batch[prompt]))
             yield batch.assign(**{n: [r[k] for r in rows] for k, n in enumerate(added)})
 
     return df.mapInPandas(run, schema)
 
 
+def run_with_ledger(
+    df: DataFrame, key: str, model: ModelFactory, method: str, ledger: str, prompt: str = "inputs", options: Mapping[str, float] | None = None, partitions: int | None = None, batch: int = 64
+) -> DataFrame:
+    """Like run_inference(), for runs that are dear: answers are kept in the folder ``ledger`` as soon as they are there, and
+    a run that broke off goes on where it was. Prompts have a unique ``key``.
+
+    A task writes a small file after each ``batch`` of answers, under a name made of what was asked. A later run leaves out
+    what the ledger holds (a left anti join on key and a digest of prompt, method and options, so that changed prompts are
+    asked again). A task that Spark repeats within a run meets the same batches in the same order and takes the answers it
+    finds under their names, so a lost executor costs one batch per task at most. The folder is shared by all executors.
+    """
+    calls = {"score": (_scored(LIKERT, options or {}), _score_columns(LIKERT)), "generate": (_generated(options or {}), GENERATED)}
+    if method not in calls:
+        raise NotImplementedError(method)
+    call, added = calls[method]
+    _new(df, *added, "asked")
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    said = repr((method, sorted((options or {}).items())))
+    asked = F.sha2(F.concat_ws("|", F.lit(said), F.col(prompt)), 256)
+    given = F.when(F.coalesce(F.length(prompt), F.lit(0)) > 0, F.col(prompt)).otherwise(F.raise_error(F.lit(f"empty {prompt}")))
+    schema = f"`{key}` {kind}, asked string, " + ", ".join(f"{n} {t}" for n, t in added.items())
+    store, base = manifest.opened(ledger)
+    store.create_dir(base, recursive=True)
+
+    def answers() -> DataFrame:
+        return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(ledger).dropDuplicates([key, "asked"])
+
+    rows = df.select(key, given.alias("_prompt")).withColumn("asked", F.sha2(F.concat_ws("|", F.lit(said), F.col("_prompt")), 256))
+    left = rows.join(answers().select(key, "asked"), [key, "asked"], "left_anti")
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, (files, place) = None, manifest.opened(ledger)
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                name = hashlib.sha256("".join(part.column("asked").to_pylist()).encode()).hexdigest()
+                if files.get_file_info(f"{place}/{name}.parquet").type == fs.FileType.NotFound:
+                    client = client or model()
+                    found = call(client, part.column("_prompt").to_pylist())
+                    kinds = {"string": pa.string(), "float": pa.float32()}
+                    columns = [pa.array([r[k] for r in found], kinds[t]) for k, t in enumerate(added.values())]
+                    table = pa.table([part.column(key), part.column("asked"), *columns], names=[key, "asked", *added])
+                    temporary = f"{place}/_{uuid.uuid4().hex}"
+                    with files.open_output_stream(temporary, compression=None) as out:
+                        pq.write_table(table, out)
+                    files.move(temporary, f"{place}/{name}.parquet")
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], names=["n"])
+
+    left.repartition(tasks, key).sortWithinPartitions(key).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    return df.withColumn("asked", asked).join(answers(), [key, "asked"]).drop("asked").select(*df.columns, *added)
+
+
 def best_option(df: DataFrame, n: int = 5) -> DataFrame:
     """Adds ``predicted_rating``: the option with the highest score, the first of equals. (Our addition.)"""
     scores = [F.struct(F.col(f"inference_score_option_{i}").alias("score"), F.lit(-i).alias("i")) for i in range(1, n + 1)]

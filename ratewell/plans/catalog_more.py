@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ratewell import fixed_values as fixed
 from ratewell.functions import scalar
 from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, prefix, prompts, ratings_stats, splits
-from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, runs
+from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, run_with_ledger, runs
 from ratewell.operators.resample import FEW
 from ratewell.plans import views
 from ratewell.plans.catalog import _AC2, _ASK, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
 from ratewell.plans.catalog import _EXAMPLES as EX
 from ratewell.sources import readers, records, schemas, sinks
-from ratewell.sources.scratch import folder
+from ratewell.sources.scratch import folder, saved
 
 DAY = "2024-05-01"
 
@@ -372,6 +372,16 @@ def q_examples_unmatched(spark, d):
     return spark.createDataFrame([(p, counts[p]) for p in ("examples", *prompts.PROBLEMS)], "problem string, n bigint")
 
 
+@query(f"{X} select item_id, 'Reasoning. <answer>(' || substr('ABCDE', (('0x' || substr(md5(question), 1, 4))::bigint % 5)::int + 1, 1) || ')</answer>' inference_text_output, round(ln((('0x' || substr(md5(question || '|' || inference_text_output), 1, 8))::bigint + 1) / 4294967296.0)::float::double, 4) inference_score_output, item_id % 3 = 0 answered_before from x")
+def q_inference_restarted(spark, d):
+    """A run over all prompts after one that answered a third of them: what the ledger holds isn't asked again."""
+    rows, ledger = views.exam(spark, d).select("item_id", F.col("question").alias("inputs")), folder(spark)
+    run_with_ledger(rows.filter("item_id % 3 = 0"), "item_id", HashModel, "generate", ledger)
+    before = saved(spark.read.parquet(ledger).select("item_id", F.lit(True).alias("answered_before")))
+    out = run_with_ledger(rows, "item_id", HashModel, "generate", ledger).join(before, "item_id", "left")
+    return out.select("item_id", "inference_text_output", F.round(F.col("inference_score_output").cast("double"), 4).alias("inference_score_output"), F.coalesce("answered_before", F.lit(False)).alias("answered_before"))
+
+
 _HOT = "case when o_orderkey % 3 = 0 then 'hot' else o_orderpriority end"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ratewell import fixed_values as fixed
 from ratewell.functions.scalar import utf8
 from ratewell.operators.prefix import numbered
 from ratewell.sources.readers import split_path
+from ratewell.sources.scratch import saved
 
 
 def _mode(overwrite: bool) -> str:
@@ -16,18 +19,52 @@ def _mode(overwrite: bool) -> str:
 
 
 def write_splits(splits: DataFrame, path: str, id_col: str = "case_study_id", overwrite: bool = False) -> None:
-    """One folder per split, ids sorted inside. All splits are one write, so either all appear or none."""
-    splits.select(id_col, "split").repartition("split").sortWithinPartitions("split", id_col).write.partitionBy("split").mode(_mode(overwrite)).csv(path, header=True)
+    """One folder per split, ids sorted inside: its files are ranges of the ids, so a large split is several tasks. All splits
+    are one write, so either all appear or none."""
+    rows = splits.select(id_col, "split")
+    ranges = int(splits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(ranges, "split", id_col).sortWithinPartitions("split", id_col).write.partitionBy("split").mode(_mode(overwrite)).csv(path, header=True)
 
 
 def write_split_files(splits: DataFrame, root: str, vertical: str, day: str, id_col: str = "case_study_id", overwrite: bool = False) -> None:
-    """A CSV of sorted ids for each split, under its dated name (readers.split_path). All targets are looked at before any
-    is written. Splits are known by name, so none are looked for; ids of one split are sorted across its part files."""
+    """A CSV of sorted ids for each split, under its dated name (readers.split_path): all of them, or none.
+
+    All targets are looked at first. The splits are worked out once, every file is written in a staging folder beside the
+    targets, and only when all are complete are they renamed. What fails, whether a write or a rename, leaves the targets as
+    they were: files that were there before come back. Splits are known by name, so none are looked for; ids of one split are
+    sorted across its part files."""
+    spark = splits.sparkSession
     paths = {s: split_path(root, vertical, s, day) for s in fixed.SPLITS}
-    if not overwrite and (there := [p for p in paths.values() if exists(splits.sparkSession, p)]):
+    if not overwrite and (there := [p for p in paths.values() if exists(spark, p)]):
         raise FileExistsError(there)
-    for split, path in paths.items():
-        splits.filter(F.col("split") == split).select(id_col).orderBy(id_col).write.mode(_mode(overwrite)).csv(path, header=True)
+    staging = f"{root}/{vertical.lower()}/_staging-{uuid.uuid4().hex}"
+    rows = saved(splits.select(id_col, "split"))
+    try:
+        for split in paths:
+            rows.filter(F.col("split") == split).select(id_col).orderBy(id_col).write.csv(f"{staging}/new/{split}", header=True)
+        moved: list[tuple[str, str]] = []
+        try:
+            for split, path in paths.items():
+                if exists(spark, path):
+                    moved.append(rename(spark, path, f"{staging}/old/{split}"))
+                moved.append(rename(spark, f"{staging}/new/{split}", path))
+        except Exception:
+            for source, target in reversed(moved):
+                rename(spark, target, source)
+            raise
+    finally:
+        removed(spark, staging)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> tuple[str, str]:
+    """Moves a file or folder, and returns both names; an error if it can't be moved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = path(target)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    if not files.rename(path(source), place):
+        raise OSError(f"can't move {source} to {target}")
+    return source, target
 
 
 def exists(spark: SparkSession, path: str) -> bool:
