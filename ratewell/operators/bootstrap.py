@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import pickle
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -21,28 +24,41 @@ RESULT = "model_name string, prediction_name string, metric_name string, mean do
 
 @dataclass(frozen=True)
 class Metric:
-    """A named function of (label, prediction) arrays; binary ones need both classes in every sample."""
+    """A named function of (label, prediction) arrays; binary ones need both classes in every sample.
+
+    counted: the same from the distinct pairs of (label, prediction) and how often each occurs, if that is cheaper.
+    """
 
     name: str
     function: Callable[[np.ndarray, np.ndarray], float]
     binary: bool = False
+    counted: Callable[[np.ndarray, np.ndarray, np.ndarray], float] | None = None
 
 
 def ac2_metric(a: np.ndarray, b: np.ndarray) -> float:
     """Gwet's AC2 with quadratic weights, over the categories of the sample; nan if there is one."""
+    return ac2_counted(a, b, np.ones(len(a), np.int64))
+
+
+def ac2_counted(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
+    """Likewise of pairs that occur n times each; those that don't occur add no category."""
+    a, b, n = a[n > 0], b[n > 0], n[n > 0]
     values, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
     q = len(values)
     if q < 2:
         return float("nan")
     x, y = codes[: len(a)], codes[len(a) :]
-    table = np.bincount(x * q + y, minlength=q * q).reshape(q, q) / len(a)
+    table = np.zeros(q * q, np.int64)
+    np.add.at(table, x * q + y, n)
+    table = table.reshape(q, q) / n.sum()
     weights = 1 - (values[:, None] - values[None, :]) ** 2 / (values[-1] - values[0]) ** 2
     share = (table.sum(0) + table.sum(1)) / 2
     chance = weights.sum() / (q * (q - 1)) * (share * (1 - share)).sum()
     return float(((weights * table).sum() - chance) / (1 - chance))
 
 
-AC2, COUNT = Metric("gwet_ac2", ac2_metric), Metric("sample_count", lambda a, b: float(len(a)))
+AC2 = Metric("gwet_ac2", ac2_metric, counted=ac2_counted)
+COUNT = Metric("sample_count", lambda a, b: float(len(a)), counted=lambda a, b, n: float(n.sum()))
 
 
 def check_metrics(metrics: Sequence[Metric]) -> None:
@@ -62,7 +78,7 @@ def _check_classes(label: np.ndarray, both_classes: bool) -> None:
         raise ConstraintError("a binary metric needs labels 0 and 1, and both")
 
 
-def _draws(label: np.ndarray, n: int, seed: int, both_classes: bool) -> Iterator[np.ndarray]:
+def _draws(label: np.ndarray, n: int, seed: int | np.random.Generator, both_classes: bool) -> Iterator[np.ndarray]:
     rng = np.random.default_rng(seed)
     while n > 0:
         draw = rng.integers(0, len(label), len(label))
@@ -79,31 +95,75 @@ def summary(samples: np.ndarray, level: float = LEVEL) -> tuple[float, float, in
     return float(kept.mean()), float(kept.std()), len(kept), level, float(low), float(high)
 
 
+#: Draws of one group that one task makes.
+CHUNK = 50
+
+
+def _chunks(group: pd.DataFrame, id_col: str, label: str, predictions: Sequence[str], n: int, seed: int, both: bool) -> Iterator[tuple]:
+    """(chunk, draws, state, codes, values): a group's rows as codes of their distinct values, in the order of ``id_col``, and
+    the state of numpy's generator before each CHUNK draws. Draws are made here, but nothing is computed from them."""
+    group = group.sort_values(id_col, kind="stable")
+    columns_ = [group[c].to_numpy() for c in (label, *predictions)]
+    _check_classes(columns_[0], both and n > 0)
+    _, first, codes = np.unique(np.stack([np.unique(c, return_inverse=True)[1] for c in columns_]), axis=1, return_index=True, return_inverse=True)
+    small = codes.ravel().astype(np.min_scalar_type(max(len(first) - 1, 0)))
+    values = pickle.dumps([c[first] for c in columns_])
+    packed = zlib.compress(small.tobytes(), 1), small.dtype.str
+    rng = np.random.default_rng(seed)
+    made = 0
+    while made < n or made == 0:
+        state = json.dumps(rng.bit_generator.state)
+        size = min(CHUNK, n - made)
+        yield made // CHUNK, size, state, *packed, values
+        for _ in _draws(columns_[0], size, rng, both):
+            pass
+        made += max(size, 1)
+
+
 def exact_bootstrap(df: DataFrame, by: Sequence[str], id_col: str, label: str, predictions: Sequence[str], metrics: Sequence[Metric], n: int = 1000, level: float = LEVEL, seed: int = SEED, mask: Column | None = None) -> DataFrame:
     """One row per group, prediction and metric, by numpy's draws over rows sorted by ``id_col``; RESULT after ``by``.
 
-    A group comes to one task: for a pair of raters and their thousands of items. All metrics and predictions of a group
-    share the draws. With n = 0 the metric of all rows is the one sample. Samples without a value are left out and not
-    counted. Rows where the label or a prediction is null, or that the mask drops, don't take part.
+    A group comes to one task once: it turns the rows into codes of their distinct values, a byte or two a row, and notes the
+    generator's state before each CHUNK draws. The draws themselves are dealt out by (group, chunk), so that one group keeps
+    n / CHUNK tasks busy; each starts from its state and so makes the very draws that one task would have made. All metrics
+    and predictions of a group share them. With n = 0 the metric of all rows is the one sample. Samples without a value are
+    left out and not counted. Rows where the label or a prediction is null, or that the mask drops, don't take part.
     """
     check_metrics(metrics)
     columns(df, [*by, id_col, label, *predictions])
     used = (df if mask is None else df.filter(mask)).dropna(subset=[label, *predictions]).select(*by, id_col, label, *predictions)
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(id_col, kind="stable")
-        y = group[label].to_numpy()
-        both = any(m.binary for m in metrics)
-        _check_classes(y, both and n > 0)
-        found = {(p, m): [] for p in predictions for m in metrics}
-        for d in _draws(y, n, seed, both) if n else [np.arange(len(y))]:  # one draw in memory at a time
-            for (p, m), values in found.items():
-                values.append(m.function(y[d], group[p].to_numpy()[d]))
-        rows = [(*group[list(by)].iloc[0], p, label, m.name, *summary(np.array(values), level)) for (p, m), values in found.items()]
-        return pd.DataFrame(rows, columns=[*by, *(c.split()[0] for c in RESULT.split(", "))])
-
-    return used.groupBy(*by).applyInPandas(run, f"{keys}, {RESULT}")
+    both = any(m.binary for m in metrics)
+
+    def prepare(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(*group[list(by)].iloc[0], *chunk) for chunk in _chunks(group, id_col, label, predictions, n, seed, both)]
+        return pd.DataFrame(rows, columns=[*by, "_chunk", "_draws", "_state", "_codes", "_kind", "_values"])
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                codes = np.frombuffer(zlib.decompress(row["_codes"]), row["_kind"])
+                y, *others = pickle.loads(row["_values"])
+                rng = np.random.default_rng()
+                rng.bit_generator.state = json.loads(row["_state"])
+                out = []
+                for k, d in enumerate(_draws(y[codes], row["_draws"], rng, both) if n else [np.arange(len(codes))]):
+                    drawn = codes[d]
+                    counts = np.bincount(drawn, minlength=len(y))
+                    for p, x in enumerate(others):
+                        out += [(row["_chunk"] * CHUNK + k, p, i, m.counted(y, x, counts) if m.counted else m.function(y[drawn], x[drawn])) for i, m in enumerate(metrics)]
+                yield pd.DataFrame([(*(row[c] for c in by), *o) for o in out], columns=[*by, "_draw", "_p", "_m", "_value"])
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_draw")
+        first = group.iloc[0]
+        row = (*first[list(by)], predictions[int(first["_p"])], label, metrics[int(first["_m"])].name, *summary(group["_value"].to_numpy(float), level))
+        return pd.DataFrame([row], columns=[*by, *(c.split()[0] for c in RESULT.split(", "))])
+
+    chunks = used.groupBy(*by).applyInPandas(prepare, f"{keys}, _chunk int, _draws int, _state string, _codes binary, _kind string, _values binary")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    samples = chunks.repartition(tasks, *by, "_chunk").mapInPandas(sample, f"{keys}, _draw int, _p int, _m int, _value double")
+    return samples.groupBy(*by, "_p", "_m").applyInPandas(finish, f"{keys}, {RESULT}")
 
 
 def rater_pair_bootstrap(pairs: DataFrame, n: int = 1000, level: float = LEVEL, seed: int = SEED) -> DataFrame:

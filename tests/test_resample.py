@@ -61,3 +61,20 @@ def test_intervals_are_those_of_an_exact_bootstrap(spark, size):
     mean = bootstrap.cell_bootstrap(df, ["rater_a"], "va", n=2000).first()
     low, high = np.percentile(a[rng.integers(0, size, (2000, size))].mean(1), [2.5, 97.5])
     assert mean["mean"] == pytest.approx(a.mean()) and abs(mean.low - low) < 0.2 * a.std() / size**0.5 and abs(mean.high - high) < 0.2 * a.std() / size**0.5
+
+
+def test_exact_draws_are_the_same_whatever_tasks_make_them(spark):
+    """One group, many tasks: the numbers of one generator that goes through all draws, bit by bit."""
+    rng = np.random.default_rng(4)
+    y, p, q = rng.integers(0, 2, 61), rng.integers(1, 6, 61), np.round(rng.normal(size=61), 1)
+    rows = [("g", f"{i:03}", int(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(y, p, q, strict=True))]
+    df = spark.createDataFrame(rows, "g string, id string, y int, p int, q double").repartition(5)
+    own = [bootstrap.AC2, bootstrap.Metric("mean of the positive", lambda a, b: float(b[a == 1].mean()), binary=True)]
+    got = {(r.model_name, r.metric_name): r for r in bootstrap.exact_bootstrap(df, ["g"], "id", "y", ["p", "q"], own, n=130).collect()}
+    draws = bootstrap.sample_indices(y, 130, both_classes=True)
+    for name, x in (("p", p), ("q", q)):
+        for m in own:
+            r = got[name, m.name]
+            assert (r["mean"], r.stddev, r.num_samples, r.ci_level, r.ci_lower, r.ci_upper) == bootstrap.summary(np.array([m.function(y[d], x[d]) for d in draws]))
+    chunks = list(bootstrap._chunks(df.toPandas(), "id", "y", ["p", "q"], 130, 42, True))
+    assert [c[:2] for c in chunks] == [(0, 50), (1, 50), (2, 30)] and len({c[2] for c in chunks}) == 3
