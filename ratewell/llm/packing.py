@@ -197,5 +197,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and a group holds ``group_pieces`` pieces or so, however long the documents are. Needs spark.checkpoint.dir.
     """
     ensure_checkpoints(docs.sparkSession)
-    cut = stored(pieces(docs, id_col, text_col, tokenizer, end_id, capacity, with_ids))
-    return pack(cut, cut.count(), capacity, group_pieces)
+    cut = pieces(docs, id_col, text_col, tokenizer, end_id, capacity, with_ids)
+    if not with_ids:
+        cut = stored(cut)
+        return pack(cut, cut.count(), capacity, group_pieces)
+    # Ids stay where they are while their lengths are packed, and never come to a group's task.
+    cut = stored(cut.withColumn("piece", F.monotonically_increasing_id()))
+    places = pack(cut.drop("ids"), cut.count(), capacity, group_pieces)
+    return places.join(cut.select("piece", "ids"), "piece").drop("piece")
