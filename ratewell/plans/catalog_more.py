@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import fixed_values as fixed
 from ratewell.functions import scalar
-from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, outcomes, prefix, prompts, ratings_stats, splits
+from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, merging, outcomes, prefix, prompts, ratings_stats, splits
 from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, run_with_ledger, runs
 from ratewell.operators.resample import FEW
 from ratewell.plans import views
-from ratewell.plans.catalog import _AC2, _ASK, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
+from ratewell.plans.catalog import _AC2, _ASK, _ONE, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
 from ratewell.plans.catalog import _EXAMPLES as EX
 from ratewell.sources import readers, records, schemas, sinks
 from ratewell.sources.scratch import folder, saved
@@ -382,6 +383,25 @@ def q_inference_restarted(spark, d):
     return out.select("item_id", "inference_text_output", F.round(F.col("inference_score_output").cast("double"), 4).alias("inference_score_output"), F.coalesce("answered_before", F.lit(False)).alias("answered_before"))
 
 
+@query(f"""{_ONE}, c as (select ma::double va, mb::double vb, count(*)::double n from pairs group by all),
+mg as (select v, sum(n) m from (select va v, n from c union all select vb, n from c) group by all),
+sz as (select min(v) lo, max(v) hi, count(*) q, sum(m) / 2 n, sum(m * m) mm from mg),
+w as (select sum(1 - (x.v - y.v) ** 2 / (hi - lo) ** 2) tw from mg x, mg y, sz),
+pa as (select sum((1 - (va - vb) ** 2 / (hi - lo) ** 2) * c.n) / sum(c.n) pa, sum(abs(va - vb) * c.n) / sum(c.n) off from c, sz),
+g as (select pa, off, tw / (q * (q - 1)) * (1 - mm / (4 * n * n)) pe, n from sz, w, pa),
+s as (select vb, sum(case when va > 3 then n else 0 end) p, sum(case when va > 3 then 0 else n end) q from c group by 1),
+k as (select *, coalesce(sum(q) over (order by vb rows between unbounded preceding and 1 preceding), 0) below from s)
+select 'gwet_ac2' metric_name, round((pa - pe) / (1 - pe), 6) as "value", n::bigint n from g union all select 'mean distance', round(off, 6), n::bigint from g
+union all select 'auroc', round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 6), sum(p + q)::bigint from k""")
+def q_merged_metrics(spark, d):
+    """AC2, AUROC and a metric of the user's own over all pairs of raters as one group, which many tasks share."""
+    pairs = agreement.rater_pairs(views.ratings(spark, d), "max").withColumns({"one": F.lit("all"), "high": (F.col("va") > 3).cast("int")})
+    distance = merging.Merging("mean distance", lambda: (0.0, 0), lambda s, a, b: (s[0] + float(np.abs(a - b).sum()), s[1] + len(a)), lambda s, t: (s[0] + t[0], s[1] + t[1]), lambda s: s[0] / s[1])
+    one = merging.merged_metrics(pairs, ["one"], "va", ["vb"], [merging.AC2, distance])
+    two = merging.merged_metrics(pairs, ["one"], "high", ["vb"], [merging.AUROC])
+    return rounded(one.union(two).select("metric_name", "value", "n"), "value")
+
+
 _HOT = "case when o_orderkey % 3 = 0 then 'hot' else o_orderpriority end"
 
 
