@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,16 +31,20 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Letters of other scripts that look like ASCII ones, as (their code points in order, what they look like).
 LOOKALIKES = (
-    ("аеорсухіјѕ", "aeopcyxijs"),  # Cyrillic small
+    ("аеорсухіјѕһӏԁԛԝѵ", "aeopcyxijshldqwv"),  # Cyrillic small
     ("АВЕКМНОРСТХ", "ABEKMHOPCTX"),  # Cyrillic capital
-    ("οανρ", "oavp"),  # Greek small
+    ("αγικνορυχ", "ayiknopux"),  # Greek small
+    ("հոսօ", "hnuo"),  # Armenian small
+    ("ıɡɑ", "iga"),  # Latin
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΧ", "ABEZHIKMNOPTX"),  # Greek capital
     ("\u2010\u2011\u2012\u2013\u2212", "-----"),  # hyphens and minus
     ("\u00a0\u2007\u202f", "   "),  # spaces that don't break
 )
 GLYPHS = {ord(a): b for froms, tos in LOOKALIKES for a, b in zip(froms, tos, strict=True)}
 GLYPHS |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # fullwidth forms
-GLYPHS |= {0x1D7CE + i: "0123456789"[i % 10] for i in range(50)}  # mathematical digits
+#: Mathematical letters and digits, letterlike signs, raised, lowered and circled ones: where Unicode itself names one ASCII character.
+STYLED = [*range(0x1D400, 0x1D800), *range(0x2070, 0x2090), *range(0x2100, 0x2140), *range(0x2460, 0x24EA), 0x00B2, 0x00B3, 0x00B9]
+GLYPHS |= {c: plain for c in STYLED if len(plain := unicodedata.normalize("NFKC", chr(c))) == 1 and plain.isascii() and plain.isalnum()}
 GLYPHS |= {c + i: str(i) for c in (0x0660, 0x06F0, 0x0966) for i in range(10)}  # Arabic, Persian, Devanagari digits
 #: Characters that show nothing: dropped between others.
 UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -51,6 +56,9 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
 #: Five spelled digits or more in a row, parted by a space, a hyphen or a dot; what lies between is dropped.
 SPELLED = re.compile(rf"\b{_DIGIT}(?:[ .-]{_DIGIT}){{4,}}\b", re.I)
+#: Four numbers of one to three digits, spelled or not, with "dot" or "point" between them.
+_PART = rf"(?:{_DIGIT}|[0-9])(?:[ -]?(?:{_DIGIT}|[0-9])){{0,2}}"
+SPELLED_IP = re.compile(rf"\b{_PART}(?: (?:dot|point) {_PART}){{3}}\b", re.I)
 SPELLED_PLUS = re.compile(rf"\bplus (?={_DIGIT}[ .-]{_DIGIT}\b|[0-9])", re.I)
 AT, DOT = r" ?[\[({<] ?at ?[\])}>] ?", r" ?[\[({<] ?dot ?[\])}>] ?"
 BRACKET_AT, BRACKET_DOT = re.compile(AT, re.I), re.compile(DOT, re.I)
@@ -58,7 +66,7 @@ BRACKET_AT, BRACKET_DOT = re.compile(AT, re.I), re.compile(DOT, re.I)
 BARE_AT = re.compile(rf"(?:{AT})| at |@", re.I)
 BARE_HOST = re.compile(r"[A-Za-z0-9-]++((?: dot [A-Za-z0-9-]++)++)", re.I)
 #: Found in every text that one of the patterns from SPELLED to BARE_AT would rewrite.
-_CUE = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]| dot |\bplus [0-9]|[ .-](?:" + "|".join(DIGITS) + r")[ .-]", re.I)
+_CUE = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]| dot | point |\bplus [0-9]|[ .-](?:" + "|".join(DIGITS) + r")[ .-]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -162,6 +170,12 @@ def bare(text: str) -> Iterator[tuple[int, int, str]]:
             done = at = host.end()
 
 
+def numbers(said: str) -> str:
+    """An address of four numbers as digits and dots."""
+    parts = re.split(" (?:dot|point) ", said.lower())
+    return ".".join("".join(DIGITS.get(x, x) for x in re.findall(f"{_DIGIT}|[0-9]", part)) for part in parts)
+
+
 def normalise(text: str) -> Tape | None:
     """The tape after all rewriting, None if nothing had to be rewritten."""
     glyphs = not text.isascii() and GLYPH.search(text)
@@ -171,6 +185,7 @@ def normalise(text: str) -> Tape | None:
     if glyphs:
         tape.rewrite([(m.start(), m.end(), GLYPHS[ord(m[0])]) for m in GLYPH.finditer(tape.text)])
     tape.rewrite(list(bare(tape.text)))
+    tape.rewrite([(m.start(), m.end(), numbers(m[0])) for m in SPELLED_IP.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "+") for m in SPELLED_PLUS.finditer(tape.text)])

@@ -203,6 +203,11 @@ def test_disguises():
     assert hidden(TEXTS[25]) == []
     assert hidden(TEXTS[26]) == [("email", "user​@exаmple.com"), ("ip", "１２７.0.0.1")]
     assert hidden("He sat at the table dot one two three") == []
+    assert hidden("x one nine two dot one six eight dot zero dot one y") == [("ip", "one nine two dot one six eight dot zero dot one")]
+    assert hidden("10 point 0 dot two five five dot 1.") == [("ip", "10 point 0 dot two five five dot 1")]
+    assert hidden("nine nine nine dot one dot one dot one") == [] and hidden("three point one four dot") == []  # parts over 255, too few parts
+    styled = "".join(chr(0x1D5EE + ord(c) - 97) if c.isalpha() else c for c in "jo@ex.org")  # bold letters
+    assert hidden(f"to {styled} now") == [("email", styled)]
     assert hidden("4111 1111 1111 1111") == [] and pii.redact("mail a@b.co now") == "mail <EMAIL> now"
 
 
