@@ -199,3 +199,10 @@ def runs(spark: SparkSession, root: str, model: str, day: str, verticals: Sequen
     """(vertical, split, method, path): every run of a model, as rows of one frame instead of nested loops."""
     rows = [(v, s, m, inference_path(root, v, model, s, day, m)) for v in verticals for s in splits for m in methods]
     return spark.createDataFrame(rows, "vertical string, split string, method string, path string")
+
+
+def runs_of(models: DataFrame, root: str, day: str, verticals: Sequence[str], splits: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """(model, vertical, split, method, path): likewise of every model in a table (column ``model``), a few rows for each."""
+    grid = runs(models.sparkSession, root, "{model}", day, verticals, splits, methods)
+    path = F.replace("path", F.lit("{model}"), F.col("model"))
+    return models.select("model").distinct().crossJoin(F.broadcast(grid)).select("model", "vertical", "split", "method", path.alias("path"))

@@ -339,10 +339,15 @@ def _likert() -> str:
     return f"t(principle, o1, o2, o3, o4, o5) as (values {rows})"
 
 
-@query(f"with {_likert()} select principle, i::int option, i || '. ' || (case i when 1 then o1 when 2 then o2 when 3 then o3 when 4 then o4 else o5 end) || '<stop>' target from t, (select unnest(range(1, 6)) i)")
+@query(f"""{P}, {_likert()}, n as (select *, {list(fixed.PRINCIPLE_ORDER)!r}[substr(principle, 2, 1)::int + 1] named from r)
+select t.principle, i::int option, i || '. ' || (case i when 1 then o1 when 2 then o2 when 3 then o3 when 4 then o4 else o5 end) || '<stop>' target, count(*) n, sum((i = rating)::int)::bigint n_rated
+from n join t on named = t.principle, (select unnest(range(1, 6)) i) group by all""")
 def q_likert_explode(spark, d):
-    rows = prompts.options_of(prompts.principle_table(spark))
-    return rows.select("principle", "option", prompts.target(F.col("option")).alias("target"))
+    """The five options of every rating's principle, as texts to score, and how often each was given."""
+    named = F.get(F.array(*map(F.lit, fixed.PRINCIPLE_ORDER)), F.substring("principle", 2, 1).cast("int"))
+    rows = views.panel(spark, d).withColumn("principle", named).join(F.broadcast(prompts.principle_table(spark)), "principle")
+    each = prompts.options_of(rows).withColumn("target", prompts.target(F.col("option")))
+    return each.groupBy("principle", "option", "target").agg(F.count("*").alias("n"), F.sum((F.col("option") == F.col("rating")).cast("int")).alias("n_rated"))
 
 
 def _quoted(text: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ratewell import fixed_values as fixed
 from ratewell.functions import scalar
 from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, merging, outcomes, prefix, prompts, ratings_stats, splits
-from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, run_with_ledger, runs
+from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, run_with_ledger, runs_of
 from ratewell.operators.resample import FEW
 from ratewell.plans import views
 from ratewell.plans.catalog import _AC2, _ASK, _ONE, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
@@ -157,13 +157,14 @@ _ROWS = [
 ]
 
 
-@query("select * from (values ('Sleep', 'Easy', '(B)', 2, 'seven'), ('Sleep', 'Hard', '(A)', 3, 'evening'), ('Fitness', 'Easy', '(A)', 3, 'recovery')) t(domain, difficulty, answer, n_choices, right_choice)")
+@query(f"{X}, t as (select unnest([('Sleep', 'Easy', '(B)', 2, 'seven'), ('Sleep', 'Hard', '(A)', 3, 'evening'), ('Fitness', 'Easy', '(A)', 3, 'recovery')]) v) select domain, difficulty, answer, 4::int n_choices, case answer when '(A)' then 'one' when '(B)' then 'two' when '(C)' then 'three' else 'four' end right_choice, count(*) n from x group by all union all select v[1], v[2], v[3], v[4]::int, v[5], 1 from t".replace("unnest([(", "unnest([row(").replace("), (", "), row("))
 def q_exam_rows(spark, d):
-    """Questions given in code, by way of a file."""
+    """Every question of a table, and some given in code, by way of a file."""
     place = folder(spark)
-    readers.exam_rows(spark, _ROWS).write.csv(place, header=True, quote='"', escape='"')
+    rows = readers.exam_table(views.exam(spark, d)).union(readers.exam_rows(spark, _ROWS))
+    rows.write.csv(place, header=True, quote='"', escape='"')
     back = readers.exam(spark, place)
-    return back.select("domain", "difficulty", "answer", F.size("choices").alias("n_choices"), F.col("choices")[F.col("answer")].alias("right_choice"))
+    return back.groupBy("domain", "difficulty", "answer", F.size("choices").alias("n_choices"), F.col("choices")[F.col("answer")].alias("right_choice")).agg(F.count("*").alias("n"))
 
 
 _SCORE = "('0x' || substr(md5(concat(prompt, '|', l)), 1, 8))::bigint"
@@ -178,10 +179,12 @@ def q_results_file(spark, d):
     return back.select("index", F.col("item_id").cast("long").alias("item_id"), "model_answer", F.col("correct").cast("int").alias("correct"))
 
 
-@query("select * from (values ('sleep', 'train', 'score'), ('sleep', 'train', 'generate'), ('sleep', 'validation', 'score'), ('sleep', 'validation', 'generate'), ('fitness', 'train', 'score'), ('fitness', 'train', 'generate'), ('fitness', 'validation', 'score'), ('fitness', 'validation', 'generate')) t(vertical, split, method), (select unnest(['runs'])) u(root), lateral (select root || '/' || vertical || '/m1.' || split || '.20240501.' || method || '.tsv' as path)".replace("select *", "select vertical, split, method, path", 1))
+@query("""select p_brand model, vertical, split, method, 'runs/' || vertical || '/' || p_brand || '.' || split || '.20240501.' || method || '.tsv' path
+from (select distinct p_brand from part), (select unnest(['sleep', 'fitness']) vertical), (select unnest(['train', 'validation']) split), (select unnest(['score', 'generate']) "method")""")
 def q_inference_runs(spark, d):
-    """Every vertical, split and method of a model's runs, with the file that each writes."""
-    return runs(spark, "runs", "m1", DAY, fixed.VERTICALS, ("train", "validation"), ("score", "generate"))
+    """Every vertical, split and method of every model's runs, with the file that each writes."""
+    models = views.table(spark, d, "part").select(F.col("p_brand").alias("model"))
+    return runs_of(models, "runs", DAY, fixed.VERTICALS, ("train", "validation"), ("score", "generate"))
 
 
 @query(f"{X}, s as (select item_id, question, o, ln((('0x' || substr(md5(question || '|' || o), 1, 8))::bigint + 1) / 4294967296.0)::float::double sc from x, (select unnest(['1', '2', '3', '4', '5']) o)) select item_id, round(max(sc) filter (o = '1'), 4) s1, round(max(sc) filter (o = '2'), 4) s2, round(max(sc) filter (o = '3'), 4) s3, round(max(sc) filter (o = '4'), 4) s4, round(max(sc) filter (o = '5'), 4) s5 from s group by 1")

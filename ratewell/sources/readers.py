@@ -92,6 +92,11 @@ def exam_rows(spark: SparkSession, rows: list[tuple[str, dict[str, str], str, st
     return spark.createDataFrame([(q, json.dumps(c), *rest) for q, c, *rest in rows], schemas.EXAM)
 
 
+def exam_table(questions: DataFrame) -> DataFrame:
+    """A table of questions, with choices as a map, as exam files hold it: choices as JSON text."""
+    return questions.select("question", F.to_json("choices").alias("choices"), "domain", "difficulty", "answer")
+
+
 def outcomes(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, schemas.OUTCOMES)
 
