@@ -114,7 +114,8 @@ def default_tokenizer() -> str:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Each document's ids, then ``end_id``, cut into pieces of ``capacity`` and a rest; one row per piece.
 
-    The rest may be of any length from 1. with_ids adds the piece's ids as ``ids array<int>``.
+    The rest may be of any length from 1. with_ids adds the piece's ids as ``ids``, little-endian unsigned 32-bit
+    numbers one after another (numpy: "<u4"), lighter than an array column.
     ``tokenizer`` names a file on every executor; None: the public word-level file.
     Null text counts as empty: one piece that holds the end id.
     """
@@ -130,11 +131,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     ids += end
                     for a in range(0, len(ids), size):
                         b = ids[a : a + size]
-                        rows.append((i, a // 4, len(b) // 4, zlib.crc32(b), len(ids) // 4, *([np.frombuffer(b, "<u4").astype(np.int32)] if with_ids else [])))
+                        rows.append((i, a // 4, len(b) // 4, zlib.crc32(b), len(ids) // 4, *([b] if with_ids else [])))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[5:]], names=[f"c{k}" for k in range(len(columns))])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]], names=[f"c{k}" for k in range(len(columns))])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ties in length go by checksum and id, so a repeated run gives the same sequences. Repeated rows are packed as
     often as they occur. Null ids pack like others. An empty table gives an empty result.
-    with_ids: pieces carry their token ids. Pieces are written and counted before they are dealt, so that texts are cut once
+    with_ids: pieces carry their token ids (binary, see pieces()). Pieces are written and counted before they are dealt, so that texts are cut once
     and a group holds ``group_pieces`` pieces or so, however long the documents are. Needs spark.checkpoint.dir.
     """
     ensure_checkpoints(docs.sparkSession)

@@ -42,8 +42,9 @@ def test_stages(spark):
     got, ids = {}, {}
     for r in rows:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-        assert len(r.ids) == r.length
-        ids.setdefault(r.doc_id, {})[r.start] = r.ids
+        own = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(own) == r.length
+        ids.setdefault(r.doc_id, {})[r.start] = own
     assert got == want
     joined = {i: [x for _, part in sorted(parts.items()) for x in part] for i, parts in ids.items()}
     assert joined == {i: [*np.frombuffer(encode([t])[0], "<u4").tolist(), 2] for i, t in private.items()}
