@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,14 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Worker processes outlive tasks; what a task has freed goes back to the machine, so that the next one's isn't added to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text; one row is never cut."""
     for batch in batches:
@@ -58,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 class Words:
@@ -173,6 +183,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> I
             kept, size, batch = [], 0, batch.slice(cut)
     if kept:
         yield pa.Table.from_batches(kept)
+    kept = []
+    give_back()
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
