@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ratewell import fixed_values as fixed
 from ratewell.functions.scalar import fill, lookup, message_text
 from ratewell.operators.checks import ConstraintError, all_of, found
-from ratewell.sources.sinks import removed, write_examples
+from ratewell.sources.sinks import removed, repeated, write_examples
 
 
 def principle_table(spark: SparkSession) -> DataFrame:
@@ -69,16 +69,27 @@ def candidate_prompts(candidates: DataFrame, experts: DataFrame, vertical: str,
 PROBLEMS = ("no split", "no conversation", "no conversation of the expert", "unknown tag", "unknown principle")
 
 
+#: Columns of a rating that its example depends on; ratings equal in all of them have the same example.
+RATING = ("case_study_id", "conversation_id", "conversation_source", "rater", "tag", "principle", "rating")
+
+
 def _matched(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str, cases: DataFrame | None) -> DataFrame:
-    """Ratings beside their split, conversations, tag and principle; ``problem`` is the first of PROBLEMS, or null."""
+    """Ratings beside their split, conversations, tag and principle; ``problem`` is the first of PROBLEMS, or null.
+
+    Equal ratings are one row, and ``copies`` says how many they are. Splits and messages are joined to the rated
+    conversations first, each of which is one row; ratings meet those rows once, so messages don't go through a shuffle with
+    them.
+    """
     spark = ratings.sparkSession
+    counted = ratings.groupBy(*RATING).agg(F.count(F.lit(1)).alias("copies"))
     own = conversations.select("conversation_source", "case_study_id", "messages")
     source = F.lit("human_expert") if user_text_from == "expert" else F.col("conversation_source")
     user = own.select(F.col("conversation_source").alias("user_source"), "case_study_id", F.col("messages").alias("user_messages"))
-    df = ratings.withColumn("user_source", source)
+    rated = counted.select("conversation_source", "case_study_id").distinct().withColumn("user_source", source)
     if cases is not None:
-        df = df.join(cases.select("case_study_id"), "case_study_id", "left_semi")
-    df = df.join(splits.select("case_study_id", "split"), "case_study_id", "left").join(own, ["conversation_source", "case_study_id"], "left").join(user, ["user_source", "case_study_id"], "left")
+        rated = rated.join(cases.select("case_study_id"), "case_study_id", "left_semi")
+    rated = rated.join(splits.select("case_study_id", "split"), "case_study_id", "left").join(own, ["conversation_source", "case_study_id"], "left").join(user, ["user_source", "case_study_id"], "left")
+    df = counted.join(rated, ["conversation_source", "case_study_id"], "left" if cases is None else "inner")
     df = df.join(F.broadcast(tag_table(spark, vertical)), "tag", "left").join(F.broadcast(principle_table(spark)), "principle", "left")
     found = [F.when(F.col(c).isNull(), F.lit(p)) for c, p in zip(("split", "messages", "user_messages", "tag_label", "criterion"), PROBLEMS, strict=True)]
     return df.withColumn("problem", F.coalesce(*found))
@@ -89,25 +100,27 @@ def _rendered(df: DataFrame, vertical: str) -> DataFrame:
     answer = message_text(F.col("messages"), F.col("tag"), F.lit("ASSISTANT"))
     return df.select(
         F.lit(vertical).alias("vertical"), "case_study_id", "conversation_id", grading_prompt(F.lit(vertical), case_text, answer).alias("inputs"), target(F.col("rating")).alias("targets"),
-        "rater", "conversation_source", "tag", "principle", F.col("rating").cast("bigint").alias("rating"), "split",
+        "rater", "conversation_source", "tag", "principle", F.col("rating").cast("bigint").alias("rating"), "split", "copies",
     )
 
 
-def rating_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None) -> DataFrame:
+def rating_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None, copies: bool = False) -> DataFrame:
     """Grading examples with inputs, targets and split, from ratings of conversations.
 
     user_text_from: "expert" takes the user's data from the human expert's conversation on the case, "own" from the
     rated one. ``cases`` restricts to known case studies. A rating whose case has no split, whose conversation isn't there,
     or whose tag or principle isn't known, is an error that names it: no example is lost silently. To go on without such
-    ratings, and know how many they were, see counted_examples().
+    ratings, and know how many they were, see counted_examples(). Equal ratings are rendered once and have a row each, or,
+    with ``copies``, one row and a column of that name; writers write it as often (sinks.repeated).
     """
     df = _matched(ratings, splits, conversations, vertical, user_text_from, cases)
     said = F.concat_ws(" ", F.col("problem"), F.lit("for the rating of"), F.concat_ws("::", "case_study_id", "conversation_source", "rater", "tag", "principle"))
     split = F.when(F.col("problem").isNull(), F.col("split")).otherwise(F.raise_error(said).cast("string"))
-    return _rendered(df.withColumn("split", split), vertical)
+    out = _rendered(df.withColumn("split", split), vertical)
+    return out if copies else repeated(out)
 
 
-def counted_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None) -> tuple[DataFrame, Observation]:
+def counted_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, user_text_from: str = "expert", cases: DataFrame | None = None, copies: bool = False) -> tuple[DataFrame, Observation]:
     """The examples of rating_examples() without the ratings that lack something, and an observation that counts both.
 
     The counts (columns ``examples`` and each of PROBLEMS) are made in the pass that writes or otherwise consumes the
@@ -120,19 +133,25 @@ def counted_examples(ratings: DataFrame, splits: DataFrame, conversations: DataF
     # A condition that always holds, but that Spark can't know: where it knows that no rating has an example (an empty table
     # of splits), it would leave out the pass, and the counts with it.
     df = df.withColumn("problem", F.when(F.rand() >= 0, F.col("problem")))
-    df = df.observe(counts, F.count_if(ok).alias("examples"), *(F.count_if(F.col("problem") == p).alias(p) for p in PROBLEMS))
-    return _rendered(df.filter(ok), vertical), counts
+    df = df.observe(counts, _copies(ok).alias("examples"), *(_copies(F.col("problem") == p).alias(p) for p in PROBLEMS))
+    out = _rendered(df.filter(ok), vertical)
+    return out if copies else repeated(out), counts
+
+
+def _copies(which: Column) -> Column:
+    """How many ratings stand behind the rows where ``which`` holds."""
+    return F.coalesce(F.sum(F.when(which, F.col("copies"))), F.lit(0))
 
 
 def write_matched_examples(ratings: DataFrame, splits: DataFrame, conversations: DataFrame, vertical: str, path: str, allowed: int = 0, overwrite: bool = False, **how) -> dict[str, int]:
     """Writes counted_examples() and returns the counts; more than ``allowed`` ratings without an example are an error, and
     nothing stays at the path."""
-    examples, observed = counted_examples(ratings, splits, conversations, vertical, **how)
+    examples, observed = counted_examples(ratings, splits, conversations, vertical, **how, copies=True)
     write_examples(examples, path, overwrite)
     try:
         counts = dict(observed.get)
     except Py4JJavaError:  # not one example: Spark then drops the pass from the plan it reports on, and its counts
-        problems = _matched(ratings, splits, conversations, vertical, how.get("user_text_from", "expert"), how.get("cases")).groupBy("problem").count()
+        problems = _matched(ratings, splits, conversations, vertical, how.get("user_text_from", "expert"), how.get("cases")).groupBy("problem").agg(F.sum("copies").alias("count"))
         counts = {"examples": 0, **dict.fromkeys(PROBLEMS, 0), **{r.problem: r["count"] for r in problems.collect()}}
     lost = sum(counts[p] for p in PROBLEMS)
     if lost > allowed:

@@ -106,7 +106,7 @@ def q_example_store(spark, d):
 def q_record_files(spark, d):
     """Grading examples as record files, of which only those of some tags and principles are opened again."""
     place = folder(spark)
-    records.write(_examples(spark, d), place)
+    records.write(_examples(spark, d), place, compression="gzip")
     back = records.read(spark, place, records.SCHEMA.replace("inputs string", "inputs string not null")).filter(F.col("tag") == "insight").filter(F.col("principle").isin(*fixed.PRINCIPLE_ORDER[1:4]))
     return back.groupBy("rater", "conversation_source", "tag", "principle", "split").agg(F.count("*").alias("n"), F.sum("rating").alias("total"), F.min(F.md5("inputs")).alias("first_prompt"), F.max(F.md5("targets")).alias("last_target"))
 

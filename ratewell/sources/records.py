@@ -7,6 +7,7 @@ are named after them, and the folder's manifest knows those keys, so readers tha
 
 from __future__ import annotations
 
+import functools
 import io
 import struct
 import urllib.parse
@@ -27,6 +28,10 @@ KEYS = ("rater", "conversation_source", "tag", "principle")
 SCHEMA = schemas.EXAMPLE + ", split string"
 #: Records that are checked and handed over at once.
 BATCH = 2048
+#: How files end that are compressed as a whole, as the format's own readers know them.
+ZIPPED = ".records.gz"
+#: Copies of a record that are handed to the file at once.
+MOST_AT_ONCE = 64
 
 
 class BrokenRecord(ValueError):
@@ -64,32 +69,39 @@ def checksums(parts: Sequence[bytes]) -> np.ndarray:
     return out
 
 
-def framed(records: Sequence[bytes]) -> bytes:
+def framed_each(records: Sequence[bytes]) -> list[bytes]:
     lengths = [struct.pack("<Q", len(r)) for r in records]
     heads, tails = checksums(lengths), checksums(records)
-    return b"".join(x for length, head, r, tail in zip(lengths, heads, records, tails, strict=True) for x in (length, head.tobytes(), r, tail.tobytes()))
+    return [b"".join((length, head.tobytes(), r, tail.tobytes())) for length, head, r, tail in zip(lengths, heads, records, tails, strict=True)]
+
+
+def framed(records: Sequence[bytes]) -> bytes:
+    return b"".join(framed_each(records))
+
+
+@functools.lru_cache(4096)
+def _length_checksum(length: bytes) -> bytes:
+    return checksums([length])[0].astype("<u4").tobytes()
 
 
 def unframed(stream: io.BufferedIOBase, name: str) -> Iterator[list[bytes]]:
-    """The records of a file, some at a time; lengths and checksums are compared."""
+    """The records of a file, some at a time; lengths and checksums are compared. Equal records are summed up once."""
     while True:
-        lengths, heads, records, tails = [], [], [], []
+        records: list[bytes] = []
+        tails: dict[tuple[bytes, bytes], None] = {}
         while len(records) < BATCH and (length := stream.read(8)):
             head = stream.read(4)
-            if len(head) < 4 or checksums([length])[0] != struct.unpack("<I", head)[0]:
+            if len(length) < 8 or head != _length_checksum(length):
                 raise BrokenRecord(f"checksum of a length in {name}")
             n = struct.unpack("<Q", length)[0]
             record, tail = stream.read(n), stream.read(4)
             if len(record) < n or len(tail) < 4:
                 raise BrokenRecord(f"{name} ends inside a record")
-            lengths.append(length)
-            heads.append(head)
             records.append(record)
-            tails.append(tail)
+            tails[record, tail] = None
         if not records:
             return
-        bad = np.flatnonzero(checksums(records) != np.frombuffer(b"".join(tails), "<u4"))
-        if len(bad):
+        if (checksums([r for r, _ in tails]) != np.frombuffer(b"".join(t for _, t in tails), "<u4")).any():
             raise BrokenRecord(f"checksum of a record in {name}")
         yield records
 
@@ -232,23 +244,25 @@ class RecordReader(DataSourceReader):
             yield f  # a file from elsewhere may not say its keys, so Spark looks at its rows as well
 
     def partitions(self) -> list[InputPartition]:
-        entries = manifest.files(self.path, (".records",))
+        entries = manifest.files(self.path, (".records", ZIPPED))
         return [Files(part) for part in manifest.packed([e for e in entries if "keys" not in e or pushed.passes(self.filters, e["keys"])], self.most)]
 
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(self.schema)
         store, _ = manifest.opened(self.path)
         for entry in partition.value if partition else []:
-            with io.BufferedReader(store.open_input_file(entry["name"]), 1 << 20) as stream:
+            with io.BufferedReader(store.open_input_stream(entry["name"], compression="gzip" if entry["name"].endswith(ZIPPED) else None), 1 << 20) as stream:
                 for records in unframed(stream, entry["name"]):
-                    yield pa.RecordBatch.from_pylist([fixed(decode(r, entry["name"]), self.schema, entry["name"]) for r in records], schema)
+                    rows = {r: fixed(decode(r, entry["name"]), self.schema, entry["name"]) for r in dict.fromkeys(records)}
+                    yield pa.RecordBatch.from_pylist([rows[r] for r in records], schema)
 
 
 class RecordWriter(DataSourceArrowWriter):
-    """A file for each run of rows with equal keys in a task; all of them appear with the driver's commit, or none."""
+    """A file for each run of rows with equal keys in a task; all of them appear with the driver's commit, or none. A row with
+    a column ``copies`` becomes as many records, which are encoded once. A file's size in the manifest is that of its records."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
+        self.path, self.gzip = options["path"], options.get("compression") == "gzip"
         if not overwrite:
             manifest.refuse_existing(self.path)
 
@@ -264,6 +278,7 @@ class RecordWriter(DataSourceArrowWriter):
 
         for batch in iterator:
             rows = batch.to_pylist()
+            copies = [r.pop("copies", 1) for r in rows]
             at = 0
             while at < len(rows):
                 own = {k: rows[at].get(k) for k in KEYS}
@@ -273,13 +288,14 @@ class RecordWriter(DataSourceArrowWriter):
                 if own != keys:
                     close()
                     keys = own
-                    name = ".".join(urllib.parse.quote(str(v), safe="") for v in own.values())[:150] + "-" + manifest.new_name(".records")
-                    out = store.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
+                    name = ".".join(urllib.parse.quote(str(v), safe="") for v in own.values())[:150] + "-" + manifest.new_name(ZIPPED if self.gzip else ".records")
+                    out = store.open_output_stream(f"{base}/{name}", compression="gzip" if self.gzip else None, buffer_size=1 << 20)
                     done.append({"name": name, "size": 0, "rows": 0, "keys": own})
-                data = framed([encode(r) for r in rows[at:to]])
-                out.write(data)
-                done[-1]["size"] += len(data)
-                done[-1]["rows"] += to - at
+                for data, n in zip(framed_each([encode(r) for r in rows[at:to]]), copies[at:to], strict=True):
+                    for k in range(0, n, MOST_AT_ONCE):
+                        out.write(data * min(MOST_AT_ONCE, n - k))
+                    done[-1]["size"] += len(data) * n
+                    done[-1]["rows"] += n
                 at = to
         close()
         return Written(done)
@@ -319,9 +335,13 @@ def read(spark: SparkSession, path: str, schema: str | StructType = SCHEMA, part
     return spark.read.format("records").schema(schema).option("partitionBytes", most).load(path)
 
 
-def write(examples: DataFrame, path: str, spread: int = 8, overwrite: bool = False) -> None:
+def write(examples: DataFrame, path: str, spread: int = 8, overwrite: bool = False, compression: str | None = None) -> None:
     """Examples as record files by KEYS. Rows meet by those keys and a part of ``spread`` of their cases, so a key with very
-    many rows is several files, written by several tasks. The target must not be there, unless ``overwrite``."""
+    many rows is several files, written by several tasks. The target must not be there, unless ``overwrite``. Rows with a
+    column ``copies`` are shuffled once and written as often as it says. ``compression`` "gzip" makes compressed files: the
+    prompts of one case stand together there and differ little."""
+    if compression not in (None, "gzip"):
+        raise ValueError(f"compression is gzip or None: {compression!r}")
     register(examples.sparkSession)
-    dealt = examples.repartition(*KEYS, F.pmod(F.xxhash64("case_study_id"), F.lit(spread))).sortWithinPartitions(*KEYS)
-    dealt.write.format("records").mode("overwrite" if overwrite else "append").save(path)
+    dealt = examples.repartition(*KEYS, F.pmod(F.xxhash64("case_study_id"), F.lit(spread))).sortWithinPartitions(*KEYS, "case_study_id")
+    dealt.write.format("records").mode("overwrite" if overwrite else "append").option("compression", compression or "none").save(path)

@@ -78,11 +78,29 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def repeated(df: DataFrame) -> DataFrame:
+    """Every row as often as its column ``copies`` says, without that column."""
+    return df.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).drop("copies", "_copy")
+
+
+#: Files of one task that are open side by side; a task that meets more sorts its rows.
+OPEN_FILES = 32
+
+
 def write_examples(examples: DataFrame, path: str, overwrite: bool = False) -> None:
     """One folder per (rater, conversation_source, tag, principle). Rows meet by those keys and the case, so a large
-    group is several files."""
+    group is several files. Rows with a column ``copies`` are shuffled once and then written as often as it says."""
     keys = ["rater", "conversation_source", "tag", "principle"]
-    examples.repartition(*keys, F.pmod(F.xxhash64("case_study_id"), F.lit(8))).write.partitionBy(*keys).mode(_mode(overwrite)).parquet(path)
+    spark, setting = examples.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    dealt = examples.repartition(*keys, F.pmod(F.xxhash64("case_study_id"), F.lit(8)))
+    if "copies" in examples.columns:  # sorted here: equal texts stand together and are stored once in a file's dictionary
+        dealt = repeated(dealt.sortWithinPartitions(*keys, "case_study_id"))
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(OPEN_FILES))  # Spark would sort the repeated rows for the folders, kilobytes each
+    try:
+        dealt.write.partitionBy(*keys).mode(_mode(overwrite)).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:

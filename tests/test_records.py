@@ -1,5 +1,6 @@
 """Record files: checksums, features, keys that leave files unopened, and writes that fail."""
 
+import gzip
 import os
 import struct
 
@@ -101,3 +102,19 @@ def test_a_key_with_many_rows_is_several_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(manifest.listed(str(tmp_path / "h"))) > 1 and np.sum([e["rows"] for e in manifest.listed(str(tmp_path / "h"))]) == 60
+
+
+def test_copies_are_written_as_often_as_they_say(spark, examples, tmp_path):
+    """Compressed files of rows with copies: every record is there, and equal ones take hardly any room."""
+    path = str(tmp_path / "z")
+    records.write(examples.withColumn("inputs", F.concat("inputs", F.repeat(F.md5("case_study_id"), 60))).withColumn("copies", F.lit(200).cast("bigint")), path, compression="gzip")
+    back = records.read(spark, path)
+    assert back.count() == 60 * 200 and back.distinct().count() == 60
+    listed = manifest.listed(path)
+    assert sum(e["rows"] for e in listed) == 60 * 200 and all(e["name"].endswith(".records.gz") for e in listed)
+    stored = sum(os.path.getsize(os.path.join(path, e["name"])) for e in listed)
+    assert sum(e["size"] for e in listed) > 60 * 200 * 32 * 60 and stored < sum(e["size"] for e in listed) / 50
+    with open(os.path.join(path, listed[0]["name"]), "rb") as f:
+        assert len(gzip.decompress(f.read())) == listed[0]["size"]
+    with pytest.raises(ValueError, match="compression"):
+        records.write(examples, str(tmp_path / "y"), compression="lz4")
