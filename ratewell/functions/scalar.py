@@ -89,9 +89,10 @@ def utf8(c: Column) -> Column:
     return F.decode(c, "UTF-8")
 
 
-def interval_label(mean: Column, low: Column, high: Column, n: Column) -> Column:
-    """mean, interval and count, without leading zeros."""
-    return F.replace(F.format_string("%.3f\n[%.2f–%.2f]\nn=%d", mean, low, high, n), F.lit("0."), F.lit("."))
+def interval_label(mean: Column, low: Column, high: Column, n: Column, undefined: str = "nan") -> Column:
+    """mean, interval and count, without leading zeros; a number that is nan prints as ``undefined``."""
+    label = F.replace(F.format_string("%.3f\n[%.2f–%.2f]\nn=%d", mean, low, high, n), F.lit("0."), F.lit("."))
+    return F.replace(label, F.lit("NaN"), F.lit(undefined))
 
 
 def message_index(messages: Column, tag: Column, role: Column) -> Column:

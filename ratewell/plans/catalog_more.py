@@ -14,7 +14,7 @@ from ratewell.operators import agreement, bootstrap, casestudy, checks, exam, me
 from ratewell.operators.inference import HashModel, generate_answers, model_options, run_inference, run_with_ledger, runs_of
 from ratewell.operators.resample import FEW
 from ratewell.plans import views
-from ratewell.plans.catalog import _AC2, _ASK, _ONE, _PARSED, _SPLIT, C, O, P, R, X, _examples, _tagged, query, rounded
+from ratewell.plans.catalog import _AC2, _ASK, _ONE, _PARSED, _SPLIT, NAN, C, O, P, R, X, _examples, _tagged, query, rounded
 from ratewell.plans.catalog import _EXAMPLES as EX
 from ratewell.sources import readers, records, schemas, sinks
 from ratewell.sources.scratch import folder, saved
@@ -325,7 +325,7 @@ _NAMES = ("primary_a", "primary_b", "secondary_a", "secondary_b")
 
 @query(_AC2 + ", m as (select rater_a o, rater_b i, (pa - pe) / (1 - pe) v from g union all select rater_b, rater_a, (pa - pe) / (1 - pe) from g) select list_position(" + repr(list(_NAMES)) + ", o)::int place, o as \"outer\"" + "".join(f", round(max(v) filter (i = '{x}'), 6) {x}" for x in _NAMES) + " from m group by o")
 def q_agreement_matrix(spark, d):
-    pairs = agreement.reflected(agreement.ac2(agreement.rater_pairs(views.ratings(spark, d), "max")), "ac2")
+    pairs = agreement.reflected(agreement.ac2(agreement.rater_pairs(views.ratings(spark, d), "max"), undefined=NAN), "ac2")
     return rounded(agreement.matrix(pairs, "ac2", _NAMES), *_NAMES)
 
 
