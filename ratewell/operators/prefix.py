@@ -15,11 +15,16 @@ from ratewell.operators.checks import columns
 from ratewell.sources.scratch import saved
 
 
-def _ranges(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
-    """The same rows with ``_range``: the number of the range of ``keys`` that they lie in; equal keys are in one range. The
-    rows are written, so that every later pass sees the same ranges."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return saved(df.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
+#: Rows of one range, about: with more rows there are more ranges, so a task holds no more than before.
+ROWS = 1_000_000
+
+
+def _ranges(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame, int]:
+    """The same rows with ``_range``, the number of the range of ``keys`` that they lie in (equal keys are in one range), and
+    how many ranges there are. The rows are written, so that every later pass sees the same ranges."""
+    rows = saved(df)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+    return saved(rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id())), n
 
 
 def _before(totals: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -41,9 +46,9 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], values:
     depend on how they are added up. A group may be as large as the table.
     """
     columns(df, [*by, *order, *values])
-    ranged = _ranges(df, [*by, *order])
+    ranged, n = _ranges(df, [*by, *order])
     within = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    local = ranged.repartition(n, "_range", *by).withColumns({f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
     sums = _before(ranged.groupBy(*by, "_range").agg(*(F.sum(v).alias(v) for v in values)), by, values)
     renamed = sums.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_range").alias("_r"), *(F.col(v).alias(f"_b_{v}") for v in values))
     same = F.col("_range") == F.col("_r")
@@ -60,8 +65,8 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "index",
     tie = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns))
     keyed = df.withColumns({**{f"_k{k}": c for k, c in enumerate(keys)}, "_tie": tie})
     names = [*(f"_k{k}" for k in range(len(keys))), "_tie"]
-    ranged = _ranges(keyed, names)
-    local = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*names)))
+    ranged, n = _ranges(keyed, names)
+    local = ranged.repartition(n, "_range").withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*names)))
     before = _before(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")), [], ["_n"])
     place = (F.col("_place") + F.col("_n") + (start - 1)).cast("bigint")
     return local.join(F.broadcast(before), "_range").select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))  # a row for each range

@@ -47,7 +47,9 @@ def rank_sums(ratings: DataFrame, group: str = "tag", many_levels: bool = False)
     c = cells(ratings, group)
     sources = c.select("g", "s").distinct()
     pairs = sources.withColumnRenamed("s", "a").join(sources.withColumnRenamed("s", "b"), "g").filter("a < b")
-    both = c.join(pairs, "g").filter("s = a or s = b").groupBy("g", "a", "b", "v").agg(F.sum(F.when(F.col("s") == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("s") == F.col("b"), F.col("n")).otherwise(0)).alias("nb"))
+    # As many rows as the result has. Left to the planner, cells meet them by the group: a group is then one task, or all cells
+    # are held in every task.
+    both = c.join(F.broadcast(pairs), "g").filter("s = a or s = b").groupBy("g", "a", "b", "v").agg(F.sum(F.when(F.col("s") == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("s") == F.col("b"), F.col("n")).otherwise(0)).alias("nb"))
     both = both.withColumn("nn", F.col("na") + F.col("nb"))
     if many_levels:
         counted = running_sums(both, ["g", "a", "b"], ["v"], ["nn"])

@@ -61,3 +61,25 @@ def test_auroc_of_many_scores(spark):
     df = spark.createDataFrame([("k", int(a), float(b)) for a, b in zip(y, s, strict=True)], "k string, y int, s double").repartition(5)
     assert outcomes.auroc(df, ["k"], "y", "s").first().auroc == pytest.approx(want)
     assert outcomes.auroc(df.filter("y = 1"), ["k"], "y", "s").first().auroc is None
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A task holds a range of bounded size: more rows are more ranges."""
+    monkeypatch.setattr(prefix, "ROWS", 50)
+    df = spark.range(1000).select(F.lit("g").alias("g"), "id", F.lit(1).cast("bigint").alias("n"))
+    ranged, n = prefix._ranges(df, ["g", "id"])
+    assert n == 20 and ranged.groupBy("_range").count().agg(F.max("count")).first()[0] < 200
+    assert [(r.id, r.before_n) for r in prefix.running_sums(df, ["g"], ["id"], ["n"]).orderBy("id").collect()] == [(k, k) for k in range(1000)]
+    assert [r["index"] for r in prefix.numbered(df, ["id"]).orderBy("id").collect()] == list(range(1000))
+
+
+def test_rank_sums_do_not_hold_cells_by_group(spark):
+    """Pairs of sources are sent to the cells, whatever the planner knows: no group's cells are in one task."""
+    rows = spark.range(40).select(F.concat(F.lit("g"), F.col("id") % 2).alias("tag"), F.concat(F.lit("s"), F.col("id") % 3).alias("conversation_source"), F.col("id").cast("double").alias("rating"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ratings_stats.rank_sums(rows)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
