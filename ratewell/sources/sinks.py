@@ -84,7 +84,7 @@ def repeated(df: DataFrame) -> DataFrame:
 
 
 #: Files of one task that are open side by side; a task that meets more sorts its rows.
-OPEN_FILES = 32
+OPEN_FILES = 512
 
 
 def write_examples(examples: DataFrame, path: str, overwrite: bool = False) -> None:
