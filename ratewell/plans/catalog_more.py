@@ -402,7 +402,8 @@ def q_merged_metrics(spark, d):
     distance = merging.Merging("mean distance", lambda: (0.0, 0), lambda s, a, b: (s[0] + float(np.abs(a - b).sum()), s[1] + len(a)), lambda s, t: (s[0] + t[0], s[1] + t[1]), lambda s: s[0] / s[1])
     one = merging.merged_metrics(pairs, ["one"], "va", ["vb"], [merging.AC2, distance])
     two = merging.merged_metrics(pairs, ["one"], "high", ["vb"], [merging.AUROC])
-    return rounded(one.union(two).select("metric_name", "value", "n"), "value")
+    both = one.union(two).withColumn("value", F.coalesce("value", F.lit(NAN)))  # one category or class: zero by zero
+    return rounded(both.select("metric_name", "value", "n"), "value")
 
 
 _HOT = "case when o_orderkey % 3 = 0 then 'hot' else o_orderpriority end"
