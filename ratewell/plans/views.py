@@ -70,10 +70,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PREDICTIONS_SQL, "part")
 
 
-def conversations(spark: SparkSession, sf_dir: str, source: str = "human_expert") -> DataFrame:
+def conversations(spark: SparkSession, sf_dir: str, source: str = "human_expert", cases: DataFrame | None = None) -> DataFrame:
     """Nested conversations: a message per turn, tagged by the turn, its role in capitals. Turns of one conversation only
-    are gathered."""
+    are gathered. ``cases`` restricts to the conversations of some case studies, few enough to broadcast: turns of others are
+    left out before they are shuffled."""
     rows = table(spark, sf_dir, "conversations")
+    if cases is not None:
+        rows = rows.join(F.broadcast(cases.select("case_study_id")), F.col("conv_id").cast("string") == F.col("case_study_id"), "left_semi")
     message = F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("tag"), F.upper("role").alias("role"), F.array(F.struct("text")).alias("chunks"))
     nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
     return nested.select(F.col("conv_id").cast("string").alias("case_study_id"), F.col("conv_id").cast("string").alias("conversation_id"), F.lit(source).alias("conversation_source"), "messages")

@@ -90,3 +90,30 @@ def test_equal_ratings_are_not_shuffled(spark, many, name):
     names = [c[0] for c in found.description]
     assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in got)
     assert 0 < more < 2 * one
+
+
+@pytest.fixture(scope="module")
+def told(many, tmp_path_factory):
+    """The thousand ratings beside the conversations, and beside these and forty times as many that nobody rated."""
+    place = tmp_path_factory.mktemp("told")
+    for t in ("lineitem", "customer"):
+        duckdb.sql(f"copy (select * from '{many[0]}/{t}.parquet') to '{place}/{t}.parquet' (format parquet)")
+    duckdb.sql(f"copy (select c.* replace (conv_id + k * 100000 as conv_id) from '{SF}/conversations.parquet' c, (select unnest(range(41)) k)) to '{place}/conversations.parquet' (format parquet)")
+    return many[0], str(place)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables aren't here")
+@pytest.mark.parametrize("name", ["q_examples_of_known_cases", "q_examples_join"])
+def test_conversations_that_nobody_rated_are_not_shuffled(spark, told, name):
+    """The same rows, and about the same shuffle."""
+    (one, few), (more, got) = (_shuffled(spark, lambda d=d: catalog.QUERIES[name](spark, d).collect()) for d in told)
+    assert sorted(map(str, got)) == sorted(map(str, few)) and len(got) > 0
+    assert 0 < more < 1.5 * one
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables aren't here")
+@pytest.mark.parametrize("name", ["q_examples_of_known_cases"])
+def test_prompts_are_not_sorted(spark, many, name):
+    """Aggregates take the prompts' digests; what is sorted for them doesn't hold the prompts."""
+    plan = catalog.QUERIES[name](spark, many[0])._jdf.queryExecution().executedPlan().toString()
+    assert "inputs" not in plan and "prompt_md5" in plan
