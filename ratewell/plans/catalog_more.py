@@ -371,7 +371,8 @@ def q_examples_unmatched(spark, d):
     rows = views.panel(spark, d).withColumns({"tag": F.when(F.col("tag") == "insights", "insight").when(F.col("tag") == "recommendations", "recommendation").otherwise("etiology"), "principle": named, "conversation_id": F.col("case_study_id")})
     sp = rows.filter("cast(case_study_id as int) % 7 <> 0").select("case_study_id").distinct().withColumn("split", F.lit("train"))
     number = F.col("case_study_id").cast("int")
-    every = _tagged(spark, d, "human_expert").unionByName(_tagged(spark, d, "base_model").filter(number % 3 != 0)).unionByName(_tagged(spark, d, "tuned_model")).filter(number % 11 != 0)
+    rated = rows.select("case_study_id").distinct()  # 200, by the view; only their conversations are gathered
+    every = _tagged(spark, d, "human_expert", rated).unionByName(_tagged(spark, d, "base_model", rated).filter(number % 3 != 0)).unionByName(_tagged(spark, d, "tuned_model", rated)).filter(number % 11 != 0)
     counts = prompts.write_matched_examples(rows, sp, every, "sleep", folder(spark), allowed=2**62)
     return spark.createDataFrame([(p, counts[p]) for p in ("examples", *prompts.PROBLEMS)], "problem string, n bigint")
 
